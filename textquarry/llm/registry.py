@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, sharding, tokens
+from . import decontaminate, packing, quality, secrets, sharding, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_secret_scan, op7_token_ids, op10_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_decontamination, op6_quality_rules, op7_token_ids, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
