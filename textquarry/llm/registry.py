@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, neardup, packing, quality, secrets, sharding, substrings, tokens
+from . import decontaminate, htmltext, language, neardup, packing, quality, secrets, sharding, substrings, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_decontamination, op4_substring_dedup, op6_quality_rules, op7_token_ids, op8_language_id, op9_near_duplicates, op10_packing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_decontamination, op4_substring_dedup, op5_main_text, op6_quality_rules, op7_token_ids, op8_language_id, op9_near_duplicates, op10_packing, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {}
