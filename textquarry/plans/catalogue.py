@@ -1,11 +1,487 @@
-"""Named queries over the driver's tables and the SQL they are compared with."""
+"""Named queries over the driver's tables, each next to the SQL it is compared with.
+
+``documents`` stand in for articles (doc_id for the address, lang for the
+domain), ``conversations`` for parallel pairs, ``pages`` for landed pages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import markdown as M
+from ..functions import scores as S
+from ..functions import text as X
+from ..operators import chunking as C
+from ..operators import dedup as D
+from ..operators import graph as G
+from ..operators import labeling as L
+from ..operators import merge as R
+from ..operators import pairs as P
+from ..sources import readers as IO
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with its SQL if there is one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- pieces of SQL that several queries share ----------------------------------------------------
+CLEAN = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
+CLEAN_TEXT = CLEAN.format("text")
+WORDS = "list_transform(regexp_extract_all(coalesce({0}, ''), '[a-zA-Zʻʼ''Ѐ-ӿ]+'), lambda w: lower(w))"
+N_WORDS = "CASE WHEN {0} = '' THEN 0 ELSE len(string_split({0}, ' ')) END"
+CHUNK_CTES = f"""
+RECURSIVE clean AS (SELECT doc_id, source, lang, {CLEAN_TEXT} AS t FROM documents WHERE length({CLEAN_TEXT}) >= 200),
+parts AS (SELECT doc_id, list_filter(string_split(regexp_replace(t, '([.!?])\\s+([A-ZʻʼЎЁЀ-Я])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s) <> '') AS ss FROM clean),
+sent AS (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS pos, unnest(ss) AS s, unnest(list_transform(ss, lambda s: len(string_split(s, ' ')))) AS n FROM parts),
+walk AS (
+  SELECT doc_id, pos, s, 1 AS gid, n AS held FROM sent WHERE pos = 1
+  UNION ALL
+  SELECT x.doc_id, x.pos, x.s, CASE WHEN w.held >= 100 THEN w.gid + 1 ELSE w.gid END, CASE WHEN w.held >= 100 THEN x.n ELSE w.held + x.n END
+  FROM walk w JOIN sent x ON x.doc_id = w.doc_id AND x.pos = w.pos + 1
+),
+tail AS (SELECT doc_id, max(gid) AS last_gid, arg_max(held, pos) AS held FROM walk GROUP BY doc_id),
+placed AS (
+  SELECT w.doc_id, w.pos, w.s, CASE WHEN w.gid = t.last_gid AND t.held < 15 THEN w.gid - 1 ELSE w.gid END AS gid
+  FROM walk w JOIN tail t USING (doc_id)
+),
+chunks AS (
+  SELECT doc_id, CAST(gid AS INTEGER) AS chunk_id, string_agg(s, ' ' ORDER BY pos) AS text FROM placed WHERE gid > 0 GROUP BY doc_id, gid
+)"""
+LEXICON = {"function": ["the", "and", "der", "und", "les", "des", "los", "que"], "ending": ["tion", "ción", "ung", "ment"], "short": ["er", "en", "es"]}
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.chunk_documents(_documents(spark, sf_dir), ["doc_id"])
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.conversation_pairs(table(spark, sf_dir, "conversations"))
+
+
+# --- scalar text functions -----------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {CLEAN_TEXT} AS text, CAST({N_WORDS.format(CLEAN_TEXT)} AS INTEGER) AS n_words, CAST(length({CLEAN_TEXT}) AS INTEGER) AS n_chars FROM documents")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = X.squeeze(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", t.alias("text"), X.word_count(F.col("text")).alias("n_words"), F.length(t).alias("n_chars"))
+
+
+@query(f"SELECT doc_id, CAST(length({CLEAN_TEXT}) AS INTEGER) AS n_chars FROM documents WHERE length({CLEAN_TEXT}) >= 500")
+def min_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("doc_id", F.length(X.squeeze(F.col("text"))).alias("n_chars"))
+    return rows.where("n_chars >= 500")
+
+
+@query(
+    f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, s AS sentence FROM (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS pos, unnest(ss) AS s FROM (
+    SELECT doc_id, list_filter(string_split(regexp_replace({CLEAN_TEXT}, '([.!?])\\s+([A-ZʻʼЎЁЀ-Я])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s) <> '') AS ss FROM documents))"""
+)
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("doc_id", F.posexplode(X.chunk_sentences(X.squeeze(F.col("text")))).alias("k", "sentence"))
+    return rows.select("doc_id", (F.col("k") + 1).alias("pos"), "sentence")
+
+
+@query(
+    f"""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '[.!?]+', chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '')) AS INTEGER) AS n_sentences,
+    CAST(len({WORDS.format("text")}) AS INTEGER) AS n_words FROM documents"""
+)
+def metric_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.size(X.sentences(F.col("text"))).alias("n_sentences"), F.size(X.words(F.col("text"))).alias("n_words"))
+
+
+@query("SELECT count(*) FILTER (WHERE contains(lower(text), 'password') OR contains(lower(text), 'license')) AS n_noise, count(*) AS n_rows FROM documents")
+def noise_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).agg(F.count_if(X.has_noise(F.col("text"), ["password", "license"])).alias("n_noise"), F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN s // 3600 > 0 THEN printf('%dh%02dm%02ds', s // 3600, (s % 3600) // 60, s % 60) WHEN s // 60 > 0 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%ds', s) END AS shown
+    FROM (SELECT event_id, CAST(event_id * 7 % 9000 AS BIGINT) AS s FROM events)"""
+)
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", X.duration(F.col("event_id") * 7 % 9000).alias("shown"))
+
+
+@query("SELECT page_id, list_extract(string_split(rtrim(url, '/'), '/'), -1) AS slug FROM pages WHERE contains(url, 'example.com')")
+def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", X.url_slug(F.col("url"), "example.com").alias("slug"))
+    return rows.where("slug is not null")
+
+
+# --- chunks and metrics --------------------------------------------------------------------------
+
+
+@query(f"WITH {CHUNK_CTES} SELECT doc_id, chunk_id, text, CAST(len(string_split(text, ' ')) AS INTEGER) AS word_count, CAST(length(text) AS INTEGER) AS length FROM chunks")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir)
+
+
+@query(f"SELECT word, count(*) AS n FROM (SELECT unnest({WORDS.format('text')}) AS word FROM documents) GROUP BY word")
+def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.word_frequency(_documents(spark, sf_dir))
+
+
+def _complexity_sql(sentence: float, word: float) -> str:
+    return f"""WITH {CHUNK_CTES},
+    tok AS (SELECT doc_id, chunk_id, unnest({WORDS.format("text")}) AS w FROM chunks),
+    freq AS (SELECT w, count(*) AS f FROM tok GROUP BY w),
+    m AS (SELECT doc_id, chunk_id, count(*) AS n, sum(length(w)) AS letters, count(*) FILTER (WHERE f <= 3) AS rare FROM tok JOIN freq USING (w) GROUP BY doc_id, chunk_id),
+    s AS (SELECT doc_id, chunk_id, text, len(list_filter(string_split(regexp_replace(text, '[.!?]+', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS marks FROM chunks),
+    v AS (SELECT s.doc_id, s.chunk_id, s.text, coalesce(n, 0) > 0 AND marks > 0 AS ok, n / marks AS asl, letters / n AS awl, rare / n AS r FROM s LEFT JOIN m USING (doc_id, chunk_id))
+    SELECT doc_id, chunk_id, text, CAST(len(string_split(text, ' ')) AS INTEGER) AS word_count, CAST(length(text) AS INTEGER) AS length,
+    CASE WHEN ok THEN floor(asl * 100 + 0.5::DOUBLE) / 100 ELSE 0 END AS avg_sentence_len, CASE WHEN ok THEN floor(awl * 100 + 0.5::DOUBLE) / 100 ELSE 0 END AS avg_word_len,
+    CASE WHEN ok THEN floor(r * 1000 + 0.5::DOUBLE) / 1000 ELSE 0 END AS rare_word_ratio,
+    CASE WHEN ok THEN floor((0.4::DOUBLE * least(asl / {sentence}::DOUBLE, 1) + 0.3::DOUBLE * least(r, 1) + 0.3::DOUBLE * least(awl / {word}::DOUBLE, 1)) * 1000 + 0.5::DOUBLE) / 1000 ELSE 0 END AS complexity_score FROM v"""
+
+
+@query(_complexity_sql(*C.VARIANT_A))
+def complexity_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.by_score(C.complexity(_chunks(spark, sf_dir), ["doc_id", "chunk_id"]), ["doc_id", "chunk_id"])
+
+
+@query(_complexity_sql(*C.VARIANT_B))
+def complexity_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.by_score(C.complexity(_chunks(spark, sf_dir), ["doc_id", "chunk_id"], C.VARIANT_B), ["doc_id", "chunk_id"])
+
+
+@query(f"SELECT min(complexity_score) AS least, max(complexity_score) AS most, list_extract(list_sort(list(complexity_score)), count(*) // 2 + 1) AS median FROM ({_complexity_sql(*C.VARIANT_A)})")
+def complexity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = C.complexity(_chunks(spark, sf_dir), ["doc_id", "chunk_id"]).select("complexity_score")
+    ends = scored.agg(F.min("complexity_score").alias("least"), F.max("complexity_score").alias("most"))
+    return ends.crossJoin(F.broadcast(C.upper_median(scored, "complexity_score")))
+
+
+@query("SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS INTEGER) AS batch FROM documents")
+def title_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.batches(_documents(spark, sf_dir).select("doc_id", "source"), ["doc_id"], 20, ["source"])
+
+
+# --- de-duplication, caps and membership ---------------------------------------------------------
+
+
+@query("SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.exact(_documents(spark, sf_dir).select("doc_id", "text"), ["text"], ["doc_id"])
+
+
+@query("SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY source, lang")
+def two_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.exact(_documents(spark, sf_dir).select("source", "lang", "doc_id"), ["source", "lang"], ["doc_id"])
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower({CLEAN_TEXT})")
+def normalized_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.normalised(_documents(spark, sf_dir).select("doc_id", "text"), "text", ["doc_id"]).select("doc_id")
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY CASE WHEN source = 'src1' THEN 0 WHEN source = 'src2' THEN 1 ELSE 2 END, doc_id) AS r FROM documents) WHERE r = 1")
+def priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.when(F.col("source") == "src1", 0).when(F.col("source") == "src2", 1).otherwise(2)
+    return D.by_priority(_documents(spark, sf_dir), ["text"], rank, ["doc_id"]).select("doc_id", "source")
+
+
+@query(
+    """SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id // 10 ORDER BY
+    len(regexp_extract_all(text, '\\[\\d+\\]')) + len(regexp_extract_all(text, '\\{\\\\displaystyle')) + len(regexp_extract_all(text, '<[^<>]{1,200}>')), doc_id) AS r FROM documents) WHERE r = 1"""
+)
+def artifact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).withColumn("ten", F.floor(F.col("doc_id") / 10))
+    return D.fewest_artefacts(rows, ["lang", "ten"], "text", ["doc_id"]).select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def anti_join_new_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.not_seen(_documents(spark, sf_dir).select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 15")
+def per_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.per_group_cap(_documents(spark, sf_dir).select("doc_id", "source"), ["source"], ["doc_id"], 15)
+
+
+@query("SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 120")
+def global_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.first_rows(_documents(spark, sf_dir).select("doc_id", "source"), ["source", "doc_id"], 120)
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, CASE WHEN lang = 'de' THEN 0 ELSE 1 END AS p FROM documents WHERE lang IN ('de', 'fr')) ORDER BY p, doc_id LIMIT 200")
+def fallback_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("doc_id", "lang")
+    return D.with_fallback(rows.where("lang = 'de'"), rows.where("lang = 'fr'"), "doc_id", ["doc_id"], 200)
+
+
+@query(
+    """SELECT conv_id, turn FROM (SELECT *, coalesce(sum(CASE WHEN empty AND was THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM (
+    SELECT conv_id, turn, length(text) % 3 = 0 AS empty, coalesce(lag(length(text) % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn), false) AS was FROM conversations)) WHERE stopped = 0"""
+)
+def listing_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 3).alias("n"))
+    return D.until_two_empty(pages, "conv_id", "turn", "n").select("conv_id", "turn")
+
+
+# --- labels --------------------------------------------------------------------------------------
+
+
+def _score_sql(text: str) -> str:
+    part = lambda w: f"(length({text}) - length(replace({text}, '{w}', ''))) / {len(w)}"
+    return ", ".join(f"{' + '.join(part(w) for w in ws)} AS s_{d}" for d, ws in LEXICON.items())
+
+
+def _best_sql() -> str:
+    most = f"greatest({', '.join(f's_{d}' for d in LEXICON)})"
+    return f"CASE WHEN {most} <= 0 THEN 'other' {' '.join(f'WHEN s_{d} = {most} THEN {chr(39)}{d}{chr(39)}' for d in LEXICON)} END"
+
+
+@query(f"SELECT doc_id, {_best_sql()} AS domain FROM (SELECT doc_id, {_score_sql('x')} FROM (SELECT doc_id, lower(source || ' ' || text) AS x FROM documents))")
+def keyword_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", L.by_keywords(F.col("source"), F.col("text"), LEXICON).alias("domain"))
+
+
+def _presence_sql() -> str:
+    has = lambda c, ws: f"CASE WHEN {' OR '.join(f'contains(lower({c}), {chr(39)}{w}{chr(39)})' for w in ws)} THEN 1 ELSE 0 END"
+    return ", ".join(f"sum(3 * {has('source', ws)} + {has('text', ws)}) AS s_{d}" for d, ws in LEXICON.items())
+
+
+@query(f"SELECT doc_id, {_best_sql()} AS domain FROM (SELECT c.doc_id, {_presence_sql().replace('(text)', '(c.text)')} FROM (WITH {CHUNK_CTES} SELECT chunks.doc_id, chunks.text, clean.source FROM chunks JOIN clean USING (doc_id)) c GROUP BY c.doc_id)")
+def article_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = C.chunk_documents(_documents(spark, sf_dir), ["doc_id", "source"])
+    return L.article_domains(chunks, "doc_id", "source", "text", LEXICON, list(LEXICON))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'law' WHEN 'de' THEN 'science' ELSE 'other' END AS domain FROM documents")
+def category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", L.domain_of(F.col("lang"), F.lit(L.OTHER), {"en": "law", "de": "science"}).alias("domain"))
+
+
+# --- merge and reports ---------------------------------------------------------------------------
+
+
+@query(f"SELECT source, count(*) AS n_rows, CAST(sum({N_WORDS.format(CLEAN_TEXT)}) AS BIGINT) AS n_words, count(*) / sum(count(*)) OVER () AS share FROM documents GROUP BY source")
+def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.stats_by(_documents(spark, sf_dir), "source", X.word_count(F.col("text")))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.counts_by(_documents(spark, sf_dir), "lang").orderBy(F.desc("n"), "lang")
+
+
+@query("SELECT s.source, count(d.doc_id) AS n FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text) k ON true LEFT JOIN documents d ON d.doc_id = k.doc_id AND d.source = s.source GROUP BY s.source")
+def surviving_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    return R.survivors(docs.select("source").distinct(), D.exact(docs, ["text"], ["doc_id"]), "source")
+
+
+@query(
+    f"""SELECT count(*) AS n_rows, CAST(sum(CASE WHEN trim(text) = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_empty, count(*) - count(DISTINCT text) AS n_duplicates, CAST(sum(CASE WHEN lang IS NULL OR source IS NULL OR n_chars IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_nulls,
+    CAST(min(w) AS INTEGER) AS min_words, CAST(max(w) AS INTEGER) AS max_words, sum(w) / count(*) AS mean_words FROM (SELECT *, {N_WORDS.format(CLEAN_TEXT)} AS w FROM documents)"""
+)
+def quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.quality_audit(_documents(spark, sf_dir), "text", X.word_count(F.col("text")))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE text <> {CLEAN_TEXT}) AS changed, count(*) FILTER (WHERE text <> '' AND {CLEAN_TEXT} = '') AS emptied FROM documents")
+def clean_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.clean_report(_documents(spark, sf_dir), F.col("text"), X.squeeze(F.col("text")))
+
+
+@query("SELECT doc_id AS id, text AS body, lang, 'documents' AS origin_file FROM documents UNION ALL SELECT page_id, html, 'none', 'pages' FROM pages")
+def merge_schema_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("body"), "lang")
+    b = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body"))
+    return R.union_filled({"documents": a, "pages": b}, {"lang": "none"})
+
+
+@query("SELECT count(*) AS n_values, min(n) AS least, arg_min(lang, (n, lang)) AS rarest, CASE WHEN min(n) < 150 THEN 'too few' WHEN min(n) < 300 THEN 'borderline' ELSE 'enough' END AS verdict FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+def prefix_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.balance(_documents(spark, sf_dir), "lang")
+
+
+@query("SELECT lang, n, least(1, avg(n) OVER () * 1.0::DOUBLE / n)::DOUBLE AS keep FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
+def skew_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.excess(_documents(spark, sf_dir), "lang")
+
+
+@query("SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS least, max(value) AS most FROM events")
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = R.latency_summary(table(spark, sf_dir, "events"), "value")
+    return got.select(F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "least", "most")
+
+
+@query("SELECT round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)")
+def vector_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.vector_moments(table(spark, sf_dir, "embeddings"), "embedding").select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+# --- pairs ---------------------------------------------------------------------------------------
+PAIR_SQL = "SELECT conv_id, turn, text, s AS simplified_text FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS s FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'"
+DRAW = "CAST(('0x' || substr(md5('42:' || {0}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query(f"SELECT * FROM ({PAIR_SQL}) WHERE text IS NOT NULL AND simplified_text IS NOT NULL AND trim(text) <> '' AND trim(simplified_text) <> '' AND length(text) <= 3000 AND length(simplified_text) <= 3000")
+def pair_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = ["text", "simplified_text"]
+    return P.at_most(P.present(_pairs(spark, sf_dir), both, both), both)
+
+
+@query(f"SELECT conv_id, turn, length(simplified_text) / greatest(length(text), 1) AS ratio FROM ({PAIR_SQL}) WHERE length(simplified_text) / greatest(length(text), 1) BETWEEN 0.375 AND 1.3")
+def ratio_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = P.ratio_between(_pairs(spark, sf_dir), "text", "simplified_text", 0.375, 1.3)
+    return rows.select("conv_id", "turn", X.compression(F.col("text"), F.col("simplified_text")).alias("ratio"))
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {DRAW.format('doc_id')}, doc_id LIMIT 25")
+def sample_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.sample_rows(_documents(spark, sf_dir), ["doc_id"], 25).select("doc_id")
+
+
+@query(f"SELECT doc_id, CASE WHEN {DRAW.format('doc_id')} < 0.95::DOUBLE THEN 'train' ELSE 'validation' END AS split FROM documents")
+def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.random_split(_documents(spark, sf_dir).select("doc_id"), ["doc_id"])
+
+
+@query(
+    f"""SELECT doc_id, lang, CASE WHEN u <= quantile_cont(u, 0.05) OVER (PARTITION BY lang) THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, lang, {DRAW.format("doc_id")} AS u FROM documents)"""
+)
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.stratified_split(_documents(spark, sf_dir).select("doc_id", "lang"), ["doc_id"], "lang")
+
+
+@query(
+    f"""SELECT arg_min(doc_id, (p, doc_id)) AS doc_id, arg_min(lang, (p, doc_id)) AS lang FROM (SELECT doc_id, lang, text, 0 AS p FROM documents WHERE lang <> 'en'
+    UNION ALL (SELECT doc_id, lang, text, 1 FROM documents WHERE lang = 'en' ORDER BY {DRAW.format("doc_id")}, doc_id LIMIT (SELECT CAST(floor(0.3 * count(*)) AS BIGINT) FROM documents WHERE lang <> 'en'))) GROUP BY text"""
+)
+def mix_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", "text")
+    return P.mix_in(docs.where("lang <> 'en'"), docs.where("lang = 'en'"), ["doc_id"], "text").select("doc_id", "lang")
+
+
+SETTINGS = [("balanced", 0.75, False, False, False), ("aggressive", 0.5, True, False, False), ("conservative", 0.75, False, True, True)]
+
+
+@query(
+    """SELECT item_id, prefix, prefix || text AS prompt, repetition_penalty, length_penalty, max_new FROM benchmark CROSS JOIN (VALUES
+    ('simplify: ', 1.2::DOUBLE, 0.9::DOUBLE, 192), ('simplify [aggressiveness=aggressive, max_length=0.5, drop_dates=true]: ', 1.4::DOUBLE, 0.7::DOUBLE, 128),
+    ('simplify [aggressiveness=conservative, drop_law_refs=true, drop_stats=true]: ', 1.0::DOUBLE, 1.0::DOUBLE, 192)) s(prefix, repetition_penalty, length_penalty, max_new)"""
+)
+def config_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = spark.createDataFrame(SETTINGS, "aggressiveness string, max_length_ratio double, drop_dates boolean, drop_law_refs boolean, drop_stats boolean")
+    rows = P.conditioned(table(spark, sf_dir, "benchmark"), settings)
+    return rows.select("item_id", "prefix", "prompt", "repetition_penalty", "length_penalty", X.max_new_tokens(F.lit(256), F.col("max_length_ratio")).alias("max_new"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_type IN ('conservative', 'balanced', 'aggressive') THEN event_type ELSE 'balanced' END AS aggressiveness,
+    CASE WHEN value BETWEEN 0.3 AND 1.0 THEN value ELSE 0.75 END AS max_length_ratio, CAST(CASE WHEN user_id BETWEEN 1 AND 8 THEN user_id ELSE 8 END AS INTEGER) AS num_beams FROM events"""
+)
+def settings_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("aggressiveness"), F.col("value").cast("string").alias("max_length_ratio"), F.col("user_id").cast("string").alias("num_beams"))
+    valid = P.valid_settings(raw.withColumn("hotkey_combo", F.col("event_id").cast("string")))
+    return valid.select(F.col("hotkey_combo").cast("long").alias("event_id"), "aggressiveness", "max_length_ratio", "num_beams")
+
+
+@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.quality IS NULL")
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return P.pending_rows(rows, None, "doc_id", "quality").select("doc_id")
+
+
+@query()
+def simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.simplify(_documents(spark, sf_dir), "doc_id", "text")
+
+
+@query()
+def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.rouge_means(_pairs(spark, sf_dir), "simplified_text", "text")
+
+
+@query()
+def chrf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.chrf(_pairs(spark, sf_dir), "simplified_text", "text")
+
+
+# --- pages and graphs ----------------------------------------------------------------------------
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", IO.page_title(F.col("html")).alias("title"))
+
+
+@query("""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="/([^"]+)"', 1))) AS link FROM pages""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1)))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("link"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(lower(html), 'captcha')) > 0 AS blocked FROM pages")
+def page_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.array_contains(X.block_markers(F.col("html")), "captcha").alias("blocked"))
+
+
+EDGE_SQL = "SELECT DISTINCT c_custkey AS src, (c_custkey * 7 + c_nationkey) % 500 AS dst FROM customer"
+
+
+@query(f"WITH RECURSIVE e AS ({EDGE_SQL}), b AS (SELECT 1::BIGINT AS node, 0 AS hop UNION SELECT e.dst, b.hop + 1 FROM b JOIN e ON e.src = b.node WHERE b.hop < 12) SELECT node, min(hop) AS hop FROM b GROUP BY node")
+def link_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir("/tmp/textquarry-checkpoints")
+    edges = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 500).cast("long").alias("dst"))
+    return G.breadth_first(edges, spark.range(1, 2).withColumnRenamed("id", "node"), max_hops=12)
+
+
+@query("SELECT n_name AS member FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IS NOT NULL ORDER BY r_regionkey, n_nationkey LIMIT 12")
+def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    top = region.select(F.lit("root").alias("category"), F.col("r_name").alias("member"), F.col("r_regionkey").alias("position"), F.lit(True).alias("is_subcat"))
+    low = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("category"), F.col("n_name").alias("member"), F.col("n_nationkey").alias("position"), F.lit(False).alias("is_subcat"))
+    return G.category_members(top.union(low), "root", 2, 12).select("member")
+
+
+# --- text in, text out ---------------------------------------------------------------------------
+
+
+@query()
+def markdown_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", M.markdown("text").alias("markdown"))
+
+
+@query()
+def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _documents(spark, sf_dir).select("doc_id", F.explode(F.split(M.markdown("text"), "\n")).alias("line"))
+    return lines.groupBy(M.line_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(X.budget_split(F.col("text"), 2000)).alias("pos", "part"))
+
+
+@query()
+def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", X.collapse_repeats("text").alias("text"))
