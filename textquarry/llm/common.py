@@ -113,5 +113,19 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def with_new_text(docs: DataFrame, row: str, text: Column, same: Column) -> list[Column]:
+    """The columns of ``docs``, held in the struct ``row``, with another text.
+
+    ``n_chars``, if there, follows the text unless it is the same.  Columns in
+    a struct cannot clash with an operator's own.
+    """
+    out = []
+    for c, t in docs.dtypes:
+        old = F.col(row).getField(c)
+        new = text if c == "text" else F.when(same, old).otherwise(F.length(text)).cast(t) if c == "n_chars" else old
+        out.append(new.alias(c))
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import with_new_text
+
 WINDOW = 10
 SHARD_BYTES, BLOCK_BYTES = 8_000_000, 16_000_000
 #: Words: runs of bytes that are none of these, after A-Z are lower-cased.
@@ -296,13 +298,14 @@ def cut_words(text: str, spans: list[dict[str, int]]) -> str:
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with benchmark passages cut out of ``text``; ``n_chars``, if there, follows."""
-    found = find_hits(docs, benchmark, keep_text=True)
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    found = find_hits(docs.select(row.alias("row"), "text"), benchmark, keep_text=True)
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([cut_words(t, s) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    hit = F.size("__spans") > 0
-    found = found.withColumn("__text", F.when(hit, cut("text", "__spans")).otherwise(F.col("text")))
-    columns = [F.col("__text").alias("text") if c == "text" else F.when(hit, F.length("__text")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return found.select(*columns)
+    clean = F.size("__spans") == 0
+    found = found.select("row", clean.alias("clean"), F.when(clean, F.col("text")).otherwise(cut("text", "__spans")).alias("new"))
+    return found.select(*with_new_text(docs, "row", F.col("new"), F.col("clean")))

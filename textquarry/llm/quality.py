@@ -177,4 +177,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns."""
     verdict = judge(references(docs))
-    return docs.withColumn("__v", verdict("text")).where("__v.kept").drop("__v")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.where(verdict(F.col("row.text"))["kept"]).select("row.*")

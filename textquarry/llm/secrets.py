@@ -10,7 +10,7 @@ the data.
 
 Defined results: a null text is an empty one, which has no spans; texts of any
 length are scanned whole; equal rows are kept; in ``redact`` all other columns
-pass through, and its own columns start with ``__``.
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import with_new_text
+
 #: Patterns that the contract fixes: kind, regular expression, group whose length counts, least length.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -28,6 +30,8 @@ BASE = (
 )
 #: The method's own kind, its candidates, and the log-likelihood ratio per transition from which one is a secret.
 MARKOV, CANDIDATE, THRESHOLD = "markov", r"[A-Za-z0-9+/_=-]{20,}", 0.35
+#: Rulers and runs of few characters are neither random nor names.
+LEAST_DISTINCT = 8
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Parts of ordinary identifiers and words, from which the sample of that class is composed.
@@ -131,6 +135,10 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
     return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(items, start, step, lambda acc: acc["out"]))
 
 
+def _long_enough(matches: Column, least: int) -> Column:
+    return F.filter(matches, lambda m: m["len"] >= least)
+
+
 def _spans(matches: Column, rank: int, kind: str) -> Column:
     return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
@@ -145,8 +153,9 @@ def scan(docs: DataFrame, model: list[float] | None = None, text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs
     for rank, (kind, pattern, group, least) in enumerate(BASE):
-        out = out.withColumn(f"__{kind}", _spans(F.filter(_matches(text, pattern, group), lambda m, k=least: m["len"] >= k), rank, kind))
-    found = F.filter(_matches(text, CANDIDATE, 0), lambda m: likelihood_ratio(m["match"], model) > threshold)
+        out = out.withColumn(f"__{kind}", _spans(_long_enough(_matches(text, pattern, group), least), rank, kind))
+    varied = lambda m: F.size(F.array_distinct(F.split(m["match"], "(?!^)"))) >= LEAST_DISTINCT
+    found = F.filter(_matches(text, CANDIDATE, 0), lambda m: varied(m) & (likelihood_ratio(m["match"], model) > threshold))
     out = out.withColumn("__markov", _spans(found, len(BASE), MARKOV))
     return out.withColumn("__spans", F.concat("__assign", "__access", "__hex", "__markov"))
 
@@ -165,7 +174,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", model: list[float] | None =
     Columns stay as they are; ``n_chars``, if there, follows the new text.
     Rows without a span keep their text unchanged.
     """
-    got = scan(docs, model)
+    got = scan(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.coalesce(F.col("text"), F.lit(""))
 
@@ -177,6 +186,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", model: list[float] | None =
         )
 
     done = F.aggregate(F.array_sort("__spans"), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("__spans") == 0, F.col("text")).otherwise(done)
-    columns = [new.alias("text") if c == "text" else F.when(F.size("__spans") == 0, F.col(c)).otherwise(F.length(new)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return got.select(*columns)
+    clean = F.size("__spans") == 0
+    got = got.select("row", clean.alias("clean"), F.when(clean, F.col("text")).otherwise(done).alias("new"))
+    return got.select(*with_new_text(docs, "row", F.col("new"), F.col("clean")))
