@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch
-from .tokens import Encoder, default_vocabulary
+from .tokens import Encoder, default_vocabulary, slices
 
 Piece = tuple[int, int, int]  # document, start, length
 
@@ -120,9 +120,8 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabul
             return out
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
+            for part in slices(batch, "text"):
                 done: list[int] = []
-                part = batch.slice(lo, 1000)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     total, seen = len(ids) // 4, seen + 1

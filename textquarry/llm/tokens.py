@@ -28,8 +28,8 @@ folder, so commits are atomic and any file system works.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,27 +41,52 @@ from .common import partitions, running_total, scratch
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes (about) in one generation of the encoder's cache.
-CACHE_BYTES = 100_000_000
+CACHE_BYTES = 200_000_000
 #: Text bytes from which an image is closed, and ids in one block.
 IMAGE_BYTES, BLOCK_IDS = 4_000_000, 4096
+#: Text bytes that are encoded at a time.
+SLICE_BYTES = 8_000_000
 MAGIC = b"TQTOKEN1"
 
 
+def _shown() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: itself if it prints, else the next free one."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) if b in prints else chr(256 + rest.index(b)) for b in range(256)}
+
+
+_SHOWN = _shown()
+
+
 class Encoder:
-    """Encodes texts with one vocabulary file; special tokens' strings are ordinary text."""
+    """Encodes texts with one vocabulary file; special tokens' strings are ordinary text.
+
+    A piece that is not cached is cut into its pre-tokens with the pattern of
+    the vocabulary; only those that are not cached either go to the library.
+    """
 
     _own: dict[str, Encoder] = {}
-    _odd = re.compile(r"\s\s|\A\s|\s\Z")
+    #: White space that is neither a plain space nor a line end.
+    _rare = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.young: dict[str, bytes] = {}
+        self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
+        self.merge = self.tokenizer.model.tokenize
+        self._start()
         self.old: dict[str, bytes] = {}
+
+    def _start(self) -> None:
+        self.young: dict[str, bytes] = {}  # ids of a space and the key
+        self.bare: dict[str, bytes] = {}  # ids of pre-tokens without a space
         self.weight = 0
 
     @classmethod
@@ -75,7 +100,7 @@ class Encoder:
     def pieces(cls, text: str) -> list[str]:
         """Independent parts; all but the first have lost the space they start with."""
         out = text.split(" ")
-        if not cls._odd.search(text):
+        if not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in cls._rare)):
             return out
         merged = [out[0]]
         for x in out[1:]:
@@ -87,29 +112,75 @@ class Encoder:
         return merged
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for i in range(0, len(parts), 20_000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts[i : i + 20_000], add_special_tokens=False)]
+        return out
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens that start with a space, from the library's merges alone."""
+        merge, out = self.merge, []
+        for w in words:
+            shown = "Ġ" + w if w.isascii() and w.isprintable() else (" " + w).encode().decode("latin-1").translate(_SHOWN)
+            out.append(array("I", [t.id for t in merge(shown)]).tobytes())
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        """Put pieces into the cache."""
+        young, bare, old = self.young, self.bare, self.old
+        words: set[str] = set()
+        marks: set[str] = set()
+        cut: list[tuple[str, str | None, list[str]]] = []  # piece, its part after the space, the other parts
+        for p in missing:
+            if p.isalpha():  # one pre-token
+                words.add(p)
+                continue
+            w = p[:-1]
+            if p[-1] in ",." and w.isalpha():
+                first, others = w, [p[-1]]
+            else:
+                parts = self.pretokens(" " + p)
+                if parts[0] == " ":
+                    first, others = None, parts
+                else:
+                    first, others = parts[0][1:], parts[1:]
+            cut.append((p, first, others))
+            if first is not None and first != p and first not in young:
+                if first in old:
+                    young[first] = old[first]
+                else:
+                    words.add(first)
+            elif first == p:
+                words.add(p)
+            for q in others:
+                if q not in bare:
+                    marks.add(q)
+        new, signs = list(words), list(marks)
+        young.update(zip(new, self._word_ids(new), strict=True))
+        bare.update(zip(signs, self._ids(signs), strict=True))
+        for p, first, others in cut:
+            if others:
+                young[p] = (b"" if first is None else young[first]) + (bare[others[0]] if len(others) == 1 else b"".join([bare[q] for q in others]))
+        self.weight += 250 * (len(missing) + len(signs)) + 5 * (sum(map(len, missing)) + sum(map(len, signs)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pieces(t) for t in texts]
-        heads = self._ids([ps[0] for ps in split])
-        rests = [ps[1:] for ps in split]
+        heads = self._ids([ps.pop(0) for ps in split])
         young, old = self.young, self.old
-        missing = []
-        for p in set().union(*rests).difference(young):
-            v = old.get(p)
-            if v is None:
-                missing.append(p)
-            else:
-                young[p] = v
-                self.weight += 250 + 5 * len(p)
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            young.update(zip(part, self._ids([" " + p for p in part]), strict=True))
-            self.weight += 250 * len(part) + 5 * sum(map(len, part))
+        missing = set().union(*split).difference(young)
+        if old:
+            known = missing.intersection(old)
+            young.update({p: old[p] for p in known})
+            missing -= known
+            self.weight += 300 * len(known)
+        self._learn(missing)
+        get = young.__getitem__
+        out = [h + b"".join(map(get, ps)) for h, ps in zip(heads, split, strict=True)]
         if self.weight > CACHE_BYTES:
-            self.young, self.old, self.weight = {}, young, 0
-        return [b"".join([h, *map(young.__getitem__, r)]) for h, r in zip(heads, rests, strict=True)]
+            self.old = young
+            self._start()
+        return out
 
 
 def bits_for(vocabulary: int) -> int:
@@ -167,6 +238,17 @@ class Image:
         return self.read_ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of the column, or one row, each."""
+    lo = 0
+    while lo < batch.num_rows:
+        n = batch.num_rows - lo
+        while n > 1 and batch.column(column).slice(lo, n).nbytes > size:
+            n = -(-n // 2)
+        yield batch.slice(lo, n)
+        lo += n
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -199,10 +281,8 @@ def write_images(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None
             return out
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                if part.num_rows:
-                    block = part.column(2)[0].as_py()
+            for part in slices(batch, "text"):
+                block = part.column(2)[0].as_py()
                 got = part.column(1).to_pylist()
                 for d, t, e in zip(part.column(0).to_pylist(), got, encoder.encode(got), strict=True):
                     doc_ids.append(d)
