@@ -300,17 +300,18 @@ def token_report(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None
     """Columns doc_id, start, n_tokens, ids_crc32, read back from the written images."""
     images = write_images(docs, end_id, vocabulary)
     placed = running_total(images.select("__block", "image_no", "n_ids"), ["image_no"], {"first": "n_ids"}, "__block").drop("n_ids")
-    rows = images.select("__block", "image_no", "image").join(placed, ["__block", "image_no"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 img = Image(batch.column("image")[k].as_py())
-                first = batch.column("first")[k].as_py()
                 ids = img.read_ids(0, img.n_ids).tobytes()
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(img.starts[:-1].tolist(), img.starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(img.doc_ids), pa.array(img.starts[:-1] + first), pa.array(np.diff(img.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
+                starts = img.starts.tolist()
+                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                n = len(crc)
+                take = pa.array([k] * n, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column("__block").take(take), batch.column("image_no").take(take), pa.array(img.doc_ids), pa.array(starts[:-1], pa.int64()), pa.array(np.diff(img.starts)), pa.array(crc, pa.int64())], ["__block", "image_no", "doc_id", "local", "n_tokens", "ids_crc32"])
+
+    # the places of the images are joined to the documents' rows, so that no image is shuffled
+    found = images.select("__block", "image_no", "image").mapInArrow(read, "__block int, image_no int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    return found.join(placed, ["__block", "image_no"]).select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
