@@ -7,14 +7,18 @@ pair shares none of the 50 bands with a probability below 1e-6.
 
 1. Documents with equal shingle sets are one node, named by its smallest
    doc_id; groups of exact copies end here, whatever their size.
-2. Nodes meet in buckets (equal bands).  A bucket never emits all its pairs:
-   in a round it names one hub and its other members are compared with the hub
-   only, on the full sets.  Confirmed links form components.
-3. Buckets whose members all are in one component are done.  The others get
-   another hub, for ``HUB_ROUNDS`` rounds; then the pairs that still lie in
-   different components are compared, each once.  So no link between different
-   components is lost, and pairs are listed only between texts that are not
-   linked already.
+2. Nodes meet in buckets (equal bands).  A bucket never emits its pairs: one
+   member, the hub, is compared with every other one on the full sets.  The
+   hub is the member of most buckets, which is near the middle of its group.
+3. What a hub comparison leaves open is found exactly.  Let x not be linked
+   with the hub h, let y be another member, and a(x) the size of the common
+   part of x and h.  If x and y share nothing outside h, their common part is
+   at most min(a(x), a(y)), and only the few pairs for which that is enough
+   are compared.  All others share a shingle outside h: the members meet again
+   in buckets of (hub, shingle outside it), with a new hub each.  A node whose
+   common part with h and whose shingles that other components share cannot
+   reach the threshold together is left out.  After ``HUB_ROUNDS`` rounds the
+   pairs of different components that no such bound excludes are compared.
 4. Components follow from repeated minimum over neighbours and pointer
    jumping, as joins of tables; nothing is collected.
 
@@ -37,7 +41,7 @@ from pyspark.sql.window import Window
 
 from .common import hot_join, scratch
 
-PERMUTATIONS, ROWS, HUB_ROUNDS = 150, 6, 3
+PERMUTATIONS, ROWS, HUB_ROUNDS, PRUNINGS = 150, 6, 3, 3
 #: Rows of one hub that a task compares.
 HUB_BLOCK = 512
 
@@ -129,22 +133,88 @@ def _sets(words_each: int):
     return run
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (hub, node), those whose full sets are similar enough.
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (hub, node) with both full sets.
 
-    A hub's pairs are dealt in blocks, its set goes to each of them.
+    A hub's pairs are dealt in blocks, and its set goes to each of them.
     """
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("of_hub") / HUB_BLOCK)).cast("int"))
-    hubs = pairs.groupBy("hub", "block").agg(F.lit(1).alias("one")).drop("one")
+    heavy = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("of_hub"))
+    pairs = pairs.join(heavy, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("of_hub") / HUB_BLOCK)).cast("int"))
+    hubs = pairs.select("hub", "block").distinct()
     hub_sets = hubs.join(sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set")), "hub")
-    both = pairs.join(sets, "node").join(hub_sets, ["hub", "block"])
-    common = F.size(F.array_intersect("set", "hub_set"))
-    return both.where(100 * common >= percent * (F.size("set") + F.size("hub_set") - common)).select("hub", "node")
+    return pairs.select("hub", "node", "block").join(sets, "node").join(hub_sets, ["hub", "block"])
+
+
+def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with both sizes (n, m), the size of the common part, and ``linked``."""
+    both = with_sets(pairs, sets).select("hub", "node", F.size("set").alias("n"), F.size("hub_set").alias("m"), F.size(F.array_intersect("set", "hub_set")).alias("common"))
+    return both.withColumn("linked", 100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common")))
+
+
+def within_hub(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one hub's members that may be linked without a shingle outside the hub.
+
+    ``members`` has hub, node, n, common, linked, label.  Pairs need
+    percent * (n + n') <= (100 + percent) * min(common, common'); bounds per
+    hub leave out nodes that fit no other one before anything is paired.
+    """
+    room = F.floor((F.col("common") * (100 + percent) - F.col("n") * percent) / percent)
+    sized = members.withColumn("room", room)
+    bound = sized.groupBy("hub").agg(F.min("n").alias("small"), F.max(F.when(~F.col("linked"), F.col("room"))).alias("wide"))
+    sized = sized.join(bound, "hub")
+    x = sized.where("not linked and room >= small").select("hub", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("room").alias("rx"), F.col("label").alias("lx"))
+    y = sized.where("n <= wide").select("hub", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("room").alias("ry"), F.col("label").alias("ly"))
+    pairs = x.join(y, "hub").where("ny <= rx and nx <= ry and lx <> ly")
+    return pairs.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")).distinct()
+
+
+def outside_hub(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members of hubs with the shingles outside the hub that may link them: hub, node, n, common, label, token.
+
+    Two nodes of different components have in common at most the part that a
+    node has in common with the hub, and those of its other shingles that some
+    node of another component has.  Nodes for which this is too little next to
+    the smallest possible partner are left out, ``PRUNINGS`` times over, since
+    each time fewer shingles are shared.
+    """
+    tokens = with_sets(members.select("hub", "node").distinct(), sets).select("hub", "node", F.explode(F.array_except("set", "hub_set")).alias("token"))
+    left = scratch(tokens.join(members.select("hub", "node", "n", "common", "label"), ["hub", "node"]), "outside")
+    for _ in range(PRUNINGS):
+        shared = left.groupBy("hub", "token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("hub", "token")
+        found = left.join(shared, ["hub", "token"])
+        per = found.groupBy("hub", "node", "n", "common").agg(F.count(F.lit(1)).alias("s"))
+        per = per.join(per.groupBy("hub").agg(F.min("n").alias("small")), "hub")
+        partner = F.greatest(F.col("small"), F.ceil(F.col("n") * percent / 100))
+        enough = per.where((100 + percent) * (F.col("common") + F.col("s")) >= percent * (F.col("n") + partner)).select("hub", "node")
+        left = scratch(found.join(enough, ["hub", "node"]).select(*left.columns), "shared")
+    return left
+
+
+def outside_buckets(left: DataFrame) -> DataFrame:
+    """Buckets (hub, shingle outside it) that hold two components: bucket, node."""
+    found = left.select("node", "label", F.xxhash64("hub", "token").alias("bucket"))
+    live = found.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    return scratch(found.join(live, "bucket").select("bucket", "node").distinct(), "buckets")
+
+
+def outside_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """The pairs that no bound excludes: of different components, within reach of each other."""
+    reach = left.groupBy("hub", "node", "n", "common", "label").agg(F.count(F.lit(1)).alias("s")).withColumn("reach", F.col("common") + F.col("s"))
+    x = reach.select("hub", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("label").alias("lx"))
+    y = reach.select("hub", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("reach").alias("ry"), F.col("label").alias("ly"))
+    near = x.join(y, "hub").where((F.col("lx") < F.col("ly")) & ((100 + percent) * F.least("rx", "ry") >= percent * (F.col("nx") + F.col("ny"))))
+    return near.select(F.least("x", "y").alias("hub"), F.greatest("x", "y").alias("node")).distinct()
+
+
+def choose_hubs(buckets: DataFrame) -> DataFrame:
+    """(bucket, hub): the member of most buckets."""
+    rank = buckets.groupBy("node").agg((-F.count(F.lit(1))).alias("rank"))
+    return buckets.join(rank, "node").groupBy("bucket").agg(F.min(F.struct("rank", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of a link can reach."""
-    both = scratch(links.select(F.col("hub").alias("a"), F.col("node").alias("b")).union(links.select(F.col("node").alias("a"), F.col("hub").alias("b"))).distinct(), "edges")
+    """(node, label): the smallest node that each node of a link (a, b) can reach."""
+    both = scratch(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -156,6 +226,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _label_of(df: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
+    """Add the label of a node; a node without links is its own."""
+    if labels is None:
+        return df.withColumn(name, F.col(node))
+    return df.join(labels.select(F.col("node").alias(node), F.col("label").alias("__l")), node, "left").withColumn(name, F.coalesce("__l", node)).drop("__l")
+
+
+def merge_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of the labels they join, then of the nodes."""
+    ends = _label_of(_label_of(links, labels, "hub", "a"), labels, "node", "b")
+    over = components(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if labels is None:
+        return over
+    moved = labels.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = over.join(labels.select("node"), "node", "left_anti")
+    return scratch(moved.unionByName(fresh), "labels")
+
+
 def find_components(docs: DataFrame, words_each: int = 2, percent: int = 80) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, kept; one row per input row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -163,47 +251,36 @@ def find_components(docs: DataFrame, words_each: int = 2, percent: int = 80) ->
     linkable = rows.where("__key is not null and doc_id is not null")
     copies = scratch(linkable.groupBy("__key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("__n"), F.min("n_shingles").alias("size")), "copies")
     total = rows.count()
-    nodes = linkable.select("__key", "__bands", F.col("doc_id").alias("node")).join(copies.select("__key", "node", "size"), ["__key", "node"], "left_semi")
-    member = nodes.select("node", F.explode("__bands").alias("bucket"))
-    full = member.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
-    member = scratch(member.join(full, "bucket").distinct(), "members")
-    wanted = member.select(F.col("node").alias("doc_id")).distinct()
+    nodes = linkable.select("__key", "__bands", F.col("doc_id").alias("node")).join(copies.select("__key", "node", "size"), ["__key", "node"])
+    buckets = nodes.select("node", F.explode("__bands").alias("bucket"))
+    full = buckets.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
+    buckets = scratch(buckets.join(full, "bucket").select("bucket", "node").distinct(), "buckets")
+    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
     sets = scratch(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(words_each), "node long, set array<long>"), "sets")
-    size = sets.select("node", F.size("set").alias("n"))
     labels = None
-    links = tested = None
-    for turn in range(HUB_ROUNDS + 1):
-        state = member if labels is None else member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if labels is None:
-            hub = member.groupBy("bucket").agg(F.min("node").alias("hub"))
-            pairs = member.join(hub, "bucket").where("node > hub").select("hub", "node")
-        else:
-            live = state.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max_by(F.struct("node", "label"), F.xxhash64("node", "bucket", F.lit(turn))).alias("__h")).where("least < most")
-            live = live.select("bucket", F.col("__h.node").alias("hub"), F.col("__h.label").alias("hub_label"))
-            if turn < HUB_ROUNDS:
-                open_ = state.join(live, "bucket").where("label <> hub_label")
-            else:
-                left = state.join(live.select("bucket"), "bucket")
-                open_ = left.join(left.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")), "bucket").where("label < hub_label")
-            pairs = open_.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["hub", "node"], "left_anti")
-        near = pairs.join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub")
-        near = near.where((100 * F.least("n", "m") >= percent * F.greatest("n", "m"))).select("hub", "node")
-        near = scratch(near, "pairs")
-        if not near.limit(1).count():
-            if turn == 0 or turn == HUB_ROUNDS:
-                break
-            continue
-        heavy = near.groupBy("hub").agg(F.count(F.lit(1)).alias("of_hub"))
-        found = scratch(confirm(near.join(heavy, "hub"), sets, percent), "links")
-        links = found if links is None else links.union(found)
-        tested = near if tested is None else tested.union(near)
-        labels = components(links)
+    for turn in range(HUB_ROUNDS):
+        hubs = choose_hubs(buckets)
+        pairs = scratch(buckets.join(hubs, "bucket").where("node <> hub").select("hub", "node").distinct(), "pairs")
+        seen = scratch(compare(pairs, sets, percent), "compared")
+        labels = merge_labels(labels, seen.where("linked"))
+        placed = _label_of(_label_of(seen, labels, "hub", "hub_label"), labels, "node", "label")
+        apart = placed.where("label <> hub_label").select("hub").distinct()
+        members = scratch(placed.join(apart, "hub").select("hub", "node", "n", "common", "linked", "label"), "members")
+        if not members.limit(1).count():
+            break
+        inside = scratch(within_hub(members, percent), "inside")
+        if inside.limit(1).count():
+            labels = merge_labels(labels, compare(inside, sets, percent).where("linked"))
+            members = scratch(_label_of(members.drop("label"), labels, "node", "label"), "members")
+        left = outside_hub(members, sets, percent)
+        if turn == HUB_ROUNDS - 1:
+            labels = merge_labels(labels, compare(scratch(outside_pairs(left, percent), "rest"), sets, percent).where("linked"))
+            break
+        buckets = outside_buckets(left)
+        if not buckets.limit(1).count():
+            break
     placed = copies.select("__key", "node", "__n")
-    placed = placed.join(labels, "node", "left") if labels is not None else placed.withColumn("label", F.col("node"))
-    placed = scratch(placed.select("__key", "__n", F.coalesce("label", "node").alias("component")), "placed")
+    placed = scratch(_label_of(placed, labels, "node", "component").select("__key", "__n", "component"), "placed")
     slim = rows.select("doc_id", "n_shingles", F.coalesce("__key", F.lit(b"")).alias("__key"))
     out = hot_join(slim, placed, ["__key"], "__n", total, "left")
     component = F.coalesce("component", "doc_id")
@@ -215,6 +292,8 @@ def keep_one(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFra
     """One document of each component; rows that repeat a kept doc_id stay one row."""
     found = find_components(docs, words_each, percent)
     gone = found.where("not kept").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = docs.where("doc_id is not null").withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    return once.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    first = Window.partitionBy("doc_id").orderBy("row.text")
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    once = rows.where("doc_id is not null").withColumn("rank", F.row_number().over(first)).where("rank = 1")
+    kept = once.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))
