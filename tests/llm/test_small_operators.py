@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from textquarry.llm import language, packing, quality, secrets, sharding, tokens
 
@@ -160,19 +162,32 @@ def test_divergence_rejects_foreign_distributions(make):
 ODD = ["  a", "a  b", " a b ", "x\n y", "x\n\ny z\t", "a  b", "é   ü", "don't 've ' s", "<|endoftext|> a <|endoftext|>b", "12 34  5\r\n 6", "a \x85 c\x1c d", "foo.\nBar, baz.\nqux", "\x00 \x01a \x7f"]
 
 
-def whole(texts):
-    e = tokens.Encoder.of(tokens.default_vocabulary())
-    return [np.array(x.ids, "<u4") for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+ODD += ["", "don't''s 's", "a  'll b", "x\u3000\u3000 y", "\xa0 a\xa0b \xa0", "é, è1 ×2 ÷", "tail   ", "\n\n\nhead", "a\u200bb \u180ec"]
 
 
-def test_pieces_encode_like_whole_texts(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_BYTES", 2000)
+def whole(texts, vocabulary=None):
+    """Ids by a tokenizer of its own, as the library gives them."""
+    t = Tokenizer.from_file(vocabulary or tokens.default_vocabulary())
+    return [np.array(x.ids, "<u4") for x in t.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_parts_encode_like_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 50)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 400)
     e = tokens.Encoder(tokens.default_vocabulary())
     rng = random.Random(2)
-    texts = ODD + ["".join(rng.choice(["a", "the", " ", " ", "\n", ".", ",", "é", "1", "'s", "\t", "\xa0"]) for _ in range(60)) for _ in range(400)]
-    expected = [x.tobytes() for x in whole(texts)]
+    signs = ["a", "the", " ", " ", "\n", ".", ",", "é", "1", "'s", "'", "\t", "\xa0", "\u2003", "漢", "\x1c", "<|endoftext|>"]
+    texts = ODD + ["".join(rng.choice(signs[: rng.choice([10, 17])]) for _ in range(60)) for _ in range(600)] + [" ".join(rng.choice(["aa", "b's", "é."]) for _ in range(3000))]
+    expected = [x.tolist() for x in whole(texts)]
     for lo in range(0, len(texts), 50):  # the cache turns over on the way
-        assert e.encode(texts[lo : lo + 50]) == expected[lo : lo + 50]
+        assert [x.tolist() for x in e.encode(texts[lo : lo + 50])] == expected[lo : lo + 50]
+
+
+def test_other_vocabularies_are_encoded_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    e = tokens.Encoder(path)
+    texts = ["The  Cat <|endoftext|> sat", "", "été 12,5"]
+    assert not e.cuts and [x.tolist() for x in e.encode(texts)] == [x.tolist() for x in whole(texts, path)]
 
 
 @pytest.mark.parametrize("bits", [1, 5, 13, 16, 17])
@@ -199,6 +214,22 @@ def test_token_report(make, monkeypatch):
     assert sorted(r.start for r in twice) == [0, 3]
 
 
+def test_token_report_of_null_ids_and_ties(make):
+    rows = [(i, t, "", "", 1, 1, "", "") for i, t in [(None, "a b"), (None, "c"), (None, "a b"), (3, "one two"), (3, "x"), (3, "x"), (-5, None), (9, "end <|endoftext|>")]]
+    for df in (make(None, rows=rows), make(None, rows=rows[::-1])):
+        got = sorted(tokens.token_report(df).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in got] == [None] * 3 + [-5] + [3] * 3 + [9]
+        at = 0
+        for r in got:
+            assert r.start == at
+            at += r.n_tokens
+        known = Counter((i, crc(np.append(x, np.uint32(2)).astype("<u4").tobytes())) for (i, *_), x in zip(rows, whole([r[1] for r in rows]), strict=True))
+        assert Counter((r.doc_id, r.ids_crc32) for r in got) == known
+        first = [r.ids_crc32 for r in got]
+        last = first if "last" not in locals() else last
+        assert first == last
+
+
 def test_packing(make):
     rng = random.Random(4)
     texts = EDGE + ["word " * rng.randint(1, 900) for _ in range(60)]

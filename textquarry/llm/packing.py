@@ -94,7 +94,7 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabul
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder = Encoder.of(path)
+        encoder = Encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         levels, rank, seen = Levels(window), 0, 0
         held: dict[int, tuple[int, bytes, int, int]] = {}  # document: id, ids of its remainder, their start, tokens
@@ -123,7 +123,7 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabul
             for part in slices(batch, "text"):
                 done: list[int] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
+                    ids = ids.tobytes() + end
                     total, seen = len(ids) // 4, seen + 1
                     held[seen] = (doc_id, ids, 0, total)
                     whole = total // window * window
