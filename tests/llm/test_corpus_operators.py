@@ -189,6 +189,34 @@ def test_stage_keeps_one_of_each_group(make):
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in neardup.find_components(make(None, rows=rows)).collect())
     assert got == [(-1, -1, True), (-1, -1, True), (7, 7, True), (7, 7, True)]
     assert neardup.keep_one(make(None, rows=rows)).count() == 3
+    two = [(1, "a b c", "", "", 1, 1, "", ""), (1, "d e f", "", "", 1, 1, "", ""), (1, "d e f", "", "", 2, 2, "", ""), (2, "D E F", "", "", 1, 1, "", ""), (2, None, "", "", 1, 1, "", ""), (2, " ", "", "", 1, 1, "", "")]
+    got = neardup.keep_one(make(None, rows=two))
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, "a b c"), (1, "d e f"), (2, ""), (2, " ")]
+    assert neardup.keep_one(make([])).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [(4, 1_000_000), (512, 100)])
+def test_groups_of_many_blocks(make, monkeypatch, blocks):
+    """A chain of texts around the threshold, of which no one is near all others, in blocks of a few nodes."""
+    monkeypatch.setattr(neardup, "BLOCK_NODES", blocks[0])
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", blocks[1])
+    rng = random.Random(11)
+    texts = []
+    for _ in range(2):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+        for _ in range(40):
+            texts.append(" ".join(words))
+            base = list(words) if rng.random() < 0.5 else rng.choice(texts).split()
+            words = [w if rng.random() > 0.05 else f"e{rng.randint(0, 10**6)}" for w in base]
+    rng.shuffle(texts)
+    got = {r.doc_id: tuple(r)[1:] for r in neardup.find_components(make(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
+def test_long_texts_have_components(make):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    got = {r.doc_id: r for r in neardup.find_components(make([long, long + " more", "w1 " * 50_000])).collect()}
+    assert [got[i].component_id for i in range(3)] == [0, 0, 2] and got[0].n_shingles == 59_999 and got[2].n_shingles == 1
 
 
 def test_signature_misses_no_pair_at_the_threshold():
@@ -196,7 +224,9 @@ def test_signature_misses_no_pair_at_the_threshold():
     for _ in range(200):
         common, own = rng.integers(0, 2**63, 80, dtype=np.uint64), rng.integers(0, 2**63, 20, dtype=np.uint64)
         a, b = np.concatenate([common, own[:10]]), np.concatenate([common, own[10:]])
-        assert (neardup.bands(a) == neardup.bands(b)).any()
+        x, y = neardup.signature(np.sort(a)), neardup.signature(np.sort(b))
+        assert (neardup.bands(x) == neardup.bands(y)).any()
+        assert (np.frombuffer(neardup.short(x), np.uint8) == np.frombuffer(neardup.short(y), np.uint8)).sum() >= neardup.AGREE
 
 
 # --- main text -----------------------------------------------------------------------------------

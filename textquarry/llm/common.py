@@ -63,7 +63,16 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``scratch`` that no result still to be computed reads."""
+    for df in tables:
+        remove(df.sparkSession, df._scratch)
+        _written.remove((df.sparkSession, df._scratch))
 
 
 def partitions(spark: SparkSession) -> int:
