@@ -11,10 +11,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,6 +79,11 @@ def release(*tables: DataFrame) -> None:
         _written.remove((df.sparkSession, df._scratch))
 
 
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``rows`` rows, which should be a few numbers each."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -108,7 +117,7 @@ def running_total(df: DataFrame, order: Sequence[str], values: dict[str, str], b
     before = Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(block, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in values])
     inside = Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(F.broadcast(offsets), block)
+    out = df.join(offsets, block)  # dealt by block, as the window needs it
     return out.select(*df.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"__o_{n}")).alias(n) for n, c in values.items()])
 
 
@@ -118,6 +127,28 @@ def by_range(df: DataFrame, order: Sequence[str], rows: int, per_block: int = 20
     return scratch(df.repartitionByRange(n, *order).withColumn("__block", F.spark_partition_id()), "ranges")
 
 
+def tidy() -> None:
+    """Give the memory that a Python worker no longer needs back to the machine, since workers outlive tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, and ``tidy`` when it ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import bounded, scratch, tidied
 from .tokens import Encoder, default_vocabulary, slices
 
 Piece = tuple[int, int, int]  # document, start, length
@@ -90,6 +90,7 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabul
     path = vocabulary or default_vocabulary()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, __task long, __rank long, offset long"
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -147,7 +148,7 @@ def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabul
     placed = scratch(texts.mapInArrow(run, schema), "packed")
     per = placed.groupBy("__task").agg((F.max("__rank") + 1).alias("n"))
     offsets = _offsets(per)
-    out = placed.join(F.broadcast(offsets), "__task")
+    out = placed.join(bounded(offsets), "__task")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("__rank") + F.col("__first")).alias("sequence_id"), "offset")
 
 

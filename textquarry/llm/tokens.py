@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, running_total, scratch
+from .common import partitions, running_total, scratch, tidied
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Parts (of about 200 bytes each) in one of the two generations of the encoder's cache.
@@ -352,6 +352,7 @@ def write_images(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None
     placed = texts.withColumns({"__h": F.xxhash64("text"), "__at": F.monotonically_increasing_id()})
     ranged = placed.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("__block"))
 
+    @tidied
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         bits = bits_for(encoder.size)
@@ -388,6 +389,7 @@ def token_report(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None
     images = write_images(docs, end_id, vocabulary)
     placed = running_total(images.select("__block", "image_no", "n_ids"), ["image_no"], {"first": "n_ids"}, "__block").drop("n_ids")
 
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
