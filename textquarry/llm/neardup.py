@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, partitions, release, scratch
+from .common import hot_join, partitions, release, scratch, tidied
 
 PERMUTATIONS, ROWS = 150, 6
 #: Members and shingles of a group in one block (about), and places in which the signatures of candidates agree.
@@ -125,6 +125,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
 
 
 def _sketch(words_each: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in _slices(batches):
@@ -140,6 +141,7 @@ def _sketch(words_each: int):
 
 
 def _sets(words_each: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in _slices(batches):
@@ -198,6 +200,7 @@ def _across(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
 def _by_block(compare: Callable, percent: int):
     """Rows come sorted by (hub, block, part); each block is compared when it is complete."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
@@ -332,8 +335,9 @@ def groups(docs: DataFrame, words_each: int, percent: int) -> tuple[DataFrame, D
     if more is not None:
         labels = merge_labels(labels, more)
         release(more)
-    first = copies.join(labels, "node").groupBy("label").agg(F.min("first").alias("least"))
-    placed = scratch(copies.select("node", "rows", "first").join(labels, "node", "left").join(first, "label", "left").select("node", "rows", F.coalesce("least", "first").alias("least")), "placed")
+    first = copies.join(labels, "node").groupBy("label").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("m"))
+    least = hot_join(labels, first, ["label"], "m", labels.count()).select("node", "least")
+    placed = scratch(copies.select("node", "rows", "first").join(least, "node", "left").select("node", "rows", F.coalesce("least", "first").alias("least")), "placed")
     release(copies, buckets, sets, pairs, links, labels)
     return rows.drop("bands"), placed
 
