@@ -15,8 +15,11 @@ Benchmarks are read in blocks of ``BLOCK_BYTES`` of text, one pass over the
 documents per block, so what is broadcast is bounded whatever their size.
 
 Defined results: a null or empty text has no words and no hits; null or empty
-items have no windows; an empty benchmark hits nothing; equal rows are kept;
-in ``remove_hits`` all other columns pass through.
+items have no windows; the windows of an item without an id are hit like
+others, but there is no id to list or count; items with one id are one item;
+an empty benchmark hits nothing; equal rows, and rows without a doc_id, are
+kept; a text of any length is one document of its shard and is read whole; in
+``remove_hits`` all other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +30,15 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_new_text
+from .common import release, scratch, tidied, with_new_text
 
 WINDOW = 10
-SHARD_BYTES, BLOCK_BYTES = 8_000_000, 16_000_000
+SHARD_BYTES, BLOCK_BYTES = 8_000_000, 4_000_000
 #: Words: runs of bytes that are none of these, after A-Z are lower-cased.
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -143,67 +147,73 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, by length."""
+    """The windows of a block of benchmark items, by length, in arrays."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        names: dict[str, int] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + FIRST) for w in words_of(text)]
-            for k in range(max(1, len(ids) - window + 1)) if ids else []:
-                found.setdefault(tuple(ids[k : k + window]), set()).add(str(item_id))
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for n in sorted({len(p) for p in found}):
-            own = [p for p in found if len(p) == n]
-            self.by_length[n] = (np.array(own, np.int64), [sorted(found[p]) for p in own])
-
-    def hits(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-        """(begin, end) word ranges over the documents end to end, and each document's items."""
-        items: list[set[str]] = [set() for _ in docs]
-        none = np.zeros(0, np.int64)
-        if not self.by_length:
-            return none, none, items
-        get, total = self.vocabulary.get, sum(map(len, docs)) + len(docs)
-        seq = np.full(total, BREAK, np.int32)
-        starts = np.zeros(len(docs), np.int64)
-        at = 0
-        for k, ws in enumerate(docs):  # one BREAK after each document
-            starts[k] = at
-            seq[at : at + len(ws)] = np.fromiter(map(get, ws, repeat(BREAK)), np.int32, len(ws))
-            at += len(ws) + 1
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + FIRST) for w in words_of(text)], np.int32)
+            if len(ids):
+                n = min(window, len(ids))
+                rows = np.lib.stride_tricks.sliding_window_view(ids, n)
+                owner = -1 if item_id is None else names.setdefault(str(item_id), len(names))
+                found.setdefault(n, []).append((rows, np.full(len(rows), owner)))
+        self.names = list(names)
+        #: For each length the distinct windows, and where their items start in the list of items.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(found):
+            patterns, which = np.unique(np.concatenate([r for r, _ in found[n]]), axis=0, return_inverse=True)
+            owner = np.concatenate([o for _, o in found[n]])
+            pairs = np.unique(np.stack([which.reshape(-1), owner], 1)[owner >= 0], axis=0).astype(np.int32)
+            self.by_length[n] = (patterns, np.searchsorted(pairs[:, 0], np.arange(len(patterns) + 1)), pairs[:, 1])
+
+    def encode(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(BREAK)), np.int32, len(words))
+
+    def hits(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """(begin, end) word ranges over the encoded documents, one BREAK after each, and each document's items."""
+        none, no_items = np.zeros(0, np.int64), [[] for _ in docs]
+        if not self.by_length or not docs:
+            return none, none, no_items
+        gap = np.full(1, BREAK, np.int32)
+        seq = np.concatenate([x for d in docs for x in (d, gap)])
+        ends = np.cumsum([len(d) + 1 for d in docs])
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (seq != BREAK).view(np.int8), [0]])))
         begin, end = edge[::2], edge[1::2]
         long = end - begin >= min(self.by_length)
         begin, end = begin[long], end[long]
         if not len(begin):
-            return none, none, items
+            return none, none, no_items
         length = end - begin + 1  # with the BREAK that follows
         source = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
         index = FMIndex(np.concatenate([seq[source], [END]]), len(self.vocabulary) + FIRST)
-        lows, highs = [], []
-        for n, (patterns, owners) in self.by_length.items():
+        lows, highs, owned = [none], [none], [none]
+        for n, (patterns, first, owners) in self.by_length.items():
             which, lo, hi = index.search(patterns)
-            if not len(which):
-                continue
             size = hi - lo
             rows = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             place = source[index.locate(rows)]
-            doc = np.searchsorted(starts, place, side="right") - 1
+            doc = np.searchsorted(ends, place, side="right")
             pairs = np.unique(doc * len(patterns) + np.repeat(which, size))
-            for d, w in zip((pairs // len(patterns)).tolist(), (pairs % len(patterns)).tolist(), strict=True):
-                items[d].update(owners[w])
+            doc, which = pairs // len(patterns), pairs % len(patterns)
+            count = first[which + 1] - first[which]
+            item = owners[np.repeat(first[which] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())]
             lows.append(place)
             highs.append(place + n)
-        if not lows:
-            return none, none, items
-        return np.concatenate(lows), np.concatenate(highs), items
+            owned.append(np.repeat(doc, count) * max(len(self.names), 1) + item)
+        for x in np.unique(np.concatenate(owned)).tolist():
+            no_items[x // len(self.names)].append(self.names[x % len(self.names)])
+        return np.concatenate(lows), np.concatenate(highs), no_items
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Phrases]:
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int | None = None) -> Iterator[Phrases]:
     """The benchmark's windows, from at most about ``block_bytes`` of its text at a time."""
     rows = benchmark.select("item_id", "text").where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
+    n = max(1, -(-total // (block_bytes or BLOCK_BYTES)))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield Phrases([(r["item_id"], r["text"]) for r in part.collect()])
@@ -216,33 +226,41 @@ HITS = [
 ]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Add __n_words, __spans (merged ranges of hit words) and __items (ids as strings)."""
-    out = docs
-    blocks = list(benchmark_blocks(benchmark))
-    for k, phrases in enumerate(blocks):
-        out = _pass(out, phrases, keep_text or k < len(blocks) - 1, first=k == 0)
-    return out
-
+def find_hits(docs: DataFrame, benchmark: DataFrame, cut: bool = False) -> DataFrame:
+    """Columns row (the columns of ``docs`` but the text), text, __n_words, __spans (merged ranges of hit words), __items.
 
-def _pass(docs: DataFrame, phrases: Phrases, keep_text: bool, first: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)
-    own = [f for f in docs.schema.fields if (keep_text or f.name != "text") and not f.name.startswith("__")]
-    names = [f.name for f in own]
+    With ``cut`` the text comes without the hit passages, else it is null.
+    One block of the benchmark is in memory at a time; what the blocks before
+    the last one hit is kept in a written table.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    out = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("row"), "text")
+    held, last = None, None
+    for phrases in benchmark_blocks(benchmark):
+        if last is not None:  # there is one more block
+            step = scratch(_pass(out, last, cut=False, first=held is None), "hits")
+            last.destroy()
+            if held is not None:
+                release(held)
+            out = held = step
+        last = docs.sparkSession.sparkContext.broadcast(phrases)
+        del phrases
+    return _pass(out, last, cut, first=held is None, final=True)
+
+
+def _pass(docs: DataFrame, shared: Broadcast, cut: bool, first: bool, final: bool = False) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    fields = [docs.schema["row"], docs.schema["text"], *HITS]
 
-    def shard(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = [words_of(t) for b in batches for t in b.column("text").to_pylist()]
+    def shard(batches: list[pa.RecordBatch], words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         lows, highs, items = shared.value.hits(words)
         counts = np.array([len(w) for w in words], np.int64)
         starts = np.concatenate([[0], np.cumsum(counts + 1)])
-        del words
         if not first:
             before = [x for b in batches for x in b.column("__spans").to_pylist()]
             lows = np.concatenate([lows, np.array([s["start"] + starts[k] for k, x in enumerate(before) for s in x], np.int64)])
             highs = np.concatenate([highs, np.array([s["end"] + starts[k] for k, x in enumerate(before) for s in x], np.int64)])
-            for own_items, x in zip(items, (x for b in batches for x in b.column("__items").to_pylist()), strict=True):
-                own_items.update(x)
+            items = [sorted({*own, *x}) for own, x in zip(items, (x for b in batches for x in b.column("__items").to_pylist()), strict=True)]
         cover = np.zeros(starts[-1] + 1, np.int32)
         np.add.at(cover, lows, 1)
         np.add.at(cover, highs, -1)
@@ -254,22 +272,29 @@ def _pass(docs: DataFrame, phrases: Phrases, keep_text: bool, first: bool) -> Da
         for b in batches:
             part = slice(at, at + b.num_rows)
             at += b.num_rows
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(counts[part]), pa.array(spans[part], span), pa.array([sorted(x) for x in items[part]], pa.list_(pa.string()))], [*names, *(f.name for f in HITS)])
-
+            text = b.column("text")
+            if cut:
+                text = pa.array([cut_words(t, s) if s else t for t, s in zip(text.to_pylist(), spans[part], strict=True)], text.type)
+            elif final:
+                text = pa.nulls(b.num_rows, text.type)
+            yield pa.RecordBatch.from_arrays([b.column("row"), text, pa.array(counts[part]), pa.array(spans[part], span), pa.array([sorted(x) for x in items[part]], pa.list_(pa.string()))], [f.name for f in fields])
+
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, words, size = [], [], 0
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 held.append(batch)
+                words += map(shared.value.encode, batch.column("text").to_pylist())
                 size += batch.column("text").nbytes
                 if size >= SHARD_BYTES:
-                    yield from shard(held)
-                    held, size = [], 0
+                    yield from shard(held, words)
+                    held, words, size = [], [], 0
         if held:
-            yield from shard(held)
+            yield from shard(held, words)
 
-    return docs.mapInArrow(run, T.StructType([*own, *HITS]))
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -277,7 +302,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = find_hits(docs.select("doc_id", "text"), benchmark)
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]).cast("long"))
     return found.select(
-        "doc_id",
+        "row.doc_id",
         F.col("__n_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("__items").cast("long").alias("n_items"),
@@ -298,14 +323,5 @@ def cut_words(text: str, spans: list[dict[str, int]]) -> str:
 
 def remove_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with benchmark passages cut out of ``text``; ``n_chars``, if there, follows."""
-    others = [c for c in docs.columns if c != "text"]
-    row = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
-    found = find_hits(docs.select(row.alias("row"), "text"), benchmark, keep_text=True)
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([cut_words(t, s) if s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
-
-    clean = F.size("__spans") == 0
-    found = found.select("row", clean.alias("clean"), F.when(clean, F.col("text")).otherwise(cut("text", "__spans")).alias("new"))
-    return found.select(*with_new_text(docs, "row", F.col("new"), F.col("clean")))
+    found = find_hits(docs, benchmark, cut=True).select("row", "text", (F.size("__spans") == 0).alias("clean"))
+    return found.select(*with_new_text(docs, "row", F.col("text"), F.col("clean")))
