@@ -1,30 +1,35 @@
 """Quality rules: fixed counts per text, and distribution divergence.
 
-The divergence rule compares two histograms of a document with references of
-its language: character classes and common words.  The distance is that of
-Jensen and Shannon (square root of the divergence, base 2, so 0 to 1).  A
-document fails when its distance to the nearest reference is over the limit of
-either histogram; a histogram with fewer characters or words than its guard
-says nothing, so short texts pass this rule.
-
-References are sums over all documents that pass the fixed counts, by ``lang``
-(null and other languages are left out: a reference exists for the languages
-of ``COMMON``).  They have a fixed size, so they fit in a closure.
+The divergence rule compares two histograms of a document with the references
+of a language: character classes and common words.  The distance is that of
+Jensen and Shannon (square root of the divergence, base 2, so 0 to 1).  Of all
+references the one with the least sum of both distances is taken, and a
+document fails when either distance to it is over its limit; a histogram with
+fewer characters or words than its guard says nothing, so short texts pass.
+
+References are sums over all documents that pass the fixed counts, by
+``lang``.  They have a fixed size, so they fit in a closure.  A reference
+exists for the languages of ``COMMON`` that the table has; on documents of
+another language, or of none, the divergence rule has no verdict and its
+distances are null, so only the fixed counts can reject them.
 
 Defined results: a null or blank text has no words and fails the base rule;
-texts of any length are read whole; equal rows are kept; other columns pass
-through ``filter_documents`` untouched.
+texts of any length are read whole; equal rows, and rows without a doc_id, are
+kept apart and judged alike; an empty table gives an empty result; other
+columns pass through ``filter_documents`` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied, tidy
+
 #: Common words of each language.
 COMMON = {
     "en": "the of and to in a is that for it as was with be by on not he his are at this have from or an they which you we".split(),
@@ -39,6 +44,8 @@ CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQR
 MIN_CHARS, MIN_WORDS = 200, 40
 CHARS_LIMIT, WORDS_LIMIT = (0.12, 3.2), (0.15, 2.0)
 SYMBOLS = b"#*$%&|<>"
+#: Rows that are worked on at a time.
+ROWS = 500
 
 _CLASS = np.full(256, len(CLASSES), np.uint8)
 for _k, _v in enumerate(CLASSES.values()):
@@ -114,13 +121,16 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Reference histograms by language, summed over all documents."""
     size = N_CLASSES + len(WORDS) + 1
 
-    def partial(batches):
+    @tidied
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                if not base_failed(len(words), repeated_words(words)):
-                    sums[lang] = sums.get(lang, 0) + np.concatenate(histograms(text))
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    words = (text or "").encode().split()
+                    if not base_failed(len(words), repeated_words(words)):
+                        sums[lang] = sums.get(lang, 0) + np.concatenate(histograms(text))
         langs = [k for k in sums for _ in range(size)]
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(list(range(size)) * len(sums), pa.int32()), pa.array(np.concatenate([*sums.values(), np.zeros(0)]).astype(np.int64))], ["lang", "k", "n"])
 
@@ -141,41 +151,47 @@ SCHEMA = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:b
 
 
 def judge(refs: dict[str, tuple[np.ndarray, np.ndarray]], chars_limit: tuple[float, float] = CHARS_LIMIT, words_limit: tuple[float, float] = WORDS_LIMIT) -> Callable:
-    """A column function of the text: all counts, the distances and the verdict."""
-    char_refs = np.array([c for c, _ in refs.values()]).reshape(len(refs), N_CLASSES)
-    word_refs = np.array([w for _, w in refs.values()]).reshape(len(refs), len(WORDS) + 1)
-
-    @F.arrow_udf(SCHEMA)
-    def verdict(texts: pa.Array) -> pa.Array:
-        rows, classes, words = [], [], []
-        for t in texts.to_pylist():
-            rows.append(base_counts(t))
-            c, w = histograms(t)
-            classes.append(c)
-            words.append(w)
-        base = np.array(rows, np.int64).reshape(len(rows), 5)
-        classes, words = np.array(classes).reshape(len(rows), N_CLASSES), np.array(words).reshape(len(rows), len(WORDS) + 1)
+    """A column function of text and lang: all counts, the distances and the verdict."""
+    langs = sorted(refs)
+    char_refs = np.array([refs[k][0] for k in langs]).reshape(len(refs), N_CLASSES)
+    word_refs = np.array([refs[k][1] for k in langs]).reshape(len(refs), len(WORDS) + 1)
+
+    def some(texts: list[str | None], known: np.ndarray) -> pa.StructArray:
+        n = len(texts)
+        base = np.array([base_counts(t) for t in texts], np.int64).reshape(n, 5)
+        both = [histograms(t) for t in texts]
+        classes, words = np.array([c for c, _ in both]).reshape(n, N_CLASSES), np.array([w for _, w in both]).reshape(n, len(WORDS) + 1)
         failed = (base[:, 0] < 10) | (100 * base[:, 4] > 20 * base[:, 0])
-        chars_js, words_js = np.zeros(len(rows)), np.zeros(len(rows))
-        if len(refs):
-            for lo in range(0, len(rows), 256):
-                chars_js[lo : lo + 256] = jensen_shannon(classes[lo : lo + 256], char_refs).min(1)
-                words_js[lo : lo + 256] = jensen_shannon(words[lo : lo + 256], word_refs).min(1)
+        chars_js, words_js = np.zeros(n), np.zeros(n)
+        if langs:
+            by_chars, by_words = jensen_shannon(classes, char_refs), jensen_shannon(words, word_refs)
+            nearest = (by_chars + by_words).argmin(1)
+            chars_js, words_js = by_chars[np.arange(n), nearest], by_words[np.arange(n), nearest]
         far = beyond(chars_js, classes.sum(1), MIN_CHARS, chars_limit) | beyond(words_js, words.sum(1), MIN_WORDS, words_limit)
-        columns = [*(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & ~far), pa.array(chars_js), pa.array(words_js)]
+        columns = [*(pa.array(base[:, k]) for k in range(5)), pa.array(failed), pa.array(~failed & ~(far & known)), pa.array(chars_js, mask=~known), pa.array(words_js, mask=~known)]
         return pa.StructArray.from_arrays(columns, [*COUNTS, "base_failed", "kept", "chars_js", "words_js"])
 
+    @F.arrow_udf(SCHEMA)
+    def verdict(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            for texts, lang in batches:
+                known = np.array([k in refs for k in lang.to_pylist()], bool)
+                parts = [some(texts[lo : lo + ROWS].to_pylist(), known[lo : lo + ROWS]) for lo in range(0, max(len(texts), 1), ROWS)]
+                yield pa.concat_arrays(parts)
+        finally:
+            tidy()
+
     return verdict
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """Columns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_js, words_js."""
     verdict = judge(references(docs))
-    return docs.select("doc_id", verdict("text").alias("__v")).select("doc_id", "__v.*")
+    return docs.select("doc_id", verdict("text", "lang").alias("__v")).select("doc_id", "__v.*")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns."""
     verdict = judge(references(docs))
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return rows.where(verdict(F.col("row.text"))["kept"]).select("row.*")
+    return rows.where(verdict(F.col("row.text"), F.col("row.lang"))["kept"]).select("row.*")
