@@ -5,24 +5,36 @@ logistic regression on hashed letter trigrams, predicts that bit; the decoder
 adds the logistic loss of all bits for every codeword and takes the language
 of the least loss.  ``ambiguous`` flags texts whose two best losses are close.
 
-The models are fitted on a bounded sample: the ``SAMPLE`` labelled training
-rows with the smallest hash of their doc_id (so that a hot text is not drawn
-again and again), of texts of at most ``SAMPLE_TEXT_BYTES``.  Prediction reads whole texts; language, source and id
-are no inputs of it.
+The models are fitted on a bounded sample: ``SAMPLE`` labelled training texts
+in all, shared evenly by the languages but at least ``LEAST`` each, the
+distinct texts with the smallest hashes of their language.  A hot text is
+drawn once at most, every language is learned however few or long its texts
+are, and what reaches the driver is one vector of ``FEATURES`` numbers a text.
+Prediction reads whole texts; language, source and id are no inputs of it.
 
 Defined results: a null text, and a text without any letter, is ``und`` with
 score 0; without training labels every text is ``und``; with one label only,
-every text with a letter gets it with score 1; equal rows are kept.
+every text with a letter gets it with score 1; a null doc_id is not held out;
+equal rows are kept; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from .common import tidy
 
-SAMPLE, SAMPLE_TEXT_BYTES, FEATURES = 3000, 16_000, 4096
+SAMPLE, LEAST, FEATURES = 3000, 50, 4096
+#: Rows that are worked on at a time.
+ROWS = 256
 #: Difference of the mean losses under which a decision is ambiguous.
 MARGIN = 0.1
 UNDETERMINED = "und"
@@ -58,11 +70,11 @@ def codewords(n: int) -> np.ndarray:
 
 
 class CodeModel:
-    def __init__(self, texts: list[str], langs: list[str], rounds: int = 150, rate: float = 8.0, decay: float = 1e-4):
+    def __init__(self, x: np.ndarray, langs: list[str], rounds: int = 150, rate: float = 8.0, decay: float = 1e-4):
+        """``x`` has the features of one text a row."""
         self.langs = sorted(set(langs))
         self.code = codewords(len(self.langs)) if len(self.langs) > 1 else np.zeros((len(self.langs), 0), np.float32)
-        x = np.array([features(t) for t in texts], np.float32).reshape(len(texts), FEATURES)
-        y = self.code[[self.langs.index(k) for k in langs]] if texts else np.zeros((0, 0), np.float32)
+        y = self.code[[self.langs.index(k) for k in langs]] if langs else np.zeros((0, 0), np.float32)
         self.bias = np.zeros(self.code.shape[1], np.float32)
         self.weights = np.zeros((FEATURES, self.code.shape[1]), np.float32)
         speed = np.zeros_like(self.weights)
@@ -84,12 +96,32 @@ class CodeModel:
         return order[:, 0], p.max(1) / p.sum(1), two[:, 1] - two[:, 0] < MARGIN
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> CodeModel:
-    """A model from columns doc_id, text and lang; reads all rows, keeps ``sample`` of them."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES))
-    got = rows.select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "text", "lang").limit(sample).collect()
-    got = [r for r in got if has_letter(r["text"])]
-    return CodeModel([r["text"] for r in got], [r["lang"] for r in got])
+@F.arrow_udf(T.BinaryType())
+def _vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Features of each text in half precision; null for a text without a letter."""
+    for texts in batches:
+        yield pa.array([features(t).astype(np.float16).tobytes() if has_letter(t) else None for t in texts.to_pylist()], pa.binary())
+
+
+def fit(labelled: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> CodeModel:
+    """A model from columns text and lang; reads all rows and learns from the sample.
+
+    Of each language the texts are taken whose hash is under a bound that lets
+    twice its share pass, so only these are brought together.
+    """
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text", "lang").bitwiseAND((1 << 62) - 1).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row a language
+    if not sizes:
+        return CodeModel(np.zeros((0, FEATURES), np.float32), [])
+    share = max(least, sample // len(sizes))
+    bound = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(min(1.0, (2 * share + 20) / max(n, 1)) * (1 << 62)))])
+    drawn = rows.where(F.col("h") <= bound[F.col("lang")]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    got = drawn.select("lang", "h", _vectors("text").alias("x")).where("x is not null")
+    rank = Window.partitionBy("lang").orderBy("h")
+    kept = got.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= share).collect()  # at most ``share`` rows a language
+    kept.sort(key=lambda r: (r["lang"], r["h"]))
+    x = np.array([np.frombuffer(r["x"], np.float16) for r in kept], np.float32).reshape(len(kept), FEATURES)
+    return CodeModel(x, [r["lang"] for r in kept])
 
 
 def has_letter(text: str | None) -> bool:
@@ -99,19 +131,24 @@ def has_letter(text: str | None) -> bool:
 def predictor(model: CodeModel):
     """A column function of the text: struct of lang, score and ambiguous."""
 
-    @F.arrow_udf("struct<lang:string,score:double,ambiguous:boolean>")
-    def predict(texts: pa.Array) -> pa.Array:
+    def some(texts: list[str | None]) -> pa.StructArray:
         langs, scores, flags = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        for lo in range(0, len(texts) if model.langs else 0, 512):
-            part = texts[lo : lo + 512].to_pylist()
-            at = [k for k, t in enumerate(part) if has_letter(t)]
-            if not at:
-                continue
-            best, score, unsure = model.decode(np.array([features(part[k]) for k in at]))
-            for k, b, s, u in zip(at, best, score, unsure, strict=True):
-                langs[lo + k], scores[lo + k], flags[lo + k] = model.langs[b], s, u
+        at = [k for k, t in enumerate(texts) if has_letter(t)] if model.langs else []
+        if at:
+            best, score, unsure = model.decode(np.array([features(texts[k]) for k in at]))
+            scores[at], flags[at] = score, unsure
+            for k, b in zip(at, best.tolist(), strict=True):
+                langs[k] = model.langs[b]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(flags)], ["lang", "score", "ambiguous"])
 
+    @F.arrow_udf("struct<lang:string,score:double,ambiguous:boolean>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield pa.concat_arrays([some(texts[lo : lo + ROWS].to_pylist()) for lo in range(0, max(len(texts), 1), ROWS)])
+        finally:
+            tidy()
+
     return predict
 
 
