@@ -8,11 +8,19 @@ with the whole page in view.  Scripts, styles, comments in the markup and the
 head are no blocks.
 
 The labeller is trained where it is used, with a fixed seed, on ``TRAIN``
-pages that ``sample_page`` composes: many layouts of articles among menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments.
+pages that ``sample_page`` composes: articles in named and unnamed containers
+among menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments, with headings, captions, lists and tables, and with end tags left out.
+
+The page is read once from left to right: every search either moves on or
+shows that there is no more of what was sought, so time and memory are linear
+in the page, whatever its markup.
 
 Defined results: a null or empty page has no text; broken markup is read as
-far as it goes; pages of any length are read whole; equal rows are kept.
+far as it goes (a tag that never ends is dropped, a script that never ends
+takes the rest of the page, a quote that never ends is part of its value);
+pages of any length are read whole; equal rows are kept; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,16 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN, EPOCHS, HIDDEN, PROJECT = 700, 12, 24, 32
-PATH_DIM, WORD_DIM, NUMBERS = 512, 1024, 8
-DIM = PATH_DIM + WORD_DIM + NUMBERS
+from .common import tidy
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|svg|iframe|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+TRAIN, EPOCHS, HIDDEN, PROJECT = 1600, 12, 32, 32
+#: Pages that are worked on at a time.
+ROWS = 250
+PATH_DIM, WORD_DIM, NUMBERS = 4096, 2048, 12
+DIM = PATH_DIM + WORD_DIM + NUMBERS
+#: Innermost tags of a path that are read, and numbers gathered at a time.
+DEPTH, GATHER = 64, 200_000
+
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style noscript template svg iframe".split())
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=]?+[^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+_NAMED = frozenset("class id role itemprop aria-label".split())
 _NAME = re.compile(r"[a-z]+")
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul label".split()
@@ -49,25 +63,79 @@ _CLOSES_P = BLOCKS - {"button", "option", "select", "label", "body", "html"}
 
 
 class Block:
-    __slots__ = ("linked", "path", "text")
+    """A text, the names on its tag path, its linked characters, and the numbers of the elements around its own."""
+
+    __slots__ = ("around", "linked", "path", "text")
+
+    def __init__(self, text: str, path: tuple[str, ...], linked: int, around: tuple[int, int]):
+        self.text, self.path, self.linked, self.around = text, path, linked, around
+
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, list[tuple[str, str]], bool]]:
+    """What is no text: (begin, end, tag, whether it closes, attributes, whether it ends with a slash).
 
+    Comments, declarations and raw elements have no tag name.
+    """
+    at, n, missing = 0, len(page), set()
 
-def _names(tag: str, attrs: str) -> tuple[str, ...]:
+    def find(what: str, start: int) -> int:
+        k = -1 if what in missing else page.find(what, start)
+        if k < 0:
+            missing.add(what)
+        return k
+
+    while (at := find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), at):
+            mark = "-->" if page.startswith("<!--", at) else "]]>" if page.startswith("<![CDATA[", at) else ">"
+            k = find(mark, at + 2)
+            end = n if k < 0 else k + len(mark)
+            yield at, end, "", False, [], False
+            at = end
+            continue
+        m = _TAG.match(page, at)
+        if not m:
+            at += 1
+            continue
+        begin, tag, closes, attributes, k = at, m[1].lower(), page[at + 1] == "/", [], m.end()
+        while k < n and page[k] != ">":
+            x = _ATTRIBUTE.match(page, k)
+            if x.end() == k:
+                k += 1
+                continue
+            if x[1].lower() in _NAMED:
+                attributes.append((x[1].lower(), x[2] or x[3] or x[4] or ""))
+            k = x.end()
+        if k >= n:  # the tag never ends
+            yield begin, n, "", False, [], False
+            return
+        at = k + 1
+        if not closes and (tag in RAW or tag == "head") and tag not in missing:
+            found = re.compile(rf"</{tag}[\s/>]|<body[\s/>]" if tag == "head" else rf"</{tag}[\s/>]", re.I).search(page, at)
+            if found or tag in ("script", "style"):
+                end = n if not found else found.start() if found[0][1] != "/" else find(">", found.start()) + 1 or n
+                yield begin, end, "", False, [], False
+                at = end
+                continue
+            missing.add(tag)
+        yield begin, at, tag, closes, attributes, page[k - 1] == "/"
+
+
+def _names(tag: str, attributes: list[tuple[str, str]]) -> tuple[str, ...]:
     out = [tag]
-    for m in _ATTR.finditer(attrs):
-        out += [f"{m[1].lower()[0]}.{n}" for n in _NAME.findall((m[2] or m[3] or m[4] or "").lower())]
-        out += [f".{n}" for n in _NAME.findall((m[2] or m[3] or m[4] or "").lower())]
+    for name, value in attributes:
+        found = _NAME.findall(value.lower())
+        out += [f"{name[0]}.{x}" for x in found]
+        out += [f".{x}" for x in found]
     return tuple(out)
 
 
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; text decoded, white space made single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
+    opened = 0
     parts: list[str] = []
+    open_tags: dict[str, int] = {}
     linked = 0
     in_link = 0
 
@@ -76,37 +144,41 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(n for _, ns in stack for n in ns), linked))
+                near = stack[-DEPTH:]
+                chain = [0, 0, *(k for x, _, k in near if x in BLOCKS)]
+                own = next((x for x, _, _ in reversed(near) if x in BLOCKS), "")
+                out.append(Block(text, tuple({f"^{own}": 0} | {n: 0 for _, ns, _ in near for n in ns}), linked, (chain[-2], chain[-3] if len(chain) > 2 else 0)))
         parts, linked = [], 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            t = page[at : m.start()]
-            t = html.unescape(t) if "&" in t else t
-            parts.append(t)
-            if in_link:
-                linked += len(t)
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"]:
-                parts.append(" ")
+
+    def say(t: str) -> None:
+        nonlocal linked
+        t = html.unescape(t) if "&" in t else t
+        parts.append(t)
+        if in_link:
+            linked += len(t)
+
+    for begin, end, tag, closes, attributes, empty in tags(page):
+        if begin > at:
+            say(page[at:begin])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         block = tag in BLOCKS
         if block:
             close()
         elif tag == "br":
             parts.append(" ")
-        if m["close"]:
-            if any(x == tag for x, _ in stack):
+        if closes:
+            if open_tags.get(tag):
                 while stack:
-                    x, _ = stack.pop()
+                    x, _, _ = stack.pop()
+                    open_tags[x] -= 1
                     in_link -= x == "a"
                     if x == tag:
                         break
-        elif tag not in VOID and not m["attrs"].endswith("/"):
+        elif tag not in VOID and not empty:
             ends = ENDS.get(tag, ())
             if tag in _CLOSES_P:
                 ends = {*ends, "p"}
@@ -114,45 +186,77 @@ def blocks(page: str) -> list[Block]:
                 for k in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
                     x = stack[k][0]
                     if x in ends:
-                        in_link -= sum(y == "a" for y, _ in stack[k:])
+                        for y, _, _ in stack[k:]:
+                            open_tags[y] -= 1
+                            in_link -= y == "a"
                         del stack[k:]
                         break
                     if x in BLOCKS:
                         break
-            stack.append((tag, _names(tag, m["attrs"])))
+            opened += 1
+            stack.append((tag, _names(tag, attributes), opened))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
             in_link += tag == "a"
     if at < len(page):
-        parts.append(html.unescape(page[at:]))
+        say(page[at:])
     close()
     return out
 
 
-_slots: dict[str, int] = {}
+class Slots(dict):
+    """Hashed columns of names and words; holds a bounded number of them."""
 
+    def __init__(self, size: int, offset: int):
+        super().__init__()
+        self.size, self.offset = size, offset
 
-def _slot(name: str, size: int, offset: int) -> int:
-    key = f"{offset}{name}"
-    k = _slots.get(key)
-    if k is None:
-        if len(_slots) > 300_000:
-            _slots.clear()
-        k = _slots[key] = offset + zlib.crc32(key.encode()) % size
-    return k
+    def __missing__(self, name: str) -> int:
+        if len(self) >= 50_000:
+            self.clear()
+        self[name] = k = self.offset + zlib.crc32(f"{self.offset}{name}".encode()) % self.size
+        return k
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row per block."""
-    x = np.zeros((len(page), DIM), np.float32)
-    total = sum(len(b.text) for b in page) or 1
+def slots() -> tuple[Slots, Slots]:
+    return Slots(PATH_DIM, 0), Slots(WORD_DIM, PATH_DIM)
+
+
+def numbers(page: list[Block]) -> np.ndarray:
+    """Lengths, links, place, and the share of the page's text that stands in the same elements."""
+    total, inside = 1, {}
+    for b in page:
+        n = len(b.text) - min(b.linked, len(b.text))
+        total += n
+        for k in {*b.around}:
+            inside[k] = inside.get(k, 0) + n
+    rows = []
     for i, b in enumerate(page):
-        for name in b.path:
-            x[i, _slot(name, PATH_DIM, 0)] = 1
-        words = b.text.lower().split(" ")
-        counts = np.bincount([_slot(w, WORD_DIM, PATH_DIM) - PATH_DIM for w in words], minlength=WORD_DIM)
-        x[i, PATH_DIM : PATH_DIM + WORD_DIM] = counts / len(words)
         n = len(b.text)
-        x[i, PATH_DIM + WORD_DIM :] = (min(n, 600) / 300, np.log1p(n) / 5, min(1.0, b.linked / n), i / len(page), n / total, b.text[-1] in ".!?", len(b.path) / 10, b.text[0].isupper())
-    return x
+        before, after = (page[k].around[0] == b.around[0] if 0 <= k < len(page) else False for k in (i - 1, i + 1))
+        rows.append((min(n, 600) / 300, np.log1p(n) / 5, min(1.0, b.linked / n), i / len(page), n / total, b.text[-1] in ".!?", min(len(b.path), 40) / 10, b.text[0].isupper(), inside[b.around[0]] / total, inside[b.around[1]] / total, before, after))
+    return np.array(rows, np.float32).reshape(len(page), NUMBERS)
+
+
+class Gathered:
+    """Blocks as rows of the dense layer's matrix: which rows, how much of each, and where a block starts."""
+
+    def __init__(self, page: list[Block], hashed: tuple[Slots, Slots]):
+        names, words = hashed
+        which: list[int] = []
+        scale: list[float] = []
+        self.first: list[int] = []
+        for b in page:
+            own = b.text.lower().split(" ")
+            path = {names[x] for x in b.path}
+            self.first.append(len(which))
+            which += path
+            scale += [1.0] * len(path)
+            which += [words[w] for w in own]
+            scale += [1 / len(own)] * len(own)
+        self.which, self.scale = np.array(which, np.int64), np.array(scale, np.float32)[:, None]
+
+    def project(self, weight: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weight[self.which] * self.scale, self.first, axis=0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -193,15 +297,30 @@ class Labeller:
             out[t] = s
         return out, tape
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        e = np.maximum(x @ self.p["W"] + self.p["b"], 0)
+    def project(self, pages: list[list[Block]], hashed: tuple[Slots, Slots]) -> list[np.ndarray]:
+        """The dense layer over the blocks of pages, some blocks at a time."""
+        weight, all_ = self.p["W"], [b for page in pages for b in page]
+        e, done, size = np.empty((len(all_), PROJECT), np.float32), 0, 0
+        for i, b in enumerate(all_):
+            size += len(b.path) + len(b.text) // 4
+            if size >= GATHER or i == len(all_) - 1:
+                e[done : i + 1] = Gathered(all_[done : i + 1], hashed).project(weight)
+                done, size = i + 1, 0
+        e += np.concatenate([numbers(page) for page in pages]) @ weight[PATH_DIM + WORD_DIM :] + self.p["b"]
+        return np.split(np.maximum(e, 0), np.cumsum([len(page) for page in pages])[:-1])
+
+    def read(self, e: np.ndarray, mask: np.ndarray, keep: bool = False):
         f, tf = self._direction("f", e, mask, keep)
         b, tb = self._direction("b", e, mask, keep)
         s = np.concatenate([f, b], 2)
         return (s @ self.p["O"] + self.p["o"])[..., 0], (e, s, tf, tb)
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        out, (e, s, tf, tb) = self.forward(x, mask, True)
+    def gradients(self, pages: list[tuple[Gathered, np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
+        """``pages`` has gathered rows, numbers and labels."""
+        weight, fixed = self.p["W"], PATH_DIM + WORD_DIM
+        rows = [np.maximum(got.project(weight) + x @ weight[fixed:] + self.p["b"], 0) for got, x, _ in pages]
+        (inputs, mask), y = pad(rows), pad([y[:, None] for _, _, y in pages])[0][..., 0]
+        out, (e, s, tf, tb) = self.read(inputs, mask, True)
         h = HIDDEN
         d_out = ((_sigmoid(out) - y) * mask / mask.sum())[..., None].astype(np.float32)
         g = {"O": np.einsum("tnk,tno->ko", s, d_out), "o": d_out.sum((0, 1))}
@@ -222,27 +341,31 @@ class Labeller:
                 d_cell = np.where(m, d_c * f, d_cell)
             g |= {f"X{d}": gx, f"H{d}": gh, f"c{d}": gc}
         de *= e > 0
-        g |= {"W": np.einsum("tnd,tnp->dp", x, de, optimize=True), "b": de.sum((0, 1))}
-        return g
-
-    def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, batch: int = 64, rate: float = 0.012) -> Labeller:
-        rng = np.random.default_rng(11)
+        own = np.zeros_like(weight)
+        for k, (got, x, _) in enumerate(pages):
+            d = de[: len(x), k]
+            np.add.at(own, got.which, np.repeat(d, np.diff([*got.first, len(got.which)]), 0) * got.scale)
+            own[fixed:] += x.T @ d
+        return g | {"W": own, "b": de.sum((0, 1))}
+
+    def train(self, pages: list[tuple[list[Block], np.ndarray]], epochs: int = EPOCHS, batch: int = 48, rate: float = 0.012) -> Labeller:
+        rng, hashed = np.random.default_rng(11), slots()
+        ready = [(Gathered(page, hashed), numbers(page), y) for page, y in pages]
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         step = 0
         for epoch in range(epochs):
-            for part in np.array_split(rng.permutation(len(pages)), max(1, len(pages) // batch)):
-                x, mask = pad([pages[k][0] for k in part])
-                y = pad([pages[k][1][:, None] for k in part])[0][..., 0]
+            for part in np.array_split(rng.permutation(len(ready)), max(1, len(ready) // batch)):
                 step += 1
-                for k, g in self.gradients(x, mask, y).items():
+                for k, g in self.gradients([ready[i] for i in part]).items():
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
-                    self.p[k] -= (rate * (0.5 ** (epoch / 5)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                    self.p[k] -= (rate * (0.5 ** (epoch / 4)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return self
 
-    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]], hashed: tuple[Slots, Slots] | None = None) -> list[np.ndarray]:
         """For each page which blocks are article text; pages of like length go together."""
+        hashed = hashed or slots()
         out = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         at = 0
@@ -252,8 +375,7 @@ class Labeller:
                 n += 1
             part = order[at : at + n]
             at += n
-            x, mask = pad([vectors(pages[k]) for k in part])
-            score = self.forward(x, mask)[0]
+            score = self.read(*pad(self.project([pages[k] for k in part], hashed)))[0]
             for j, k in enumerate(part):
                 out[k] = score[: len(pages[k]), j] > 0
         return out
@@ -274,24 +396,23 @@ _FURNITURE = {
     "nav": "home about contact news sport shop login search menu archive blog products services help next previous".split(),
     "note": "we use cookies to improve your experience accept all settings privacy policy subscribe newsletter sign up now offer free trial".split(),
     "foot": "copyright all rights reserved terms of use imprint privacy sitemap follow us contact".split(),
-    "comment": "great post thanks i disagree with this reply report says wrote anonymous ago likes".split(),
+    "comment": "great post thanks i disagree with this reply report says wrote anonymous ago likes you my agree lol share".split(),
     "ad": "advertisement sponsored buy now best deal discount order today click here".split(),
+    "side": "related popular most read more stories trending latest tags recommended also".split(),
 }
-_OPEN = {
-    "nav": ['<nav>', '<nav class="main-nav">', '<div class="menu">', '<ul class="menu">', '<div id="navigation">', '<div class="navbar">', '<div class="breadcrumbs">', '<div role="navigation">', '<div class="topnav">', '<menu>'],
-    "head": ['<header>', '<header class="site-header">', '<div id="header">', '<div class="header">', '<div class="masthead">', '<div role="banner">', '<div class="top-bar">'],
-    "foot": ['<footer>', '<footer class="site-footer">', '<div id="footer">', '<div class="footer">', '<div class="copyright">', '<div role="contentinfo">'],
-    "side": ['<aside>', '<aside class="sidebar">', '<div id="sidebar">', '<div class="sidebar">', '<div class="related">', '<div class="widget">', '<div role="complementary">', '<section class="related-posts">'],
-    "note": ['<div class="cookie-notice">', '<div id="cookie-banner">', '<div class="notice">', '<div class="banner">', '<div role="alert">', '<section class="notice">', '<div class="popup">', '<div class="consent">', '<div role="dialog">', '<p class="notice">', '<div class="newsletter">'],
-    "ad": ['<div class="ad">', '<div class="ads">', '<div class="advert">', '<div id="ad-top">', '<div class="advertisement">', '<div class="sponsored">', '<div class="promo">', '<aside class="ad">', '<section class="ad-slot">', '<p class="ad">', '<ins class="ad">', '<div class="adbox">'],
-    "form": ['<form>', '<form action="/search">', '<form class="search-form">', '<form id="subscribe">', '<form class="login">'],
-    "comment": ['<section class="comments">', '<div id="comments">', '<div class="comments">', '<section id="comments">', '<ol class="comment-list">', '<div class="comment-section">', '<div class="reader-comments">', '<div class="discussion">', '<div class="replies">'],
-    "main": ['<article>', '<article class="post">', '<main>', '<main><article>', '<div class="content"><article>', '<div id="content">', '<div class="post-content">', '<div class="article-body">', '<div class="entry-content">', '<section class="article">', '<div role="main">', '<div class="story">', '<article id="main">', '<main id="content"><div class="text">', '<div itemprop="articleBody">', '<div class="main">', '<div id="main">'],
+#: Kind of furniture: elements, and names of classes or ids.
+_CONTAINERS = {
+    "nav": ("nav div ul menu", "menu nav navbar navigation topnav breadcrumbs main-nav links"),
+    "head": ("header div", "header site-header masthead top-bar banner branding"),
+    "foot": ("footer div", "footer site-footer copyright colophon bottom"),
+    "side": ("aside div section", "sidebar related widget related-posts more-stories rail"),
+    "note": ("div section p", "cookie-notice cookie-banner notice banner popup consent newsletter alert"),
+    "ad": ("div section p aside", "ad ads advert advertisement sponsored promo ad-slot adbox"),
+    "form": ("form", "search-form subscribe login contact-form"),
+    "comment": ("section div ol ul", "comments comment-list comment-section reader-comments discussion replies responses"),
+    "main": ("article main div section", "content post post-content article-body entry-content story text main body-text"),
 }
-
-
-def _end(opened: str) -> str:
-    return "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opened)))
+_ROLES = {"nav": "navigation", "head": "banner", "foot": "contentinfo", "side": "complementary", "note": "dialog", "main": "main"}
 
 
 def sample_page(seed: int) -> str:
@@ -299,73 +420,100 @@ def sample_page(seed: int) -> str:
     rng = np.random.default_rng(seed)
     letters = list("etaoinshrdlucmfwypvbgkjqxz")
     own = ["".join(rng.choice(letters[: 12 + seed % 14], rng.integers(2, 9))) for _ in range(120)]
-
     everyday = [w for ws in _FURNITURE.values() for w in ws]
+    sloppy = rng.random() < 0.3
+
+    def one(options):
+        return options[int(rng.integers(len(options)))]
 
     def words(n: int, more: list[str] | None = None) -> str:
-        out = [str(rng.choice(more)) if more and rng.random() < 0.5 else str(rng.choice(own)) for _ in range(n)]
-        if rng.random() < 0.15:
-            out = [w + str(rng.choice(["&amp;", "###", "%%%", " |"])) for w in out]
-        return (" ".join(out)).capitalize() + str(rng.choice([".", "", "?", "."], p=[0.7, 0.15, 0.05, 0.1]))
+        out = [one(more) if more and rng.random() < 0.5 else one(own) for _ in range(n)]
+        out = [w + ("," if rng.random() < 0.06 else "") for w in out]
+        return " ".join(out).capitalize() + one([".", ".", ".", "", "?"])
+
+    def tag(name: str, inner: str, attributes: str = "") -> str:
+        loose = sloppy and name in ("p", "li", "td", "b", "em", "dd", "dt") and rng.random() < 0.5
+        return f"<{name}{attributes}>{inner}" + ("" if loose else f"</{name}>")
+
+    def made_up() -> str:
+        return "".join(rng.choice(letters, 5)) + str(rng.integers(100))
+
+    def container(kind: str, unnamed: float) -> tuple[str, str]:
+        elements, names = _CONTAINERS[kind]
+        element, r = one(elements.split()), rng.random()
+        if element in ("nav", "header", "footer", "aside", "form", "article", "main", "menu") and r < 0.4:
+            return element, ""
+        if rng.random() < unnamed:
+            return element if kind == "comment" else one(["div", "section"]), one(["", f' class="{made_up()}"', f" id='{made_up()}'"])
+        if kind in _ROLES and r > 0.92:
+            return element, f' role="{_ROLES[kind]}"'
+        name = one(names.split())
+        return element, one([f' class="{name}"', f" class={name}", f' id="{name}"', f' class="{made_up()} {name}"'])
 
     def furniture(kind: str) -> str:
-        opened = str(rng.choice(_OPEN[kind]))
-        more = _FURNITURE.get(kind)
-        n = int(rng.integers(1, 7))
-        style = rng.integers(0, 4)
-        if kind in ("nav", "head") or (style == 0 and kind != "comment"):
-            n = int(rng.integers(1, 9))
-            inner = "".join(f"<li><a href='/{k}'>\x01{words(int(rng.integers(1, 4)), more)}</a></li>" for k in range(n))
-            inner = f"<ul>{inner}</ul>" if rng.random() < 0.7 else inner.replace("li>", "span>").replace("</span>", "</span><br>") if rng.random() < 0.3 else inner
-            if kind == "head" and rng.random() < 0.6:
-                inner = f"<h1>\x01{words(3)}</h1>" + inner
-        elif kind == "form":
-            inner = f"<label>\x01{words(2, _FURNITURE['note'])}</label><input name=q><p>\x01{words(int(rng.integers(2, 14)))}</p><select><option>\x01{words(1)}<option>\x01{words(1)}</select><button>\x01{words(1)}</button>"
+        element, attributes = container(kind, 0.25 if kind == "comment" else 0.0)
+        more, n = _FURNITURE.get(kind), int(rng.integers(1, 7))
+        if kind == "form":
+            inner = tag("label", "\x01" + words(2, _FURNITURE["note"])) + "<input name=q>" + tag("p", "\x01" + words(int(rng.integers(2, 14)))) + f"<select><option>\x01{words(1)}<option>\x01{words(1)}</select><button>\x01{words(1)}</button>"
         elif kind == "comment":
-            inner = (f"<h3>\x01{words(2, more)}</h3>" if rng.random() < 0.5 else "") + "".join(str(rng.choice(["<div class='comment'><p>{}</p></div>", "<li>{}</li>", "<p>{}</p>", "<div class='comment'><b>{}</b></div>", "<article class='comment'><p>{}</p></article>"])).format("\x01" + words(int(rng.integers(3, 40)), more)) for _ in range(n))
-        elif style == 1:
-            inner = "\x01" + words(int(rng.integers(2, 30)), more)
+            def remark() -> str:
+                name = one([tag("b", "\x01" + words(2)), tag("div", "\x01" + words(1) + f" {rng.integers(2, 30)} days ago"), tag("cite", "\x01" + words(2)), ""])
+                end = one(["", "", tag("div", "<a href='#'>\x01reply</a> <a href='#'>report</a>")])
+                return name + tag("p", "\x01" + words(int(rng.integers(3, 40)), more)) + end
+            head = tag(one(["h2", "h3", "h4"]), "\x01" + one([f"{rng.integers(2, 90)} comments", "Comments", words(2, more)])) if rng.random() < 0.7 else ""
+            item = "li" if element in ("ol", "ul") else one(["div", "div", "article"])
+            inner = head + "".join(tag(item, remark(), one(["", ' class="comment"', f' class="{made_up()}"'])) for _ in range(n))
+        elif element == "p" or (kind in ("foot", "ad", "note", "side") and rng.random() < 0.35):
+            sign = one(["", "&copy; ", f"&copy; {made_up()}.com ", "&#169; 2020 "]) if kind == "foot" else ""
+            inner = "\x01" + sign + words(int(rng.integers(3, 25)), one([more, own]))
+        elif kind in ("nav", "head") or rng.random() < 0.3:
+            cells = "".join(tag("li", f"<a href='/{k}'>\x01{words(int(rng.integers(1, 4)), more)}</a>") for k in range(n + 1))
+            inner = cells if element in ("ul", "menu") else tag("ul", cells) if rng.random() < 0.7 else "".join(f"<a href='/{k}'>\x01{words(2, more)}</a> " for k in range(n))
+            if kind == "head" and rng.random() < 0.6:
+                inner = tag(one(["h1", "div", "p"]), "\x01" + words(3)) + inner
         else:
-            inner = (f"<h3>\x01{words(2)}</h3>" if rng.random() < 0.4 else "") + "".join(f"<p>\x01{words(int(rng.integers(2, 35)), more)}</p>" for _ in range(n))
-        if opened.startswith("<p"):
-            inner = "\x01" + words(int(rng.integers(3, 25)), more)
-        return opened + inner + _end(opened)
+            inner = (tag("h3", "\x01" + words(2, more)) if rng.random() < 0.4 else "") + "".join(tag("p", "\x01" + words(int(rng.integers(2, 35)), more)) for _ in range(n))
+        return f"<{element}{attributes}>{inner}</{element}>"
 
     def paragraph() -> str:
-        t = "\x02" + words(int(rng.choice([1, 3, 8, 20, 50, 90])), everyday if rng.random() < 0.3 else None)
-        k = rng.integers(0, 12)
-        if k == 0:
-            return f"<h2>{t}</h2>"
-        if k == 1:
-            return f"<p><b>{t}<br>"
-        if k == 2:
-            return f"<ul><li>{t}</li><li>\x02{words(6)}</li></ul>"
-        if k == 3:
-            return f"<blockquote>{t}</blockquote>"
-        if k == 4:
-            return f"<p>{t} <a href='/x'>{words(2)}</a> {words(4)}</p>"
-        if k == 5:
-            return f"<table><tr><td>{t}</td><td>\x02{words(3)}</td></tr></table>"
-        if k == 6:
-            return f"<div>{t}</div>"
-        if k == 7:
-            return f"<pre>{t}</pre>"
-        return f"<p>{t}</p>"
+        t = "\x02" + words(one([1, 3, 8, 20, 50, 90]), everyday if rng.random() < 0.3 else None)
+        kind = one(["p"] * 8 + ["h2", "h3", "b", "ul", "ol", "quote", "link", "table", "div", "pre", "figure", "dl", "em"])
+        if kind in ("h2", "h3", "p", "div", "pre"):
+            return tag(kind, t)
+        if kind in ("b", "em"):
+            return tag("p", tag(kind, t) + one(["", "<br>", "<br/>" + words(8)]))
+        if kind in ("ul", "ol"):
+            return tag(kind, tag("li", t) + tag("li", "\x02" + words(6)))
+        if kind == "quote":
+            return tag("blockquote", one([t, tag("p", t)]))
+        if kind == "link":
+            return tag("p", f"{t} <a href='/x'>{words(2)}</a> {words(4)}")
+        if kind == "figure":
+            return tag("figure", "<img src=a.png>" + tag("figcaption", t))
+        if kind == "dl":
+            return tag("dl", tag("dt", "\x02" + words(2)) + tag("dd", t))
+        return f"<table><tr><td>{t}</td><td>\x02{words(3)}</td></tr></table>"
 
     def some(kinds: list[str], most: int) -> str:
-        return "".join(furniture(str(rng.choice(kinds))) for _ in range(int(rng.integers(0, most + 1))))
+        return "".join(furniture(one(kinds)) for _ in range(int(rng.integers(0, most + 1))))
 
-    opened = str(rng.choice(_OPEN["main"])) if rng.random() < 0.7 else "<article>"
-    body = (f"<header><h1>\x02{words(5)}</h1></header>" if rng.random() < 0.08 else f"<h1>\x02{words(5)}</h1>") if rng.random() < 0.85 else ""
+    element, attributes = container("main", 0.35)
+    title = tag("h1", "\x02" + words(5))
+    title = one([title, title, title, tag("header", title), tag("div", title), title + tag("p", "\x02" + words(3), ' class="byline"'), ""])
+    before = rng.random() < 0.12
+    body = "" if before else title
     for _ in range(int(rng.integers(1, 14))):
         body += paragraph()
         if rng.random() < 0.08:
-            body += furniture(str(rng.choice(["ad", "note", "form", "side"])))
-    page = some(["head", "nav", "ad", "note"], 4) + some(["side", "ad", "nav", "form"], 2)
-    tail = some(["comment", "side", "ad", "form", "note"], 3) + some(["foot", "nav"], 2)
-    if rng.random() < 0.3:
+            body += furniture(one(["ad", "note", "form", "side"]))
+    if rng.random() < 0.25:
         body += furniture("comment")
-    return f"<html><head><title>{words(4)}</title></head><body>{page}{opened}{body}{_end(opened)}{tail}</body></html>"
+    inner = f"<{element}{attributes}>{body}</{element}>"
+    if rng.random() < 0.2:
+        inner = tag(one(["main", "div", "div", "section"]), inner, one(["", f' class="{made_up()}"', ' class="wrap"']))
+    page = some(["head", "nav", "ad", "note"], 4) + some(["side", "ad", "nav", "form"], 2) + (title if before else "")
+    tail = some(["comment", "side", "ad", "form", "note"], 3) + some(["foot", "nav"], 2)
+    return f"<html><head><title>{words(4)}</title></head><body>{page}{inner}{tail}</body></html>"
 
 
 def labelled_pages(n: int, start: int = 0) -> list[tuple[list[Block], np.ndarray]]:
@@ -381,12 +529,12 @@ def labelled_pages(n: int, start: int = 0) -> list[tuple[list[Block], np.ndarray
 
 @lru_cache(maxsize=1)
 def default_labeller() -> Labeller:
-    return Labeller().train([(vectors(p), y) for p, y in labelled_pages(TRAIN)])
+    return Labeller().train(labelled_pages(TRAIN))
 
 
-def extract(pages: list[str | None], labeller: Labeller) -> list[str]:
+def extract(pages: list[str | None], labeller: Labeller, hashed: tuple[Slots, Slots] | None = None) -> list[str]:
     got = [blocks(p) if p else [] for p in pages]
-    return ["\n".join(b.text for b, take in zip(bs, keep, strict=True) if take) for bs, keep in zip(got, labeller.label(got), strict=True)]
+    return ["\n".join(b.text for b, take in zip(bs, keep, strict=True) if take) for bs, keep in zip(got, labeller.label(got, hashed), strict=True)]
 
 
 def page_texts(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
@@ -394,11 +542,16 @@ def page_texts(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     model = labeller or default_labeller()
 
     @F.arrow_udf("string")
-    def text(column: pa.Array) -> pa.Array:
-        out: list[str] = []
-        for lo in range(0, len(column), 500):
-            out += extract(column[lo : lo + 500].to_pylist(), model)
-        return pa.array(out, pa.string())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashed = slots()
+        try:
+            for column in batches:
+                out: list[str] = []
+                for lo in range(0, len(column), ROWS):
+                    out += extract(column[lo : lo + ROWS].to_pylist(), model, hashed)
+                yield pa.array(out, pa.string())
+        finally:
+            tidy()
 
     got = pages.select("page_id", "url", text(F.col("html")).alias("text"))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
