@@ -6,6 +6,12 @@ groups, in that order, needs at most ``n_shards`` shards is found by binary
 search, and the groups are cut there.  Everything on the main path is
 DataFrame operations.
 
+Many partitions keep to that capacity, and the law asks for near equal sizes.
+If the capacity is the size of a single group, that group is a shard of its
+own, and what stands on either side of it is shared out by the same rule.
+Otherwise each cut is made next to an even share of what is left, as far as
+the rest still fits the capacity.
+
 The search never brings groups to the driver.  It works on the prefix sums of
 the sizes: a greedy check needs, for each shard, the last prefix that is not
 over a target.  Many capacities are checked in one pass (one conditional
@@ -16,7 +22,8 @@ the fullest shard it led to, an infeasible one up by one.
 
 Defined results: a null text has size 1 (no bytes plus 1), its crc is 0 and
 all nulls are one group; an empty table gives an empty result; equal rows get
-slots of their own; other columns are ignored.
+slots of their own; null ids come first; more shards than groups leave shards
+empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,44 +35,88 @@ from pyspark.sql.window import Window
 from .common import by_range, hot_join, partitions, running_total, scratch, text_bytes
 
 #: Capacities that one pass checks.
-PROBES = 24
+PROBES = 64
+
+
+class Prefix:
+    """Group ends of a table of (__start, __end), as sums of all sizes before them."""
+
+    def __init__(self, groups: DataFrame):
+        self.groups = groups.select("__start", "__end")
 
+    def last(self, targets: list[int]) -> list[int]:
+        """For each target the largest end that is not over it, or 0."""
+        row = self.groups.agg(*[F.max(F.when(F.col("__end") <= t, F.col("__end"))).alias(f"t{i}") for i, t in enumerate(targets)]).first()
+        return [int(x) if x is not None else 0 for x in row]
 
-def _last_fit(prefix: DataFrame, targets: list[int]) -> list[int]:
-    """For each target the largest group end that is not over it."""
-    row = prefix.agg(*[F.max(F.when(F.col("__end") <= t, F.col("__end"))).alias(f"t{i}") for i, t in enumerate(targets)]).first()
-    return [int(x) if x is not None else 0 for x in row]
+    def first(self, target: int) -> int:
+        """The smallest end, or 0, that is not under the target, which some end reaches."""
+        return int(self.groups.agg(F.min(F.when(F.col("__end") >= target, F.col("__end")))).first()[0]) if target > 0 else 0
 
+    def largest(self, start: int, end: int) -> tuple[int, int]:
+        """Start and end of the first largest group in a range."""
+        row = self.groups.where((F.col("__start") >= start) & (F.col("__end") <= end)).agg(F.max(F.struct(F.col("__end") - F.col("__start"), -F.col("__start"))).alias("m")).first()["m"]
+        return -int(row[1]), int(row[0]) - int(row[1])
 
-def smallest_capacity(prefix: DataFrame, total: int, largest: int, n_shards: int) -> tuple[int, list[int]]:
-    """The smallest feasible capacity and the ends of its greedy shards."""
-    low = max(-(-total // n_shards), largest)
-    high = low + largest
-    best: tuple[int, list[int]] | None = None
-    while best is None or low < best[0]:
-        top = high if best is None else best[0] - 1
+    def fill(self, start: int, end: int, capacity: int) -> list[int]:
+        """Ends of the greedy shards of a range."""
+        cuts = [start]
+        while cuts[-1] < end:
+            cuts.append(min(self.last([cuts[-1] + capacity])[0], end))
+        return cuts[1:]
+
+
+def smallest_capacity(prefix: Prefix, start: int, end: int, largest: int, n_shards: int) -> int:
+    """The smallest capacity with which a greedy fill of a range takes ``n_shards`` shards at most."""
+    low = max(-(-(end - start) // n_shards), largest)
+    high, best = low + largest, None
+    while best is None or low < best:
+        top = high if best is None else best - 1
         step = max(1, -(-(top - low + 1) // PROBES))
         probes = sorted({*range(low, top + 1, step), top})
-        at = [0] * len(probes)
-        cuts: list[list[int]] = [[] for _ in probes]
+        at, full = [start] * len(probes), [0] * len(probes)
         for _ in range(n_shards):
-            live = [i for i in range(len(probes)) if at[i] < total]
+            live = [i for i in range(len(probes)) if at[i] < end]
             if not live:
                 break
-            for i, end in zip(live, _last_fit(prefix, [at[i] + probes[i] for i in live]), strict=True):
-                at[i] = max(at[i], end)
-                cuts[i].append(at[i])
-        fits = [i for i in range(len(probes)) if at[i] >= total]
+            for i, to in zip(live, prefix.last([at[i] + probes[i] for i in live]), strict=True):
+                to = max(at[i], min(to, end))
+                full[i], at[i] = max(full[i], to - at[i]), to
+        fits = [i for i in range(len(probes)) if at[i] >= end]
         if not fits:  # the first bounds always fit, so a best one is known
             break
         i = fits[0]
-        full = max(b - a for a, b in zip([0, *cuts[i]], cuts[i], strict=False))
-        best = (full, cuts[i])
+        best = full[i]
         if i:
             low = max(low, probes[i - 1] + 1)
     return best
 
 
+def cuts_of(prefix: Prefix, start: int, end: int, n_shards: int) -> list[int]:
+    """Ends of ``n_shards`` shards of a range, near equal and none over the smallest capacity."""
+    if n_shards <= 1 or start >= end:
+        return [end] * n_shards
+    a, b = prefix.largest(start, end)
+    capacity = smallest_capacity(prefix, start, end, b - a, n_shards)
+    if capacity == b - a > -(-(end - start) // n_shards):
+        left, right = len(prefix.fill(start, a, capacity)), len(prefix.fill(b, end, capacity))
+        fair = round((n_shards - 1) * (a - start) / max(1, a - start + end - b))
+        k = 0 if a == start else n_shards - 1 if b == end else min(max(fair, left), n_shards - 1 - right)
+        return [*cuts_of(prefix, start, a, k), b, *cuts_of(prefix, b, end, n_shards - 1 - k)]
+    latest = [end]  # the first place from which that many shards reach the end
+    for _ in range(n_shards - 1):
+        latest.append(max(start, prefix.first(latest[-1] - capacity)))
+    cuts = [start]
+    for i in range(1, n_shards):
+        even = cuts[-1] + (end - cuts[-1]) // (n_shards - i + 1)
+        low, high = prefix.last([even, cuts[-1] + capacity])
+        low = max(low, cuts[-1])
+        above = prefix.first(even + 1) if even < end else end
+        near = low if even - low <= above - even else above
+        cuts.append(min(max(near, latest[n_shards - i]), max(high, cuts[-1]), end))
+    return [*cuts[1:], end]
+
+
 def shard_rows(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -89,10 +140,9 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_
     order = ["__first", "__group"]
     groups = by_range(groups, order, count)
     groups = scratch(running_total(groups, order, {"__start": "__size"}, "__block").withColumn("__end", F.col("__start") + F.col("__size")), "shard-groups")
-    largest = groups.agg(F.max("__size")).first()[0]
-    _, cuts = smallest_capacity(groups.select("__end"), int(total), int(largest), n_shards)
-    shard = sum((F.col("__start") >= F.lit(c)).cast("int") for c in cuts[:-1]) if len(cuts) > 1 else F.lit(0)
-    placed = groups.select("__group", "__n", F.least(shard, F.lit(n_shards - 1)).alias("shard"))
+    cuts = cuts_of(Prefix(groups), 0, int(total), n_shards)
+    shard = sum(((F.col("__start") >= F.lit(c)).cast("int") for c in cuts[:-1]), F.lit(0))
+    placed = groups.select("__group", "__n", shard.alias("shard"))
     out = hot_join(rows, placed, ["__group"], "__n", count).drop("__n", "__group")
     bins = max(partitions(docs.sparkSession), -(-count // 200_000))
     out = scratch(out.withColumn("__bin", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(bins)).cast("int")), "shard-placed")
@@ -106,7 +156,7 @@ def _slots(out: DataFrame, count: int) -> DataFrame:
     offsets = per.select("shard", "__bin", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy("shard", "__bin").orderBy("doc_id", "text_crc32")
     ranked = out.withColumn("__rank", F.row_number().over(inside) - 1)
-    return ranked.join(F.broadcast(offsets), ["shard", "__bin"]).withColumn("slot", F.col("__rank") + F.col("__offset"))
+    return ranked.join(offsets, ["shard", "__bin"]).withColumn("slot", F.col("__rank") + F.col("__offset"))
 
 
 def _shape(df: DataFrame) -> DataFrame:
