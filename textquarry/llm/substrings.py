@@ -7,26 +7,29 @@ in the same document or another one, is removed.
    gram of least hash in it.  Equal windows have equal anchors, so windows can
    repeat only among the places that share an anchor hash.  A run of windows
    with one anchor is a row: hash, place, and a hash of all bytes of the run.
-2. Runs whose hash is unique are dropped.  Runs that are equal byte for byte
-   repeat as a whole; exact copies and the inside of shared passages end here,
-   in counts that combine before the shuffle.
+2. Runs whose hash is unique are dropped.  Runs of one anchor that are equal
+   (in a 64-bit hash of all their bytes, next to that of the anchor, and in
+   length) repeat as a whole; exact copies and the inside of shared passages
+   end here, in counts that combine before the shuffle.
 3. The bytes of one run of each remaining kind are fetched.  A task takes the
    runs of many anchors in blocks of ``BLOCK_BYTES``, builds the transform of
    a block and expands its intervals breadth first: intervals of strings of
    length l give the common prefixes of length l, for l from 0 up to
    ``WIDTH``, and there the expansion stops.  Neighbours whose common prefix
    is not set by then share a window.
-4. An anchor with more than ``CROWD`` different runs does not go to one task:
-   its windows are counted one by one by their hashes, which needs no group.
+4. An anchor has to be in one block with all its runs.  Where they are more
+   bytes than a block holds, its windows are counted by their bytes instead,
+   which needs no group; both ways give the same ranges.
 
 Defined results: a null text is an empty one; texts shorter than a window keep
 all bytes; equal rows repeat each other and lose all bytes if they are as long
-as a window; an empty table gives an empty result.
+as a window; rows without a doc_id, or of one doc_id with different texts, are
+documents of their own; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -35,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, scratch
+from .common import hot_join, release, scratch, tidied
 
 WIDTH, GRAM = 200, 48
-BLOCK_BYTES, CROWD = 1_000_000, 1000
-#: Text bytes that are hashed at a time, and windows in a run at most.
-CHUNK_BYTES, RUN = 2_000_000, 1000
+BLOCK_BYTES = 1_000_000
+#: Text bytes that are hashed at a time.
+CHUNK_BYTES = 2_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -198,6 +201,7 @@ def _id(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("k1"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("k2")]
 
 
+@tidied
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
         text, first, windows, h, c = anchors([(t or "").encode() for t in part.column(2).to_pylist()])
@@ -214,6 +218,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo += n
 
 
+@tidied
 def _fetch_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted runs of each document."""
     for batch in batches:
@@ -223,13 +228,14 @@ def _fetch_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k1, k2, text, wanted in zip(*(part.column(n).to_pylist() for n in ("k1", "k2", "text", "wanted")), strict=True):
                 data = text.encode()
                 for w in wanted:
-                    values = (k1, k2, w["first"], w["h"], w["single"], w["kinds"], data[w["first"] : w["first"] + w["windows"] - 1 + WIDTH])
+                    values = (k1, k2, w["first"], w["h"], w["single"], w["fits"], data[w["first"] : w["first"] + w["windows"] - 1 + WIDTH])
                     for c, v in zip(columns, values, strict=True):
                         c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k1", "k2", "first", "h", "single", "kinds", "bytes"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k1", "k2", "first", "h", "single", "fits", "bytes"])
 
 
+@tidied
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of whole anchors (rows come sorted by h): ranges of bytes to remove."""
     held: list[tuple] = []
@@ -258,24 +264,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+@tidied
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of every window of crowded anchors."""
+    """Every window of runs, as its bytes."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            if not part.num_rows:
-                continue
-            runs = part.column("bytes").to_pylist()
-            sizes = np.array([len(r) for r in runs], np.int64)
-            counts = sizes - WIDTH + 1
-            row = np.repeat(np.arange(len(runs)), counts)
-            inside = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])[row] + inside
-            hashes = Hasher(np.frombuffer(b"".join(runs), np.uint8)).of(begin, begin + WIDTH)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("k1").take(take), part.column("k2").take(take), pa.array(part.column("first").to_numpy(zero_copy_only=False)[row] + inside), part.column("h").take(take), part.column("single").take(take), pa.array(hashes.view(np.int64))], ["k1", "k2", "start", "h", "single", "w"])
-
-
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
+            columns: list[list] = [[] for _ in range(5)]
+            for k1, k2, first, single, run in zip(*(part.column(n).to_pylist() for n in ("k1", "k2", "first", "single", "bytes")), strict=True):
+                n = len(run) - WIDTH + 1
+                for c, v in zip(columns, ([k1] * n, [k2] * n, range(first, first + n), [single] * n, [run[i : i + WIDTH] for i in range(n)]), strict=True):
+                    c += v
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k1", "k2", "start", "single", "w"])
+
+
+@tidied
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
@@ -292,12 +296,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array([hashlib.sha256(k).hexdigest() for k in out[3]]), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _free(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of jobs that are done."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def removal_spans(docs: DataFrame) -> DataFrame:
     """Byte ranges to remove, overlapping ones not yet merged: k1, k2, start, end."""
     texts = docs.select(*_id(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= WIDTH)
@@ -305,31 +303,34 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     common = scratch(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
     total = runs.count()
     again = scratch(hot_join(runs, common, ["h"], "n", total).drop("n"), "again")
-    _free(docs)
-    place = F.struct("k1", "k2", "first", "windows")
-    kinds = scratch(again.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("one")), "kinds")
+    release(runs, common)
+    key, place = ["h", "c", "windows"], F.struct("k1", "k2", "first")
+    kinds = scratch(again.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("one")), "kinds")
     span = [F.col("k1"), F.col("k2"), F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + WIDTH).alias("end")]
-    whole = hot_join(again, kinds.where("m > 1").select("h", "c", "m"), ["h", "c"], "m", total).select(*span)
-    groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("m").alias("least")).where("kinds > 1 and least = 1").drop("least")
+    whole = scratch(hot_join(again, kinds.where("m > 1").select(*key, "m"), key, "m", total).select(*span), "whole")
+    release(again)
+    size = F.col("windows") + WIDTH - 1
+    groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("m").alias("least"), (F.sum(size) <= BLOCK_BYTES).alias("fits")).where("kinds > 1 and least = 1").drop("least")
     wanted = hot_join(kinds, groups, ["h"], "kinds", total)
-    wanted = wanted.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(F.collect_list(F.struct("h", F.col("one.first").alias("first"), F.col("one.windows").alias("windows"), (F.col("m") == 1).alias("single"), "kinds")).alias("wanted"))
+    wanted = wanted.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(F.collect_list(F.struct("h", F.col("one.first").alias("first"), "windows", (F.col("m") == 1).alias("single"), "fits")).alias("wanted"))
     fetched = texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
-    fetched = fetched.mapInArrow(_fetch_runs, "k1 long, k2 long, first long, h long, single boolean, kinds long, bytes binary")
+    fetched = fetched.mapInArrow(_fetch_runs, "k1 long, k2 long, first long, h long, single boolean, fits boolean, bytes binary")
     fetched = scratch(fetched, "runs")  # a repeated row gives a run twice, but never a single one
-    _free(docs)
+    release(kinds)
     spans = "k1 long, k2 long, start long, end long"
-    compared = fetched.where(F.col("kinds") <= CROWD).drop("kinds").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, spans)
-    crowded = fetched.where(F.col("kinds") > CROWD).drop("kinds").mapInArrow(_windows, "k1 long, k2 long, start long, h long, single boolean, w long")
-    seen = crowded.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = hot_join(crowded, seen, ["h", "w"], "n", total).where("single").select("k1", "k2", "start", (F.col("start") + WIDTH).alias("end"))
-    return scratch(whole.unionByName(compared).unionByName(crowded), "spans")
+    compared = fetched.where("fits").drop("fits").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, spans)
+    windows = fetched.where("not fits").drop("fits", "h").mapInArrow(_windows, "k1 long, k2 long, start long, single boolean, w binary")
+    seen = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = hot_join(windows, seen, ["w"], "n", total).where("single").select("k1", "k2", "start", (F.col("start") + WIDTH).alias("end"))
+    out = scratch(whole.unionByName(compared).unionByName(counted), "spans")
+    release(whole, fetched)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     spans = removal_spans(docs).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     rows = docs.select("doc_id", "text", *_id(F.col("doc_id"), F.col("text")))
-    _free(docs)
     joined = rows.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
