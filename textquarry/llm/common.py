@@ -79,6 +79,13 @@ def release(*tables: DataFrame) -> None:
         _written.remove((df.sparkSession, df._scratch))
 
 
+def lean(spark: SparkSession) -> None:
+    """Batches of 1000 rows for Python workers, unless the session asks for fewer; with whole texts the default of 10 000 takes hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, "1000")
+
+
 def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df`` marked for a broadcast if it has at most ``rows`` rows, which should be a few numbers each."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, scratch, tidied, with_new_text
+from .common import lean, release, scratch, tidied, with_new_text
 
 WINDOW = 10
 SHARD_BYTES, BLOCK_BYTES = 8_000_000, 4_000_000
@@ -233,6 +233,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, cut: bool = False) -> DataF
     One block of the benchmark is in memory at a time; what the blocks before
     the last one hit is kept in a written table.
     """
+    lean(docs.sparkSession)
     others = [c for c in docs.columns if c != "text"]
     out = docs.select((F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("row"), "text")
     held, last = None, None

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import lean, tidy
 
 TRAIN, EPOCHS, HIDDEN, PROJECT = 1600, 12, 32, 32
 #: Pages that are worked on at a time.
@@ -539,6 +539,7 @@ def extract(pages: list[str | None], labeller: Labeller, hashed: tuple[Slots, Sl
 
 def page_texts(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     """Columns page_id, url, text, n_chars."""
+    lean(pages.sparkSession)
     model = labeller or default_labeller()
 
     @F.arrow_udf("string")

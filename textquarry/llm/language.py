@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import tidy
+from .common import lean, tidy
 
 SAMPLE, LEAST, FEATURES = 3000, 50, 4096
 #: Rows that are worked on at a time.
@@ -158,6 +158,7 @@ def is_held_out(doc_id: Column) -> Column:
 
 def language_report(docs: DataFrame) -> DataFrame:
     """Columns doc_id, held_out, lang_pred, score, ambiguous; fitted on rows that are not held out."""
+    lean(docs.sparkSession)
     model = fit(docs.where(~is_held_out(F.col("doc_id"))))
     found = docs.select("doc_id", predictor(model)("text").alias("__p"))
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("__p.lang").alias("lang_pred"), F.col("__p.score").alias("score"), F.col("__p.ambiguous").alias("ambiguous"))

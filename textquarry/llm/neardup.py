@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, partitions, release, scratch, tidied
+from .common import bounded, hot_join, lean, release, scratch, tidied
 
 PERMUTATIONS, ROWS = 150, 6
 #: Members and shingles of a group in one block (about), and places in which the signatures of candidates agree.
@@ -237,7 +237,7 @@ def _blocks(nodes: Column, shingles: Column) -> Column:
 
 def _dealt(rows: DataFrame, sets: DataFrame, compare: Callable, percent: int) -> DataFrame:
     """Links from rows (hub, block, part, node, label)."""
-    full = rows.join(sets, "node").repartition(partitions(rows.sparkSession), "hub", "block").sortWithinPartitions("hub", "block", "part", "node")
+    full = rows.join(sets, "node").repartition("hub", "block").sortWithinPartitions("hub", "block", "part", "node")
     return scratch(full.mapInArrow(_by_block(compare, percent), "a long, b long").distinct(), "links")
 
 
@@ -314,6 +314,7 @@ def _known(docs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, words_each: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, h, n_shingles, node), and per node its rows and the first row (doc_id, h) of its component."""
+    lean(docs.sparkSession)
     texts = _known(docs)
     rows = scratch(texts.mapInArrow(_sketch(words_each), "doc_id long, h long, n_shingles long, node long, bands array<long>"), "sketches")
     linkable = rows.where("node is not null and doc_id is not null")
@@ -323,7 +324,7 @@ def groups(docs: DataFrame, words_each: int, percent: int) -> tuple[DataFrame, D
     full = exploded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
     buckets = scratch(exploded.join(full, "bucket").select("bucket", "node").distinct(), "buckets")
     wanted = buckets.select("node").distinct().join(one, "node").select("doc_id", "h")
-    once = texts.join(wanted, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    once = texts.join(bounded(wanted), ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
     sets = scratch(once.select("text").mapInArrow(_sets(words_each), "node long, set array<long>, sig binary"), "sets")
     pairs = buckets.join(choose_hubs(buckets), "bucket").where("node <> hub").select("hub", "node").distinct()
     pairs = pairs.join(copies.select("node", "n"), "node")
@@ -365,6 +366,9 @@ def keep_one(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFra
     marked = scratch(times.where("stays is null or times > 1").select("doc_id", "h", "times", F.coalesce("stays", F.lit(False)).alias("stays")), "marked")
     wordy = F.length(F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     "))) > 0
     held = docs.select(F.struct(*docs.columns).alias("row"), F.when(wordy, F.col("doc_id").cast("long")).alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
-    held = held.join(marked.hint("shuffle_hash"), ["doc_id", "h"], "left")
+    held = held.join(bounded(marked), ["doc_id", "h"], "left")
+    once = held.where("times is null").select("row.*")
+    if not marked.where("stays and times > 1").limit(1).count():
+        return once
     again = held.where("stays and times > 1").groupBy("doc_id", "h").agg(F.first("row").alias("row"))
-    return held.where("times is null").select("row.*").unionByName(again.select("row.*"))
+    return once.unionByName(again.select("row.*"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, scratch, tidied
+from .common import bounded, lean, scratch, tidied
 from .tokens import Encoder, default_vocabulary, slices
 
 Piece = tuple[int, int, int]  # document, start, length
@@ -87,6 +87,7 @@ class Levels:
 
 def pack_documents(docs: DataFrame, window: int = 1024, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
     """Columns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    lean(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, __task long, __rank long, offset long"
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidied, tidy
+from .common import lean, tidied, tidy
 
 #: Common words of each language.
 COMMON = {
@@ -119,6 +119,7 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Reference histograms by language, summed over all documents."""
+    lean(docs.sparkSession)
     size = N_CLASSES + len(WORDS) + 1
 
     @tidied

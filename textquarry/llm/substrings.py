@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, release, scratch, tidied
+from .common import hot_join, lean, release, scratch, tidied
 
 WIDTH, GRAM = 200, 48
 BLOCK_BYTES = 1_000_000
@@ -298,6 +298,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removal_spans(docs: DataFrame) -> DataFrame:
     """Byte ranges to remove, overlapping ones not yet merged: k1, k2, start, end."""
+    lean(docs.sparkSession)
     texts = docs.select(*_id(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= WIDTH)
     runs = scratch(texts.mapInArrow(_anchor_rows, "k1 long, k2 long, first long, windows long, h long, c long"), "anchors")
     common = scratch(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")

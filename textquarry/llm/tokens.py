@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, running_total, scratch, tidied
+from .common import lean, partitions, running_total, scratch, tidied
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Parts (of about 200 bytes each) in one of the two generations of the encoder's cache.
@@ -346,6 +346,7 @@ def write_images(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None
     no doc_id needs one task.  No rows give no images; other columns are
     ignored.
     """
+    lean(docs.sparkSession)
     path = vocabulary or default_vocabulary()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = ["doc_id", "__h", "__at"]
