@@ -27,6 +27,9 @@ from pyspark.sql.window import Window
 #: fewer than HOT_SHARE hot keys whatever the size of the input.
 HOT_SHARE = 1000
 
+#: Rows of a few numbers in a file, and documents in a task of Python code, at least where there are as many.
+ROWS_PER_FILE, DOCS_PER_TASK = 200_000, 2000
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -57,13 +60,20 @@ def _sweep() -> None:
             return
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
+def compact(df: DataFrame, rows: int, per_task: int = ROWS_PER_FILE) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in no more partitions than give each ``per_task`` rows or more."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
+def scratch(df: DataFrame, name: str, rows: int | None = None, per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (lineage ends here).
 
-    The files stay until the driver's Python ends, because the result that is
-    built on them is lazy.
+    A bound on its ``rows``, if known, keeps a small table from being written
+    as many tiny files.  The files stay until ``release``, or until the
+    driver's Python ends, because the result that is built on them is lazy.
     """
     spark = df.sparkSession
+    df = df if rows is None else compact(df, rows, per_file)
     path = f"{shared_dir(spark)}/textquarry/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))

@@ -41,9 +41,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, hot_join, lean, release, scratch, tidied
+from .common import DOCS_PER_TASK, ROWS_PER_FILE, bounded, compact, hot_join, lean, release, scratch, tidied
 
 PERMUTATIONS, ROWS = 150, 6
+N_BANDS = 2 * PERMUTATIONS // ROWS
 #: Members and shingles of a group in one block (about), and places in which the signatures of candidates agree.
 BLOCK_NODES, BLOCK_SHINGLES, AGREE = 512, 1_000_000, 195
 #: Words whose hashes a task holds.
@@ -235,17 +236,17 @@ def _blocks(nodes: Column, shingles: Column) -> Column:
     return F.ceil(F.greatest(nodes / BLOCK_NODES, shingles / BLOCK_SHINGLES)).cast("int")
 
 
-def _dealt(rows: DataFrame, sets: DataFrame, compare: Callable, percent: int) -> DataFrame:
-    """Links from rows (hub, block, part, node, label)."""
+def _dealt(rows: DataFrame, sets: DataFrame, compare: Callable, percent: int, most: int) -> DataFrame:
+    """Links, at most ``most``, from rows (hub, block, part, node, label)."""
     full = rows.join(sets, "node").repartition("hub", "block").sortWithinPartitions("hub", "block", "part", "node")
-    return scratch(full.mapInArrow(_by_block(compare, percent), "a long, b long").distinct(), "links")
+    return scratch(full.mapInArrow(_by_block(compare, percent), "a long, b long").distinct(), "links", most)
 
 
 def hub_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links inside the blocks of each hub; ``pairs`` has hub, node, n (shingles) and blocks."""
     members = pairs.select("hub", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("part"))
     hubs = pairs.groupBy("hub").agg(F.max("blocks").alias("blocks")).select("hub", F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("part"))
-    return _dealt(members.unionByName(hubs).withColumn("label", F.col("node")), sets, _in_block, percent)
+    return _dealt(members.unionByName(hubs).withColumn("label", F.col("node")), sets, _in_block, percent, pairs.count())
 
 
 def block_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
@@ -254,7 +255,7 @@ def block_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     per = members.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
     hubs = per.groupBy("hub").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("m"), F.max("m").alias("in_main"), F.sum("t").alias("t"), F.max_by("t", F.struct("m", "label")).alias("t_main"))
     hubs = hubs.where("m > in_main").select("hub", "main", _blocks(F.col("m"), F.col("t")).alias("across"), F.greatest(_blocks(F.col("m") - F.col("in_main"), F.col("t") - F.col("t_main")), F.lit(1)).alias("down"))
-    members = scratch(members.select("hub", "node", "label").join(hubs, "hub"), "members")
+    members = scratch(members.select("hub", "node", "label").join(hubs, "hub"), "members", pairs.count())
     if not members.limit(1).count():
         return None
     number = F.pmod(F.xxhash64("node", F.lit(1)), F.col("across")), F.pmod(F.xxhash64("node", F.lit(2)), F.col("down"))
@@ -262,7 +263,7 @@ def block_links(pairs: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     odd = members.where("label <> main").select("hub", "node", "label", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("k"), "across", number[1].alias("i"), F.lit(0).alias("part"))
     all_ = members.select("hub", "node", "label", number[0].alias("k"), "across", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.lit(1).alias("part"))
     rows = odd.unionByName(all_).select("hub", (F.col("i") * F.col("across") + F.col("k")).alias("block"), "part", "node", "label")
-    links = _dealt(rows, sets, _across, percent)
+    links = _dealt(rows, sets, _across, percent, pairs.count())
     release(members)
     return links
 
@@ -275,13 +276,14 @@ def choose_hubs(buckets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of a link (a, b) can reach."""
-    both = scratch(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    n = 2 * links.count()
+    both = scratch(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", n)
+    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels", n)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = scratch(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
+        step = scratch(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels", n)
         moved = step.where("label < old").limit(1).count()
         release(labels)
         labels = step.drop("old")
@@ -299,10 +301,12 @@ def _label_of(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFra
 def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after more links: components of the labels they join, then of the nodes."""
     ends = _label_of(_label_of(links.withColumnsRenamed({"a": "x", "b": "y"}), labels, "x", "a"), labels, "y", "b")
-    over = components(ends.where("a <> b").select("a", "b"))
+    across = scratch(ends.where("a <> b").select("a", "b"), "across", links.count())
+    over = components(across)
+    release(across)
     moved = labels.join(over.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     fresh = over.join(labels.select("node"), "node", "left_anti")
-    out = scratch(moved.unionByName(fresh), "labels")
+    out = scratch(moved.unionByName(fresh), "labels", labels.count() + over.count())
     release(labels, over)
     return out
 
@@ -316,20 +320,21 @@ def groups(docs: DataFrame, words_each: int, percent: int) -> tuple[DataFrame, D
     """Rows (doc_id, h, n_shingles, node), and per node its rows and the first row (doc_id, h) of its component."""
     lean(docs.sparkSession)
     texts = _known(docs)
-    rows = scratch(texts.mapInArrow(_sketch(words_each), "doc_id long, h long, n_shingles long, node long, bands array<long>"), "sketches")
+    total = docs.count()
+    rows = scratch(compact(texts, total, DOCS_PER_TASK).mapInArrow(_sketch(words_each), "doc_id long, h long, n_shingles long, node long, bands array<long>"), "sketches")
     linkable = rows.where("node is not null and doc_id is not null")
-    copies = scratch(linkable.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "h")).alias("first"), F.min("n_shingles").alias("n")), "copies")
+    copies = scratch(linkable.groupBy("node").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "h")).alias("first"), F.min("n_shingles").alias("n")), "copies", total)
     one = copies.select("node", "first.doc_id", "first.h")
     exploded = linkable.select("node", "doc_id", "h", "bands").join(one, ["node", "doc_id", "h"]).select("node", F.explode("bands").alias("bucket"))
     full = exploded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
-    buckets = scratch(exploded.join(full, "bucket").select("bucket", "node").distinct(), "buckets")
-    wanted = buckets.select("node").distinct().join(one, "node").select("doc_id", "h")
+    buckets = scratch(exploded.join(full, "bucket").select("bucket", "node").distinct(), "buckets", total * N_BANDS, 20 * ROWS_PER_FILE)
+    wanted = scratch(buckets.select("node").distinct().join(one, "node").select("doc_id", "h"), "wanted", total)
     once = texts.join(bounded(wanted), ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-    sets = scratch(once.select("text").mapInArrow(_sets(words_each), "node long, set array<long>, sig binary"), "sets")
+    sets = scratch(compact(once.select("text"), wanted.count(), DOCS_PER_TASK).mapInArrow(_sets(words_each), "node long, set array<long>, sig binary"), "sets")
     pairs = buckets.join(choose_hubs(buckets), "bucket").where("node <> hub").select("hub", "node").distinct()
     pairs = pairs.join(copies.select("node", "n"), "node")
     sizes = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
-    pairs = scratch(pairs.join(sizes.select("hub", F.greatest(_blocks(F.col("m"), F.col("t")), F.lit(1)).alias("blocks")), "hub"), "pairs")
+    pairs = scratch(pairs.join(sizes.select("hub", F.greatest(_blocks(F.col("m"), F.col("t")), F.lit(1)).alias("blocks")), "hub"), "pairs", buckets.count())
     links = hub_links(pairs, sets, percent)
     labels = components(links)
     more = block_links(pairs, labels, sets, percent)
@@ -338,8 +343,8 @@ def groups(docs: DataFrame, words_each: int, percent: int) -> tuple[DataFrame, D
         release(more)
     first = copies.join(labels, "node").groupBy("label").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("m"))
     least = hot_join(labels, first, ["label"], "m", labels.count()).select("node", "least")
-    placed = scratch(copies.select("node", "rows", "first").join(least, "node", "left").select("node", "rows", F.coalesce("least", "first").alias("least")), "placed")
-    release(copies, buckets, sets, pairs, links, labels)
+    placed = scratch(copies.select("node", "rows", "first").join(least, "node", "left").select("node", "rows", F.coalesce("least", "first").alias("least")), "placed", total)
+    release(copies, buckets, wanted, sets, pairs, links, labels)
     return rows.drop("bands"), placed
 
 
@@ -363,7 +368,7 @@ def keep_one(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFra
     known = rows.where("node is not null and doc_id is not null")
     first = placed.select("least.doc_id", "least.h", F.lit(True).alias("stays")).distinct()
     times = known.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("times")).join(first, ["doc_id", "h"], "left")
-    marked = scratch(times.where("stays is null or times > 1").select("doc_id", "h", "times", F.coalesce("stays", F.lit(False)).alias("stays")), "marked")
+    marked = scratch(times.where("stays is null or times > 1").select("doc_id", "h", "times", F.coalesce("stays", F.lit(False)).alias("stays")), "marked", rows.count())
     wordy = F.length(F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     "))) > 0
     held = docs.select(F.struct(*docs.columns).alias("row"), F.when(wordy, F.col("doc_id").cast("long")).alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"))
     held = held.join(bounded(marked), ["doc_id", "h"], "left")

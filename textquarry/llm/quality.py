@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, tidied, tidy
+from .common import DOCS_PER_TASK, compact, lean, tidied, tidy
 
 #: Common words of each language.
 COMMON = {
@@ -194,5 +194,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns."""
     verdict = judge(references(docs))
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = compact(docs, docs.count(), DOCS_PER_TASK).select(F.struct(*docs.columns).alias("row"))
     return rows.where(verdict(F.col("row.text"), F.col("row.lang"))["kept"]).select("row.*")
