@@ -327,7 +327,7 @@ def groups(docs: DataFrame, words_each: int, percent: int) -> tuple[DataFrame, D
     one = copies.select("node", "first.doc_id", "first.h")
     exploded = linkable.select("node", "doc_id", "h", "bands").join(one, ["node", "doc_id", "h"]).select("node", F.explode("bands").alias("bucket"))
     full = exploded.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
-    buckets = scratch(exploded.join(full, "bucket").select("bucket", "node").distinct(), "buckets", total * N_BANDS, 20 * ROWS_PER_FILE)
+    buckets = scratch(exploded.join(full, "bucket").select("bucket", "node").distinct(), "buckets", total * N_BANDS, 5 * ROWS_PER_FILE)
     wanted = scratch(buckets.select("node").distinct().join(one, "node").select("doc_id", "h"), "wanted", total)
     once = texts.join(bounded(wanted), ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.first("text").alias("text"))
     sets = scratch(compact(once.select("text"), wanted.count(), DOCS_PER_TASK).mapInArrow(_sets(words_each), "node long, set array<long>, sig binary"), "sets")
