@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +20,31 @@ def _f1(hits: int, guess: int, truth: int) -> float:
     return 2 * hits / (guess + truth) if hits else 0.0
 
 
+def _rows(a: list[str], b: list[str]) -> Iterator[np.ndarray]:
+    """After each word of ``a`` the lengths of the longest common subsequences with the beginnings of ``b``."""
+    codes = {w: k for k, w in enumerate(dict.fromkeys(b))}
+    other = np.array([codes[w] for w in b], np.int64)
+    row = np.zeros(len(b) + 1, np.int32)
+    for w in a:
+        step = row.copy()
+        step[1:] = np.maximum(row[1:], (row[:-1] + 1) * (other == codes.get(w, -1)))
+        row = np.maximum.accumulate(step)
+        yield row
+
+
+def _common(a: list[str], b: list[str]) -> int:
+    """Length of a longest common subsequence; only two rows are in memory."""
+    row = np.zeros(1, np.int32)
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    return int(row[-1])
+
+
 def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Index pairs of one longest common subsequence."""
-    grid = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            grid[i][j] = grid[i + 1][j + 1] + 1 if a[i] == b[j] else max(grid[i + 1][j], grid[i][j + 1])
+    grid = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, row in enumerate(_rows(a[::-1], b[::-1])):
+        grid[len(a) - 1 - i] = row[::-1]
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
@@ -69,7 +90,7 @@ def rouge(guess: pd.Series, truth: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(guess.fillna(""), truth.fillna(""), strict=True):
         x, y = _TOKEN.findall(a.lower()), _TOKEN.findall(b.lower())
-        rows.append((_overlap(x, y, 1), _overlap(x, y, 2), _f1(len(_matches(x, y)), len(x), len(y)), _summary_level(a, b)))
+        rows.append((_overlap(x, y, 1), _overlap(x, y, 2), _f1(_common(x, y), len(x), len(y)), _summary_level(a, b)))
     return pd.DataFrame(rows, columns=list(ROUGE))
 
 
