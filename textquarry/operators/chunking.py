@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .storage import durable
 
 CLOSE_AT, LEAST_TAIL = 100, 15
 #: Ceilings of the complexity score: words per sentence, letters per word.
@@ -66,16 +67,15 @@ def rounded(value: Column, digits: int) -> Column:
 def complexity(chunks: DataFrame, keys: list[str], ceilings: tuple[float, float] = VARIANT_A, rare: int = 3) -> DataFrame:
     """Chunks with avg_sentence_len, avg_word_len, rare_word_ratio and complexity_score.
 
-    Words are counted per chunk before anything is joined.  The words seen at
+    Words and marks of each chunk are found once and kept (``durable``).  The words seen at
     most ``rare`` times in the corpus are few rows per word, so the join with
     them moves little; all other words need no partner.
     """
-    tokens = chunks.select(*keys, F.explode(X.words(F.col("text"))).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    seldom = tokens.groupBy("word").agg(F.sum("n").alias("f")).where(F.col("f") <= rare)
+    words = chunks.withColumn("__w", X.words(F.col("text")))
+    base = durable(words.withColumns({"__words": F.size("__w"), "__marks": F.size(X.sentences(F.col("text"))), "__letters": F.length(F.array_join("__w", ""))}))
+    tokens = base.select(*keys, F.explode("__w").alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    seldom = base.select(F.explode("__w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") <= rare)
     hits = tokens.join(seldom, "word", "left_semi").groupBy(*keys).agg(F.sum("n").alias("__rare"))
-    n, marks = F.size("__w"), F.size("__s")
-    base = chunks.withColumn("__w", X.words(F.col("text"))).withColumn("__s", X.sentences(F.col("text")))
-    base = base.withColumn("__words", n).withColumn("__marks", marks).withColumn("__letters", F.length(F.array_join("__w", ""))).drop("__w", "__s")
     scored = (F.col("__words") > 0) & (F.col("__marks") > 0)
     value = lambda c: F.when(scored, c).otherwise(0.0)
     asl, awl = F.col("__words") / F.col("__marks"), F.col("__letters") / F.col("__words")
@@ -95,23 +95,45 @@ def by_score(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.orderBy("complexity_score", *keys)
 
 
-def upper_median(df: DataFrame, column: str) -> DataFrame:
-    """The value at place n div 2 of the sorted column, found by counts of values.
+def score_summary(df: DataFrame, column: str) -> DataFrame:
+    """One row: least, most, and the median, which is the value at place n div 2 of the sorted column.
 
-    Counting equal values first leaves one row per distinct value, and scores
-    rounded to three digits have few of them.
+    All follow from the number of rows of each value, and scores rounded to
+    three digits have few values.
     """
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.agg(F.sum("n").alias("total"))
-    placed = counts.withColumn("upto", F.sum("n").over(upto)).crossJoin(F.broadcast(total))
-    return placed.where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min(column).alias("median"))
+    upto = F.sum("n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy())})
+    above = F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col(column))
+    return placed.agg(F.min(column).alias("least"), F.max(column).alias("most"), F.min(above).alias("median"))
+
+
+def cleaning_metrics(text: Column) -> Column:
+    """Struct of the simplified metrics of a cleaning pass: words by white space, an ellipsis ends a sentence."""
+    t = X.squeeze(text)
+    n, m = X.word_count(text), F.size(X.sentences_after_mark(F.coalesce(text, F.lit(""))))
+    value = lambda c: F.when((n > 0) & (m > 0), rounded(c, 2)).otherwise(0.0)
+    return F.struct(n.alias("word_count"), F.length(F.coalesce(text, F.lit(""))).alias("length"), value(n / m).alias("avg_sentence_len"), value(F.length(F.replace(t, F.lit(" "), F.lit(""))) / n).alias("avg_word_len"))
 
 
 def batches(df: DataFrame, order: list[str], size: int, group: list[str]) -> DataFrame:
-    """Number the batches of ``size`` rows within each group."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    """Number the batches of ``size`` rows within each group.
+
+    Rows are dealt in ranges of (group, order), so that a group with a large
+    part of all rows takes many tasks; a row's number is its rank in its range
+    plus the group's rows in the ranges before.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(df.repartitionByRange(parts, *group, *order).withColumn("__range", F.spark_partition_id()))
+    per = ranged.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__range", *group).orderBy(*order)) - 1
+    same = F.col("__range") == F.col("__r")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    placed = ranged.withColumn("__rank", rank).join(offsets, same)
+    return placed.select(*df.columns, F.floor((F.col("__rank") + F.col("__before")) / size).cast("int").alias("batch"))
 
 
 def rejoin(parts: DataFrame, key: str, position: str, text: str) -> DataFrame:

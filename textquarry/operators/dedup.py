@@ -20,16 +20,21 @@ def keep_first(df: DataFrame, key: list[Column], order: list[Column]) -> DataFra
     return got.select("__row.*")
 
 
+def _keys(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The columns as keys; a string stands for itself by its SHA-256, so that no text is moved twice."""
+    return [F.sha2(F.col(c), 256) if t == "string" else F.col(c) for c, t in df.select(*columns).dtypes]
+
+
 def exact(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    return keep_first(df, [F.col(c) for c in columns], [F.col(c) for c in order])
+    return keep_first(df, _keys(df, columns), [F.col(c) for c in order])
 
 
 def by_priority(df: DataFrame, columns: list[str], priority: Column, order: list[str]) -> DataFrame:
-    return keep_first(df, [F.col(c) for c in columns], [priority, *[F.col(c) for c in order]])
+    return keep_first(df, _keys(df, columns), [priority, *[F.col(c) for c in order]])
 
 
 def fewest_artefacts(df: DataFrame, columns: list[str], text: str, order: list[str]) -> DataFrame:
-    return keep_first(df, [F.col(c) for c in columns], [X.artefacts(F.col(text)), *[F.col(c) for c in order]])
+    return keep_first(df, _keys(df, columns), [X.artefacts(F.col(text)), *[F.col(c) for c in order]])
 
 
 def normalised(df: DataFrame, text: str, order: list[str]) -> DataFrame:
@@ -37,6 +42,13 @@ def normalised(df: DataFrame, text: str, order: list[str]) -> DataFrame:
     return keep_first(df, [F.sha2(F.lower(X.squeeze(F.col(text))), 256)], [F.col(c) for c in order])
 
 
+def changed(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """Rows whose value is not blank and differs from that of the row before."""
+    before = F.lag(value).over(Window.partitionBy(*group).orderBy(*order))
+    marked = df.withColumn("__before", before)
+    return marked.where((X.strip(F.col(value)) != "") & ~F.col(value).eqNullSafe(F.col("__before"))).drop("__before")
+
+
 def not_seen(candidates: DataFrame, seen: DataFrame, on: str) -> DataFrame:
     return candidates.join(seen.select(on).where(F.col(on).isNotNull()).distinct(), on, "left_anti")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import durable
+
 
 def breadth_first(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None = None, max_docs: int | None = None, max_hops: int = 100) -> DataFrame:
     """(node, hop) of all nodes reached from ``seeds`` (column node) over ``edges`` (src, dst).
@@ -15,14 +17,14 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None =
     executors.  With ``max_docs`` the first ones by hop, then node, are kept.
     """
     keep = (lambda df: df.join(nodes.select("node").distinct(), "node", "left_semi")) if nodes is not None else lambda df: df
-    frontier = keep(seeds.select("node").distinct()).withColumn("hop", F.lit(0)).checkpoint()
+    frontier = durable(keep(seeds.select("node").distinct()).withColumn("hop", F.lit(0)))
     seen = frontier
     n = seen.count()
     for hop in range(1, max_hops + 1):
         if max_docs is not None and n >= max_docs:
             break
         step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = keep(step).join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
+        frontier = durable(keep(step).join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
         found = frontier.count()
         if not found:
             break

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
+
 
 def union_filled(parts: dict[str, DataFrame], fill: dict[str, object] | None = None) -> DataFrame:
     """All rows of all parts; missing columns are null (or filled), ``origin_file`` names the part."""
@@ -46,15 +48,51 @@ def clean_report(df: DataFrame, before: Column, after: Column) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(before != after).alias("changed"), F.count_if((before != "") & (after == "")).alias("emptied"))
 
 
+def autofilled(df: DataFrame, domain: str, filled: str) -> DataFrame:
+    """Rows of each domain among those whose domain was filled in, and their share."""
+    got = counts_by(df.where(F.col(filled)), domain)
+    return got.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def short_texts(df: DataFrame, text: str, order: list[str], words: int = 25, most: int = 3) -> DataFrame:
+    """The first rows of at most ``words`` words."""
+    return df.where(X.word_count(F.col(text)) <= words).orderBy(*order).limit(most)
+
+
 def balance(df: DataFrame, column: str, low: int = 150, good: int = 300) -> DataFrame:
     """One row: number of values, the rarest and its count, and a verdict."""
     got = counts_by(df, column).agg(F.count(F.lit(1)).alias("n_values"), F.min("n").alias("least"), F.min_by(column, F.struct("n", column)).alias("rarest"))
     return got.withColumn("verdict", F.when(F.col("least") < low, "too few").when(F.col("least") < good, "borderline").otherwise("enough"))
 
 
+def _place(df: DataFrame, column: str, low: float, high: float, rank: int, cells: int = 4096, few: int = 100_000) -> float:
+    """The value at a place of the sorted column, from counts in ever narrower cells between ``low`` and ``high``."""
+    v = F.col(column)
+    while True:
+        width = (high - low) / cells
+        inside = df.where(v.between(low, high))
+        if width <= 0 or low + width == low:
+            return low
+        cell = F.least(F.floor((v - low) / width), F.lit(cells - 1))
+        got = sorted(tuple(r) for r in inside.groupBy(cell.alias("k")).agg(F.count(v), F.min(v), F.max(v)).collect())  # one row a cell
+        for _, n, least, most in got:
+            if rank < n:
+                low, high = least, most
+                break
+            rank -= n
+        if low == high:
+            return low
+        if n <= few:
+            return sorted(r[0] for r in df.where(v.between(low, high)).select(v).collect())[rank]  # at most ``few`` numbers
+
+
 def latency_summary(df: DataFrame, column: str) -> DataFrame:
-    c = F.col(column)
-    return df.agg(F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.min(c).alias("least"), F.max(c).alias("most"))
+    """One row: mean, median (the mean of the middle two), least and most; nothing is sorted as a whole."""
+    v = F.col(column).cast("double")
+    clean = df.select(v.alias("v")).where("v is not null and not isnan(v)")
+    n, mean, low, high = clean.agg(F.count("v"), F.avg("v"), F.min("v"), F.max("v")).first()
+    median = sum(_place(clean, "v", low, high, k) for k in ((n - 1) // 2, n // 2)) / 2 if n else None
+    return df.sparkSession.createDataFrame([(mean, median, low, high)], "mean double, median double, least double, most double")
 
 
 def vector_moments(df: DataFrame, vector: str) -> DataFrame:

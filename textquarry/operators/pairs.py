@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from .dedup import keep_first
+from .dedup import exact
 
 #: Spellings of the output column that are one column.
 SPELLINGS = ("text_simplified", "simplified")
@@ -62,26 +62,49 @@ def sample_rows(df: DataFrame, keys: list[str], k: int, seed: int = 42) -> DataF
     return df.orderBy(draw([F.col(c) for c in keys], seed), *keys).limit(k)
 
 
+def smallest_draws(df: DataFrame, keys: list[str], k: int, seed: int = 42, cells: int = 1 << 16) -> DataFrame:
+    """The same rows as ``sample_rows`` for a ``k`` of any size.
+
+    Draws are even, so the number of rows in each of ``cells`` equal ranges
+    shows in which range the cut lies; only that range is sorted.
+    """
+    drawn = df.withColumn("__u", draw([F.col(c) for c in keys], seed)).withColumn("__cell", F.floor(F.col("__u") * cells).cast("int"))
+    edge, left = cells, k
+    for cell, n in sorted(tuple(r) for r in drawn.groupBy("__cell").agg(F.count(F.lit(1))).collect()):  # one row a cell
+        if n > left:
+            edge = cell
+            break
+        left -= n
+    below = drawn.where(F.col("__cell") < edge)
+    return below.unionByName(drawn.where(F.col("__cell") == edge).orderBy("__u", *keys).limit(left)).drop("__u", "__cell")
+
+
 def mix_in(new: DataFrame, old: DataFrame, keys: list[str], text: str, share: float = 0.3, seed: int = 42) -> DataFrame:
     """All new rows and a sample of old ones, ``share`` of the new count; new rows win over equal texts."""
     k = int(share * new.count())
-    both = new.withColumn("__p", F.lit(0)).unionByName(sample_rows(old, keys, k, seed).withColumn("__p", F.lit(1)))
-    return keep_first(both, [F.col(text)], [F.col("__p"), *[F.col(c) for c in keys]]).drop("__p")
+    both = new.withColumn("__p", F.lit(0)).unionByName(smallest_draws(old, keys, k, seed).withColumn("__p", F.lit(1)))
+    return exact(both, [text], ["__p", *keys]).drop("__p")
 
 
 def random_split(df: DataFrame, keys: list[str], train: float = 0.95, seed: int = 42) -> DataFrame:
     return df.withColumn("split", F.when(draw([F.col(c) for c in keys], seed) < train, "train").otherwise("validation"))
 
 
-def stratified_split(df: DataFrame, keys: list[str], stratum: str, test: float = 0.05, seed: int = 42) -> DataFrame:
-    """In each stratum the ``test`` share with the smallest draws is for validation.
+def stratified_split(df: DataFrame, keys: list[str], stratum: str, test: float = 0.05, seed: int = 42, cells: int = 1 << 16) -> DataFrame:
+    """In each stratum the draws up to the ``test`` quantile are for validation.
 
-    The cut is a quantile of the draws, an aggregate per stratum, so a large
-    stratum is not sorted in one task.
+    Counts per stratum and range of draws show where the quantile lies; only
+    the rows of that one range are ranked, whatever the size of a stratum.
     """
-    drawn = df.withColumn("__u", draw([F.col(c) for c in keys], seed))
-    cut = drawn.groupBy(stratum).agg(F.percentile("__u", F.lit(test)).alias("__cut"))
-    return drawn.join(F.broadcast(cut), stratum).withColumn("split", F.when(F.col("__u") <= F.col("__cut"), "validation").otherwise("train")).select(*df.columns, "split")
+    drawn = df.withColumn("__u", draw([F.col(c) for c in keys], seed)).withColumn("__cell", F.floor(F.col("__u") * cells).cast("int"))
+    counts = drawn.groupBy(F.col(stratum).alias("__s"), "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy("__s")
+    counts = counts.withColumn("__upto", F.sum("__n").over(whole.orderBy("__cell"))).withColumn("__want", F.floor((F.sum("__n").over(whole) - 1) * test) + 1)
+    edges = counts.where("__upto >= __want and __upto - __n < __want").select("__s", F.col("__cell").alias("__edge"), (F.col("__want") - F.col("__upto") + F.col("__n")).alias("__left"))
+    placed = drawn.join(edges, F.col(stratum).eqNullSafe(F.col("__s")))
+    at_edge = placed.where("__cell = __edge").withColumn("__rank", F.rank().over(Window.partitionBy("__s").orderBy("__u")))
+    chosen = lambda rows, is_test: rows.select(*df.columns, F.when(is_test, "validation").otherwise("train").alias("split"))
+    return chosen(placed.where("__cell <> __edge"), F.col("__cell") < F.col("__edge")).unionByName(chosen(at_edge, F.col("__rank") <= F.col("__left")))
 
 
 def valid_settings(raw: DataFrame) -> DataFrame:
@@ -105,12 +128,12 @@ def valid_settings(raw: DataFrame) -> DataFrame:
 def conditioned(df: DataFrame, settings: DataFrame, text: str = "text") -> DataFrame:
     """Every text under every setting: prefix, prompt and generation limits."""
     prefix = X.flag_prefix(*[F.col(c) for c in ("aggressiveness", "max_length_ratio", "drop_dates", "drop_law_refs", "drop_stats")])
-    rows = df.crossJoin(F.broadcast(settings)).withColumn("prefix", prefix)
+    rows = df.crossJoin(settings).withColumn("prefix", prefix)
     return rows.withColumn("prompt", F.concat("prefix", text)).withColumn("repetition_penalty", X.penalty(F.col("aggressiveness"), X.REPETITION_PENALTY)).withColumn("length_penalty", X.penalty(F.col("aggressiveness"), X.LENGTH_PENALTY))
 
 
 def under_all_prefixes(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    return rows.crossJoin(F.broadcast(pairs.select("prefix").distinct()))
+    return rows.crossJoin(pairs.select("prefix").distinct())
 
 
 def with_retries(call: Callable[[str], str], attempts: int = 3, wait: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str | None]:
@@ -158,6 +181,60 @@ def simplify(pending: DataFrame, key: str, text: str, make_model: Callable[[], C
     return rejoin(parts.mapInPandas(run, schema), key, "__n", "simplified_text")
 
 
+def ensure_ready(models: Callable[[], list[str]], name: str) -> bool:
+    """Before a run: fails if the model server does not answer, else says whether it has the model."""
+    try:
+        found = models()
+    except OSError as e:
+        raise RuntimeError("the model server cannot be reached") from e
+    return any(name in m for m in found)
+
+
+def timed(call: Callable[[str], str], clock: Callable[[], float] = time.perf_counter) -> Callable[[str], tuple[str, float]]:
+    """The answer of a call, and the milliseconds it took."""
+
+    def run(part: str) -> tuple[str, float]:
+        began = clock()
+        answer = call(part)
+        return answer, (clock() - began) * 1000
+
+    return run
+
+
+def generate(df: DataFrame, text: str, output: str, make_model: Callable[[], Callable[[list[str]], list[str]]], batch: int = 32) -> DataFrame:
+    """Add what a model makes of the texts, which it gets ``batch`` at a time; it is made once per task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make_model()
+        for frame in frames:
+            texts = frame[text].fillna("").tolist()
+            frame[output] = [x for k in range(0, len(texts), batch) for x in model(texts[k : k + batch])]
+            yield frame
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(output, T.StringType())]))
+
+
+def translate(df: DataFrame, text: str, make_translator: Callable[[str], Callable[[str], str] | None], langs: tuple[str, ...] = ("ru", "en"), missing: str = "[no key, not translated]") -> DataFrame:
+    """Add a translation for each language: a fixed note without a translator, an empty text after an error."""
+
+    def attempt(call: Callable[[str], str] | None, value: object) -> str:
+        if call is None:
+            return missing
+        try:
+            return call(value if isinstance(value, str) else "").strip()
+        except (OSError, LookupError, ValueError):
+            return ""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = {k: make_translator(k) for k in langs}
+        for frame in frames:
+            for k, call in calls.items():
+                frame[f"text_{k}"] = [attempt(call, v) for v in frame[text]]
+            yield frame
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, *(T.StructField(f"text_{k}", T.StringType()) for k in langs)]))
+
+
 def pending_rows(df: DataFrame, done: DataFrame | None, key: str, value: str) -> DataFrame:
     """Rows that need work and were not finished by an earlier run."""
     out = df.where(X.needs_work(F.col(value))) if value in df.columns else df
