@@ -7,7 +7,7 @@ import io
 import re
 import time
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -61,7 +61,7 @@ def jsonl(spark: SparkSession, path: str, schema: str = "id string, url string,
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of .txt and .docx files; others are rejected by their names."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,docx}").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[tT][xX][tT],[dD][oO][cC][xX]}").load(path)
 
     @F.pandas_udf(T.StringType())
     def read(paths: pd.Series, contents: pd.Series) -> pd.Series:
@@ -148,14 +148,51 @@ def feed_entries(spark: SparkSession, path: str, most: int = 150) -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(first)).where((F.col("__r") <= most) & (F.col("link") != "")).select("source", "title", F.col("link").alias("url"), F.coalesce("pubDate", "updated").alias("published"))
 
 
+def follow(get: Callable[[str | None], dict | None], most: int | None = None, key: str = "cmcontinue") -> Iterator[dict]:
+    """Responses of a paged listing, one after the other, until there is no mark to go on with or ``most`` members were seen."""
+    mark, seen = None, 0
+    while True:
+        response = get(mark)
+        if response is None:
+            return
+        yield response
+        seen += len(response.get("query", {}).get("categorymembers", []))
+        mark = response.get("continue", {}).get(key)
+        if not mark or (most is not None and seen >= most):
+            return
+
+
+LISTING = "struct<query:struct<categorymembers:array<struct<ns:int,title:string>>>>"
+EXTRACTS = "struct<query:struct<pages:map<string,struct<title:string,extract:string>>>>"
+
+
+def category_listing(landed: DataFrame, prefix: str = "Turkum:", per_page: int = 1000) -> DataFrame:
+    """Members of categories from landed responses: category, member, position, is_subcat.
+
+    ``landed`` has category, page (from 0, in the order of the marks) and
+    response, the JSON as it came; what is no such JSON has no members.
+    """
+    members = F.from_json("response", LISTING)["query"]["categorymembers"]
+    rows = landed.select("category", "page", F.posexplode(members).alias("k", "m"))
+    title = F.col("m.title")
+    return rows.select("category", X.without_prefix(title, prefix).alias("member"), (F.col("page") * per_page + F.col("k")).alias("position"), F.startswith(title, F.lit(prefix)).alias("is_subcat"))
+
+
+def extracts(landed: DataFrame, response: str = "response", least_length: int = 200) -> DataFrame:
+    """Articles of landed batch responses: title, url, text, length."""
+    pages = F.map_values(F.from_json(response, EXTRACTS)["query"]["pages"])
+    rows = landed.select(F.explode(pages).alias("p")).select(F.coalesce("p.title", F.lit("")).alias("title"), X.strip_wiki(F.coalesce("p.extract", F.lit(""))).alias("text"))
+    return rows.where(F.length("text") >= least_length).select("title", X.title_url(F.col("title")).alias("url"), "text", F.length("text").alias("length"))
+
+
 def fetch(get: Callable[[], tuple[int, str | None]], attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> str | None:
-    """Call ``get`` (status, body): a block (429, 403) waits 5 s times the attempt, an error 2 s times it."""
+    """Call ``get`` (status, body): a block (429, 403) waits 5 s times the attempt, any other failure 2 s times it."""
     for n in range(1, attempts + 1):
         try:
             status, body = get()
             if status == 200:
                 return body
-            wait = 5 * n if status in (403, 429) else 0
+            wait = 5 * n if status in (403, 429) else 2 * n
         except OSError:
             wait = 2 * n
         if wait and n < attempts:
