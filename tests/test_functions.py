@@ -1,5 +1,6 @@
 """Text functions, Markdown, scores and policies against small vectors."""
 
+import json
 import random
 import re
 import zipfile
@@ -12,6 +13,7 @@ from textquarry.functions import scores as S
 from textquarry.functions import text as X
 from textquarry.operators import pairs as P
 from textquarry.sources import readers as IO
+from textquarry.sources import writers as W
 
 
 def one(spark, column, value, kind="string"):
@@ -43,6 +45,11 @@ def one(spark, column, value, kind="string"):
         (X.collapse_repeats, "a b a b a b c c d", "a b c d"),
         (X.collapse_repeats, "yolg'iz", "yolg'iz"),
         (X.unescape, "women&#039;s &amp; men", "women's & men"),
+        (X.article_links, '<a href="/news/view/a&amp;b"><a href="/news/view/a&b">', ["a&b"]),
+        (X.collapse_repeats, "x a b c d a b c d a b c d x x y", "x a b c d x y"),
+        (X.collapse_repeats, "a a a b a a a b", "a b"),
+        (X.collapse_repeats, "", ""),
+        (X.main_text, "<body><nav>no</nav><main><h1>Bir &amp; ikki</h1><p>Uch <b>to'rt</b><br>besh<script>x</script></main></body>", "Bir & ikki\nUch to'rt\nbesh"),
         (X.block_markers, "<h1>JUST A MOMENT</h1> CAPTCHA", ["Just a moment", "captcha"]),
         (X.article_links, '<a href="/news/view/a-1"><a href="https://sports.uz/news/view/b"><a href="/news/view/a-1">', ["a-1", "b"]),
     ],
@@ -64,7 +71,27 @@ def test_urls_guards_and_prefixes(spark):
     assert X.context_budget() == {"usable": 7842, "input": 5601, "predict": 2801, "max_chars": 16803}
 
 
+def test_repeats_against_a_plain_walk():
+    def plain(tokens, n):
+        """Take a block, skip its copies; else take one word."""
+        if not tokens:
+            return []
+        k = 1
+        while len(tokens) >= n * (k + 1) and tokens[n * k : n * (k + 1)] == tokens[:n]:
+            k += 1
+        return tokens[:n] + plain(tokens[n * k :], n) if k > 1 else tokens[:1] + plain(tokens[1:], n)
+
+    rng = random.Random(4)
+    for _ in range(500):
+        tokens = [rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(1, 30))]
+        expected = tokens
+        for n in (4, 3, 2, 1):
+            expected = plain(expected, n)
+        assert X.collapse(" ".join(tokens)) == " ".join(expected)
+
+
 def test_budget_parts():
+    assert X.fit_budget("\n\nab\n\n\ncd\n", 5) == ["ab\n\n", "cd\n"] and X.fit_budget("a. b. c", 2) == ["a.", "b", ".", "c"]
     assert X.fit_budget("short", 10) == ["short"] and X.fit_budget(" \n " * 5, 3) == []
     assert X.fit_budget("aaaa\nbbbb\ncccc", 9) == ["aaaa\nbbbb", "cccc"]
     assert X.fit_budget("One two. Three four. Five", 12) == ["One two.", "Three four.", "Five"]
@@ -76,6 +103,18 @@ def test_budget_parts():
         assert all(len(p) <= 10 for p in parts) and re.sub(r"\s", "", "".join(parts)) == re.sub(r"\s", "", text)
 
 
+def test_common_subsequences():
+    rng = random.Random(7)
+    for _ in range(100):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        grid = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                grid[i + 1][j + 1] = grid[i][j] + 1 if x == y else max(grid[i][j + 1], grid[i + 1][j])
+        found = S._matches(a, b)
+        assert S._common(a, b) == grid[-1][-1] == len(found) and all(a[i] == b[j] for i, j in found)
+
+
 def test_scores(spark):
     df = spark.createDataFrame([("the cat sat", "the cat sat"), ("a b c", "a x c"), ("", "z"), (None, "q")], "g string, t string")
     got = [r.r for r in df.select(S.rouge("g", "t").alias("r")).collect()]
@@ -103,8 +142,49 @@ def test_model_calls(spark):
     assert got == {1: "yes", 2: ""}
 
 
+def test_model_server_and_batches(spark):
+    assert P.ensure_ready(lambda: ["q:4b"], "q") and not P.ensure_ready(lambda: [], "q")
+
+    def down():
+        raise OSError
+
+    with pytest.raises(RuntimeError):
+        P.ensure_ready(down, "q")
+    ticks = iter([1.0, 1.25])
+    assert P.timed(str.upper, lambda: next(ticks))("a") == ("A", 250.0)
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id long, text string").coalesce(1)
+    got = P.generate(df, "text", "out", lambda: lambda xs: [f"{x}{len(xs)}" for x in xs], batch=2).collect()
+    assert [r.out for r in got] == ["a2", "2", "c1"]
+
+    def translator(lang):
+        def call(t):
+            if t == "c":
+                raise KeyError(t)
+            return f" {t}-{lang} "
+
+        return call if lang == "ru" else None
+
+    got = P.translate(df, "text", translator).collect()
+    assert [r.text_ru for r in got] == ["a-ru", "-ru", ""] and {r.text_en for r in got} == {"[no key, not translated]"}
+
+
+def test_listings_and_extracts(spark):
+    pages = {None: {"query": {"categorymembers": [{"title": "A"}, {"title": "Turkum:B"}]}, "continue": {"cmcontinue": "x"}}, "x": {"query": {"categorymembers": [{"title": "C"}]}}}
+    found = list(IO.follow(pages.get))
+    assert len(found) == 2 and len(list(IO.follow(pages.get, most=2))) == 1 and list(IO.follow(lambda m: None)) == []
+    landed = spark.createDataFrame([("r", k, json.dumps(x)) for k, x in enumerate(found)] + [("r", 2, "no json"), ("r", 3, None)], "category string, page int, response string")
+    got = [(r.member, r.position, r.is_subcat) for r in IO.category_listing(landed).orderBy("position").collect()]
+    assert got == [("A", 0, False), ("B", 1, True), ("C", 1000, False)]
+    batch = json.dumps({"query": {"pages": {"7": {"title": "Ona tili", "extract": "matn " * 50 + "== Havolalar == x"}, "-1": {"title": "Yoq"}}}})
+    got = IO.extracts(spark.createDataFrame([(batch,), ("[]",)], "response string")).collect()
+    assert len(got) == 1 and got[0].url.endswith("/Ona_tili") and got[0].length == len(got[0].text) == 249
+
+
 def test_fetch_policy():
     waits = []
+    odd = iter([(500, None), (200, "x")])
+    assert IO.fetch(lambda: next(odd), sleep=waits.append) == "x" and waits == [2]
+    waits.clear()
     answers = iter([(429, None), (403, None), (200, "page")])
     assert IO.fetch(lambda: next(answers), sleep=waits.append) == "page" and waits == [5, 10]
 
@@ -125,8 +205,12 @@ def test_pages_and_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
         z.writestr("word/document.xml", "<w:document><w:p><w:r><w:t>Bir</w:t></w:r></w:p><w:p ><w:t xml:space='preserve'>A &amp; B</w:t></w:p></w:document>")
     (tmp_path / "c.pdf").write_bytes(b"x")
+    (tmp_path / "d.TXT").write_bytes(b"upper")
     got = sorted(r.text for r in IO.texts(spark, str(tmp_path)).collect())
-    assert got == ["Bir\nA & B", "ok �"]
+    assert got == ["Bir\nA & B", "ok �", "upper"]
+    word = spark.createDataFrame([("a < b\n\nЎ  c",), (None,)], "t string").select(W.docx("t").alias("d")).collect()
+    assert [IO.document_text("x.docx", bytes(r.d)) for r in word] == ["a < b\n\nЎ  c", ""]
+    assert [one(spark, IO.seed_ids(F.col("t")), u) for u in ("https://lex.uz/uz/docs/-12", "https://lex.uz/docs/7", "https://x")] == ["-12", "7", None]
 
 
 @pytest.mark.parametrize(

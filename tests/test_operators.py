@@ -1,5 +1,6 @@
 """Chunker, dedup, labels, pairs, graphs, files and streams; catalogue against SQL."""
 
+import json
 import random
 import re
 from datetime import datetime
@@ -113,6 +114,14 @@ def test_files(spark, tmp_path):
     W.csv(df, out, ["text", "n"], check=True)
     back = IO.csv(spark, out, "text string, n int")
     assert sorted(r.text for r in back.collect()) == sorted(["a\n\"b\", c", "d"]) and back.columns == ["text", "n"]
+    marked = str(tmp_path / "marked.csv")
+    W.csv(df, marked, ["text", "n"], check=True, mark=True)
+    assert all(f.read_bytes().startswith("\ufeff\"text\"".encode()) for f in (tmp_path / "marked.csv").glob("part-*") if f.stat().st_size)
+    assert sorted((r.text, r.n) for r in IO.csv(spark, marked, "text string, n int").collect()) == sorted([("a\n\"b\", c", 1), ("d", None)], key=lambda x: x[0])
+    for rows in (df, df.limit(0)):
+        W.json_array(rows.select("text", "n"), str(tmp_path / "array"))
+        got = json.loads(next((tmp_path / "array").glob("part-*")).read_text())
+        assert sorted(x["text"] for x in got) == sorted(r.text for r in rows.collect())
     W.csv(df.limit(0), str(tmp_path / "none"), ["text"])
     assert not (tmp_path / "none").exists()
     (tmp_path / "bom.csv").write_bytes("﻿url,x\nhttps://a,1\nhttps://a,2\n,3\n".encode())
@@ -135,6 +144,49 @@ def test_reports(spark):
     assert {r.k: r.n for r in R.survivors(files, df, "k").collect()} == {"x": 1, "z": 0}
 
 
+def test_files_of_earlier_runs(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("text\na\nb\n")
+    source, output = str(tmp_path / "in.csv"), str(tmp_path / "out.csv")
+    assert IO.resumed(spark, source, output).where("simplified_text is null").count() == 2
+    (tmp_path / "out.csv").write_text("text,simplified_text\na,x\nb,\n")
+    assert [r.text for r in P.pending_rows(IO.resumed(spark, source, output), None, "text", "simplified_text").collect()] == ["b"]
+    items = "".join(f"<item><title>t{k}</title><link>{'' if k == 1 else f'https://a/{k}'}</link><pubDate>d{k}</pubDate></item>" for k in range(4))
+    (tmp_path / "feed.xml").write_text(f"<rss><channel>{items}</channel></rss>")
+    assert [(r.title, r.published) for r in IO.feed_entries(spark, str(tmp_path / "feed.xml"), most=3).orderBy("title").collect()] == [("t0", "d0"), ("t2", "d2")]
+    W.markdown_files(spark.createDataFrame([("a", "# A\n\nx")], "name string, text string"), str(tmp_path / "md"), "name", "text")
+    assert next((tmp_path / "md" / "name=a").glob("part-*")).read_text().strip() == "# A\n\nx"
+    W.json(spark.createDataFrame([("1", "u", "t", "x", ["2"])], "id string, url string, title string, text string, linked_ids array<string>"), str(tmp_path / "acts"))
+    assert IO.jsonl(spark, str(tmp_path / "acts")).first().linked_ids == ["2"]
+
+
+def test_small_reports(spark):
+    df = spark.createDataFrame([("a " * 100, "a " * 90, 100), ("a " * 100, "a " * 50, 100), ("b", "b", 1)], "text string, out string, n int")
+    assert P.accepted(df, "text", "out", F.col("n"), 1).count() == 1 and P.accepted(df, "text", "out", F.col("n"), 2).count() == 2
+    assert P.under_all_prefixes(spark.range(3), spark.createDataFrame([("p",), ("q",), ("p",)], "prefix string")).count() == 6
+    seen = []
+    observed = R.progress(df, "run", F.col("n") > 1)
+    observed.collect()
+    seen.append(observed.count())
+    assert seen == [3]
+    values = spark.createDataFrame([(float(v),) for v in [1, 1, 1, 5, 1e9, 2, float("nan")]] + [(None,)], "v double")
+    r = R.latency_summary(values, "v").first()
+    assert (r.median, r.least, r.most) == (1.5, 1, 1e9) and R.latency_summary(values.limit(0), "v").first().median is None
+    few = [r.doc_id for r in P.smallest_draws(spark.range(500).withColumnRenamed("id", "doc_id"), ["doc_id"], 40, cells=8).collect()]
+    assert sorted(few) == sorted(r.doc_id for r in P.sample_rows(spark.range(500).withColumnRenamed("id", "doc_id"), ["doc_id"], 40).collect())
+    groups = spark.createDataFrame([(None if k % 3 == 0 else "g", k) for k in range(90)], "g string, k int")
+    got = C.batches(groups, ["k"], 7, ["g"]).collect()
+    assert all(r.batch == sum((x.g, ) == (r.g, ) and x.k < r.k for x in got) // 7 for r in got)
+
+
+def test_stream_of_word_counts(spark, tmp_path):
+    rows = [(datetime(2024, 1, 1, 10, m), "a b" if m < 30 else "b") for m in (0, 20, 40)] + [(datetime(2024, 1, 1, 13, 0), "c"), (datetime(2024, 1, 1, 16, 0), "d")]
+    spark.createDataFrame(rows, "at timestamp, text string").write.parquet(str(tmp_path / "in"))
+    stream = I.word_counts(I.landed(spark, str(tmp_path / "in"), "at timestamp, text string"), "at", F.split("text", " "))
+    q = stream.writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.word, r.n) for r in spark.table("counts").collect()} >= {("a", 2), ("b", 3)}
+
+
 def test_stream_resumes(spark, tmp_path):
     src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

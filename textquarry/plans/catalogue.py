@@ -171,8 +171,15 @@ def complexity_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT min(complexity_score) AS least, max(complexity_score) AS most, list_extract(list_sort(list(complexity_score)), count(*) // 2 + 1) AS median FROM ({_complexity_sql(*C.VARIANT_A)})")
 def complexity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = C.complexity(_chunks(spark, sf_dir), ["doc_id", "chunk_id"]).select("complexity_score")
-    ends = scored.agg(F.min("complexity_score").alias("least"), F.max("complexity_score").alias("most"))
-    return ends.crossJoin(F.broadcast(C.upper_median(scored, "complexity_score")))
+    return C.score_summary(scored, "complexity_score")
+
+
+@query(
+    f"""SELECT doc_id, CAST(n AS INTEGER) AS word_count, CAST(length(text) AS INTEGER) AS length, CASE WHEN n > 0 AND m > 0 THEN floor(n / m * 100 + 0.5::DOUBLE) / 100 ELSE 0 END AS avg_sentence_len, CASE WHEN n > 0 AND m > 0 THEN floor(l / n * 100 + 0.5::DOUBLE) / 100 ELSE 0 END AS avg_word_len
+    FROM (SELECT doc_id, text, {N_WORDS.format(CLEAN_TEXT)} AS n, length(replace({CLEAN_TEXT}, ' ', '')) AS l, len(list_filter(string_split(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '')) AS m FROM documents)"""
+)
+def cleaning_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", C.cleaning_metrics(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
 @query("SELECT doc_id, source, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 AS INTEGER) AS batch FROM documents")
@@ -218,6 +225,11 @@ def anti_join_new_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.not_seen(_documents(spark, sf_dir).select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
 
 
+@query("SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE trim(event_type) <> '' AND event_type IS DISTINCT FROM b")
+def changed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.changed(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["user_id"], ["event_id"], "event_type")
+
+
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 15")
 def per_group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.per_group_cap(_documents(spark, sf_dir).select("doc_id", "source"), ["source"], ["doc_id"], 15)
@@ -277,6 +289,13 @@ def category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", L.domain_of(F.col("lang"), F.lit(L.OTHER), {"en": "law", "de": "science"}).alias("domain"))
 
 
+@query(f"SELECT domain, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM (SELECT {_best_sql()} AS domain FROM (SELECT {_score_sql('x')} FROM (SELECT lower(source || ' ' || text) AS x FROM documents WHERE lang NOT IN ('en', 'de')))) GROUP BY domain")
+def autofill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("given", L.domain_of(F.col("lang"), F.lit(None).cast("string"), {"en": "law", "de": "science"}))
+    domain = F.coalesce("given", L.by_keywords(F.col("source"), F.col("text"), LEXICON))
+    return R.autofilled(docs.select(domain.alias("domain"), F.col("given").isNull().alias("domain_filled_auto")), "domain", "domain_filled_auto")
+
+
 # --- merge and reports ---------------------------------------------------------------------------
 
 
@@ -326,6 +345,21 @@ def skew_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.excess(_documents(spark, sf_dir), "lang")
 
 
+@query(f"SELECT doc_id, CAST({N_WORDS.format(CLEAN_TEXT)} AS INTEGER) AS n_words FROM documents WHERE {N_WORDS.format(CLEAN_TEXT)} <= 25 ORDER BY doc_id LIMIT 3")
+def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.short_texts(_documents(spark, sf_dir), "text", ["doc_id"]).select("doc_id", X.word_count(F.col("text")).alias("n_words"))
+
+
+@query(
+    """SELECT conv_id, turn, rows_per_sec, CASE WHEN e // 3600 > 0 THEN printf('%dh%02dm%02ds', e // 3600, (e % 3600) // 60, e % 60) WHEN e // 60 > 0 THEN printf('%dm%02ds', e // 60, e % 60) ELSE printf('%ds', e) END AS eta
+    FROM (SELECT conv_id, turn, r AS rows_per_sec, CAST(CASE WHEN r > 0 THEN floor((1000 - turn) / r) ELSE 0 END AS BIGINT) AS e FROM (SELECT conv_id, turn, CASE WHEN turn > 0 THEN turn / (turn * 3 + conv_id % 7)::DOUBLE ELSE 0 END AS r FROM conversations))"""
+)
+def progress_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.when(F.col("turn") > 0, F.col("turn") * 3 + F.col("conv_id") % 7).otherwise(0)
+    shown = X.pace(F.col("turn"), F.lit(1000), seconds)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", shown.alias("p")).select("conv_id", "turn", "p.*")
+
+
 @query("SELECT round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS least, max(value) AS most FROM events")
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = R.latency_summary(table(spark, sf_dir, "events"), "value")
@@ -354,6 +388,12 @@ def ratio_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", X.compression(F.col("text"), F.col("simplified_text")).alias("ratio"))
 
 
+@query(f"SELECT conv_id, turn, length(simplified_text) / greatest(length(text), 1) > 0.6::DOUBLE AS weak FROM ({PAIR_SQL}) WHERE text IS NOT NULL AND simplified_text IS NOT NULL")
+def weak_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pairs(spark, sf_dir).dropna(subset=["text", "simplified_text"])
+    return rows.select("conv_id", "turn", X.weak_compression(F.col("text"), F.col("simplified_text")).alias("weak"))
+
+
 @query(f"SELECT doc_id FROM documents ORDER BY {DRAW.format('doc_id')}, doc_id LIMIT 25")
 def sample_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sample_rows(_documents(spark, sf_dir), ["doc_id"], 25).select("doc_id")
@@ -439,9 +479,27 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("link"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(lower(html), 'captcha')) > 0 AS blocked FROM pages")
+@query("SELECT page_id, CAST(" + " + ".join(f"contains(lower(html), '{m.lower()}')::INTEGER" for m in X.BLOCK_MARKERS) + " AS INTEGER) AS n_markers FROM pages")
 def page_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.array_contains(X.block_markers(F.col("html")), "captcha").alias("blocked"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(X.block_markers(F.col("html"))).alias("n_markers"))
+
+
+_ENTITIES = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query(
+    f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split({_ENTITIES.format("regexp_replace(b, '<[^>]*>', '', 'g')")}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
+    FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1), '{X.PAGE_FURNITURE}', ' ', 'g'), '{X.PAGE_BLOCK}', chr(10), 'g') AS b FROM pages)"""
+)
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.main_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT source AS title, 'https://uz.wikipedia.org/wiki/' || source AS url, {CLEAN_TEXT} AS text, CAST(length({CLEAN_TEXT}) AS INTEGER) AS length FROM documents WHERE length({CLEAN_TEXT}) >= 200")
+def api_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.create_map(F.col("doc_id").cast("string"), F.struct(F.col("source").alias("title"), F.col("text").alias("extract")))
+    landed = _documents(spark, sf_dir).select(F.to_json(F.struct(F.struct(page.alias("pages")).alias("query"))).alias("response"))
+    return IO.extracts(landed)
 
 
 EDGE_SQL = "SELECT DISTINCT c_custkey AS src, (c_custkey * 7 + c_nationkey) % 500 AS dst FROM customer"
@@ -449,18 +507,36 @@ EDGE_SQL = "SELECT DISTINCT c_custkey AS src, (c_custkey * 7 + c_nationkey) % 50
 
 @query(f"WITH RECURSIVE e AS ({EDGE_SQL}), b AS (SELECT 1::BIGINT AS node, 0 AS hop UNION SELECT e.dst, b.hop + 1 FROM b JOIN e ON e.src = b.node WHERE b.hop < 12) SELECT node, min(hop) AS hop FROM b GROUP BY node")
 def link_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir("/tmp/textquarry-checkpoints")
     edges = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 500).cast("long").alias("dst"))
     return G.breadth_first(edges, spark.range(1, 2).withColumnRenamed("id", "node"), max_hops=12)
 
 
-@query("SELECT n_name AS member FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IS NOT NULL ORDER BY r_regionkey, n_nationkey LIMIT 12")
+TREE_SQL = """WITH RECURSIVE listing AS (
+  SELECT 'root' AS category, r_name AS member, CAST(r_regionkey AS BIGINT) AS position, true AS sub FROM region
+  UNION ALL SELECT r_name, n_name, n_nationkey, false FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT a.r_name, b.r_name, 500, true FROM region a JOIN region b ON b.r_regionkey = (a.r_regionkey + 1) % 5
+), walk AS (
+  SELECT member, sub, (CASE WHEN sub THEN '1' ELSE '0' END) || lpad(CAST(position AS VARCHAR), 10, '0') AS path, 0 AS depth FROM listing WHERE category = 'root'
+  UNION ALL
+  SELECT l.member, l.sub, w.path || (CASE WHEN l.sub THEN '1' ELSE '0' END) || lpad(CAST(l.position AS VARCHAR), 10, '0'), w.depth + 1 FROM walk w JOIN listing l ON l.category = w.member WHERE w.sub AND w.depth < 3
+)
+SELECT member, min(path) AS path FROM walk WHERE NOT sub GROUP BY member ORDER BY path LIMIT 20"""
+
+
+@query(TREE_SQL)
 def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions list their nations and, in a cycle, the next region; read from responses of two pages each."""
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    top = region.select(F.lit("root").alias("category"), F.col("r_name").alias("member"), F.col("r_regionkey").alias("position"), F.lit(True).alias("is_subcat"))
-    low = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("category"), F.col("n_name").alias("member"), F.col("n_nationkey").alias("position"), F.lit(False).alias("is_subcat"))
-    return G.category_members(top.union(low), "root", 2, 12).select("member")
+    other = region.select(F.col("r_name").alias("next"), F.col("r_regionkey").alias("k"))
+    own = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("category"), F.lit(0).alias("page"), F.col("n_nationkey").alias("at"), F.col("n_name").alias("title"))
+    onward = region.join(other, F.col("k") == (F.col("r_regionkey") + 1) % 5).select(F.col("r_name").alias("category"), F.lit(1).alias("page"), F.lit(0).alias("at"), F.concat(F.lit("Turkum:"), "next").alias("title"))
+    top = region.select(F.lit("root").alias("category"), F.lit(0).alias("page"), F.col("r_regionkey").alias("at"), F.concat(F.lit("Turkum:"), "r_name").alias("title"))
+    members = F.transform(F.array_sort(F.collect_list(F.struct("at", "title"))), lambda m: F.struct(m["title"].alias("title")))
+    landed = top.union(own).union(onward).groupBy("category", "page").agg(F.to_json(F.struct(F.struct(members.alias("categorymembers")).alias("query"))).alias("response"))
+    listing = IO.category_listing(landed, per_page=500)
+    nations = nation.select(F.col("n_name").alias("member"), F.col("n_nationkey").cast("long").alias("place"))
+    placed = listing.join(nations, "member", "left").withColumn("position", F.coalesce("place", F.col("position").cast("long"))).drop("place")
+    return G.category_members(placed, "root", 3, 20)
 
 
 # --- text in, text out ---------------------------------------------------------------------------
