@@ -6,6 +6,7 @@ import re
 import time
 from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -338,5 +339,41 @@ def test_pipeline(spark):
     assert {p.doc_id for p in pieces} == {r.doc_id for r in kept.select("doc_id").collect()}
 
 
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    rel = con.sql(registry.ORACLE_SQL[name])
+    assert sorted(got.columns) == sorted(rel.columns)
+    columns = sorted(rel.columns)
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(rel.select(", ".join(columns)).fetchall())
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    clean, twice, item = text(60), text(80), " ".join(words[:30])
+    rows = [(1, clean, "en", "s", 5, 7), (1, clean, "en", "s", 5, 8), (None, text(50), None, None, None, 9), (2, None, "en", "s", 0, 1), (3, "", "en", "s", 0, 1), (4, "short", "en", "s", 5, 1), (5, twice, "uz", "s", 1, 1), (6, twice + " end", "uz", "s", 1, 1), (7, text(20) + " " + item + " token=abcdefghijklmnop", "de", "s", 1, 1), (8, " ".join(f"x{k}" for k in range(30_000)), "en", "s", 1, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long"
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, df in (("full", spark.createDataFrame(rows, schema)), ("empty", spark.createDataFrame([], schema))):
+        d = tmp_path / name
+        df.write.parquet(str(d / "documents.parquet"))
+        (d / "benchmark.parquet").symlink_to(tmp_path / "benchmark.parquet")
+        kept = spark.read.parquet(str(d / "documents.parquet"))
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = f(spark, kept, str(d))
+            assert kept.columns == df.columns, stage
+        pieces = corpus_pipeline.run(spark, str(d)).collect()
+        assert {p.doc_id for p in pieces} == ({1, None, 5, 7, 8} if name == "full" else set())
+    got = {r.doc_id: r.text for r in spark.createDataFrame(kept.collect(), schema).collect()} if kept.count() else {}
+    assert got == {}
+
+
 def test_registry_has_every_operator():
     assert [n.split("_")[0] for n in registry.QUERIES] == ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "pipeline"]

@@ -60,4 +60,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_secret_scan, op3_decontamination, op4_substring_dedup, op5_main_text, op6_quality_rules, op7_token_ids, op8_language_id, op9_near_duplicates, op10_packing, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {}
+LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = f"regexp_extract_all({LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_WORDS = f"regexp_extract_all({LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+')"
+
+#: SQL for the queries whose whole result SQL can state; tests compare the others with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": f"""WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_BENCH_WORDS} AS w FROM benchmark),
+    iw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+    dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+    hit AS (SELECT dw.doc_id, dw.n, dw.k, iw.item FROM dw JOIN iw USING (n, win)),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit WHERE item IS NOT NULL) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op9_near_duplicates": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS k FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    sized AS (SELECT s.doc_id, hash(g) AS g, n FROM s JOIN n USING (doc_id)),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sized a JOIN sized b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+    e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS x, doc_id AS least FROM d UNION SELECT e.b, r.least FROM reach r JOIN e ON e.a = r.x WHERE r.least < e.b)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(least) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id""",
+}
