@@ -74,18 +74,19 @@ def json_array(df: DataFrame, path: str) -> None:
     """One JSON array with an indent of 2, other scripts as they are; meant for reports, so one task writes it row by row."""
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = ""
         rows = (r for b in batches for r in b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(["["])], ["value"])
         for r in rows:
             text = textwrap.indent(json_text.dumps(json_text.loads(r), ensure_ascii=False, indent=2), "  ")
-            if held is not None:
+            if held:
                 yield pa.RecordBatch.from_arrays([pa.array([held + ","])], ["value"])
             held = text
-        yield pa.RecordBatch.from_arrays([pa.array(["]"] if held is None else [held, "]"])], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([held, "]"])], ["value"])
 
     rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
-    rows.mapInArrow(lines, "value string").write.mode("overwrite").option("lineSep", "\n").text(path)
+    out = df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1) if df.isEmpty() else rows.mapInArrow(lines, "value string")
+    out.write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 @F.pandas_udf(T.BinaryType())
