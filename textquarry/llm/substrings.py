@@ -18,8 +18,8 @@ in the same document or another one, is removed.
    ``WIDTH``, and there the expansion stops.  Neighbours whose common prefix
    is not set by then share a window.
 4. An anchor has to be in one block with all its runs.  Where they are more
-   bytes than a block holds, its windows are counted by their bytes instead,
-   which needs no group; both ways give the same ranges.
+   bytes than a block holds, its windows are counted by 128-bit digests of
+   their bytes instead, which needs no group; both ways give the same ranges.
 
 Defined results: a null text is an empty one; texts shorter than a window keep
 all bytes; equal rows repeat each other and lose all bytes if they are as long
@@ -42,8 +42,8 @@ from .common import hot_join, lean, release, scratch, tidied
 
 WIDTH, GRAM = 200, 48
 BLOCK_BYTES = 1_000_000
-#: Text bytes that are hashed at a time.
-CHUNK_BYTES = 2_000_000
+#: Text bytes that are hashed at a time, and runs in a file where there are as many.
+CHUNK_BYTES, ROWS_PER_FILE = 2_000_000, 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -266,14 +266,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tidied
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of runs, as its bytes."""
+    """Every window of runs, as a 128-bit digest of its bytes."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             part = batch.slice(lo, 200)
             columns: list[list] = [[] for _ in range(5)]
             for k1, k2, first, single, run in zip(*(part.column(n).to_pylist() for n in ("k1", "k2", "first", "single", "bytes")), strict=True):
                 n = len(run) - WIDTH + 1
-                for c, v in zip(columns, ([k1] * n, [k2] * n, range(first, first + n), [single] * n, [run[i : i + WIDTH] for i in range(n)]), strict=True):
+                for c, v in zip(columns, ([k1] * n, [k2] * n, range(first, first + n), [single] * n, [hashlib.blake2b(run[i : i + WIDTH], digest_size=16).digest() for i in range(n)]), strict=True):
                     c += v
             types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k1", "k2", "start", "single", "w"])
@@ -301,14 +301,14 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     lean(docs.sparkSession)
     texts = docs.select(*_id(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= WIDTH)
     runs = scratch(texts.mapInArrow(_anchor_rows, "k1 long, k2 long, first long, windows long, h long, c long"), "anchors")
-    common = scratch(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common")
     total = runs.count()
-    again = scratch(hot_join(runs, common, ["h"], "n", total).drop("n"), "again")
+    common = scratch(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common", total, ROWS_PER_FILE)
+    again = scratch(hot_join(runs, common, ["h"], "n", total).drop("n"), "again", total, ROWS_PER_FILE)
     release(runs, common)
     key, place = ["h", "c", "windows"], F.struct("k1", "k2", "first")
-    kinds = scratch(again.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("one")), "kinds")
+    kinds = scratch(again.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("one")), "kinds", total, ROWS_PER_FILE)
     span = [F.col("k1"), F.col("k2"), F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + WIDTH).alias("end")]
-    whole = scratch(hot_join(again, kinds.where("m > 1").select(*key, "m"), key, "m", total).select(*span), "whole")
+    whole = scratch(hot_join(again, kinds.where("m > 1").select(*key, "m"), key, "m", total).select(*span), "whole", total, ROWS_PER_FILE)
     release(again)
     size = F.col("windows") + WIDTH - 1
     groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("m").alias("least"), (F.sum(size) <= BLOCK_BYTES).alias("fits")).where("kinds > 1 and least = 1").drop("least")
@@ -320,11 +320,11 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     release(kinds)
     spans = "k1 long, k2 long, start long, end long"
     compared = fetched.where("fits").drop("fits").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, spans)
-    windows = fetched.where("not fits").drop("fits", "h").mapInArrow(_windows, "k1 long, k2 long, start long, single boolean, w binary")
+    windows = scratch(fetched.where("not fits").drop("fits", "h").mapInArrow(_windows, "k1 long, k2 long, start long, single boolean, w binary"), "windows")
     seen = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counted = hot_join(windows, seen, ["w"], "n", total).where("single").select("k1", "k2", "start", (F.col("start") + WIDTH).alias("end"))
     out = scratch(whole.unionByName(compared).unionByName(counted), "spans")
-    release(whole, fetched)
+    release(whole, fetched, windows)
     return out
 
 
