@@ -4,8 +4,9 @@ Encoding.  A pre-token of a byte-level BPE surely starts at some places (white
 space, letters next to digits or signs).  ``Encoder`` cuts the texts there with
 numpy, has Arrow number the distinct parts, encodes each of those once with the
 tokenizers library and gathers the ids; the result is the same as encoding the
-whole text.  An encoder lives as long as its task, and its cache holds two
-generations of ``CACHE_PARTS`` parts, so its memory is bounded.
+whole text.  A worker keeps the library's tokenizer; the cache lives as long as
+its task and holds two generations of ``CACHE_PARTS`` parts, so its memory is
+bounded.
 
 File format.  One image per run of documents, little-endian:
 
@@ -35,6 +36,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +140,20 @@ def _build(path: str) -> tuple[bool, tuple[bytes, ...]]:
     return plain, tuple(t["content"].encode() for t in made.get("added_tokens", ()))
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> tuple[Any, int, np.ndarray]:
+    """The library's tokenizer, which a worker keeps, its size, and the bytes of each id where a character stands for a byte."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    widths = np.zeros(size, np.int64)
+    for token, k in tokenizer.get_vocab(with_added_tokens=False).items():
+        widths[k] = len(token)
+    return tokenizer, size, widths
+
+
 class Encoder:
     """Encodes texts with one vocabulary file; equal to the library's ``encode`` without special tokens added.
 
@@ -149,15 +165,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.tokenizer, self.size, self.widths = _loaded(path)
         self.cuts, self.added = _build(path)
-        self.widths = np.zeros(self.size, np.int64)  # bytes of each id, where a character stands for a byte
-        for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            self.widths[k] = len(token)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -175,20 +184,17 @@ class Encoder:
     def _parts(self, parts: list[bytes]) -> list[bytes]:
         """Ids of distinct parts."""
         young, old = self.young, self.old
-        missing, single = [], []
-        for p in parts:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
-                elif len(p) > 1 and p[0] == 0x20 and p[1] in _SIGNS:
-                    missing.append(p)
-                else:
-                    single.append(p)
+        missing = [p for p in parts if p not in young]
+        if old:
+            young.update({p: old[p] for p in missing if p in old})
+            missing = [p for p in missing if p not in old]
+        single = [p for p in missing if len(p) < 2 or p[0] != 0x20 or p[1] not in _SIGNS]
+        missing = [p for p in missing if len(p) > 1 and p[0] == 0x20 and p[1] in _SIGNS]
         for lo in range(0, len(missing), 20_000):
             some = missing[lo : lo + 20_000]
             young.update(zip(some, self._joined(some), strict=True))
         young.update(zip(single, self._library([p.decode() for p in single]), strict=True))
-        out = [young[p] for p in parts]
+        out = list(map(young.__getitem__, parts))
         if len(young) > CACHE_PARTS:
             self.old, self.young = young, {}
         return out
