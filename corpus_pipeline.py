@@ -8,6 +8,14 @@ Every stage takes all that its predecessor kept and returns the columns of
 3. decontaminate passages of benchmark items are cut out of the texts
 4. secrets       secrets become ``[SECRET]``
 5. pack          texts become sequences of 1024 tokens
+
+Defined results, in each stage: a null, empty or blank text is rejected by
+``quality``, and passes all other stages as it is (``pack`` gives it its end
+id); a null doc_id is kept and linked with nothing; texts of any length are
+read whole; of rows that are equal in doc_id and text ``near_dedup`` keeps
+one, rows of one doc_id with different texts stay apart; an empty table gives
+an empty one; other columns pass through, whatever their names, and
+``n_chars`` follows a changed text.
 """
 
 from __future__ import annotations
