@@ -73,6 +73,15 @@ ORACLE_SQL: dict[str, str] = {
     covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hit) GROUP BY doc_id),
     named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit WHERE item IS NOT NULL) GROUP BY doc_id)
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op4_substring_dedup": """WITH b AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+    piece AS (SELECT r, n, p, substr(x, 2 * p + 1, 798) AS y FROM (SELECT r, n, x, unnest(range(0, n - 199, 200)) AS p FROM b WHERE n >= 200)),
+    w AS (SELECT r, p + i AS k, md5(substr(y, 2 * i - 1, 400)) AS h FROM (SELECT r, p, y, unnest(range(1, least(200, n - 199 - p) + 1)) AS i FROM piece)),
+    hit AS (SELECT r, k FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+    run AS (SELECT r, k, sum(fresh) OVER (PARTITION BY r ORDER BY k) AS g FROM (SELECT r, k, CASE WHEN k <= lag(k) OVER (PARTITION BY r ORDER BY k) + 200 THEN 0 ELSE 1 END AS fresh FROM hit)),
+    span AS (SELECT r, min(k) AS a, max(k) + 200 AS z FROM run GROUP BY r, g),
+    gap AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 1) AS p FROM span),
+    cut AS (SELECT r, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS z, string_agg(substr(x, 2 * p - 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM gap JOIN b USING (r) GROUP BY r)
+    SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(z, 1) - 1))) AS kept_sha256 FROM b LEFT JOIN cut USING (r)""",
     "op9_near_duplicates": f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS k FROM d WHERE len(w) > 0)),
     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
