@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from textquarry.functions import text as X
 from textquarry.operators import chunking as C
 from textquarry.operators import dedup as D
 from textquarry.operators import graph as G
@@ -222,6 +223,30 @@ def test_catalogue_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def odd_documents(words, n, most):
+    """A DuckDB connection with a table of composed texts, and the texts."""
+    rng = random.Random(n)
+    texts = {k: "".join(rng.choice(words) for _ in range(rng.randint(0, most))) for k in range(n)} | {n: None, n + 1: "", n + 2: " ", n + 3: "\n\n"}
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [[k, t] for k, t in texts.items()])
+    return con, texts
+
+
+@pytest.mark.parametrize("limit", [5, 12, 40])
+def test_sql_of_budget_splits(limit):
+    con, texts = odd_documents(["a", "bc", "ü", ". ", ".", " ", "\n", "\n\n", "dddddddd"], 400, 40)
+    ctes = catalogue.split_ctes("SELECT doc_id, coalesce(text, '') AS t FROM documents", limit)
+    got = con.sql(f"WITH {ctes} SELECT doc_id, pos, part FROM parts").fetchall()
+    assert sorted(got) == [(k, i, p) for k, t in texts.items() for i, p in enumerate(X.fit_budget(t or "", limit))]
+
+
+def test_sql_of_collapsed_repeats():
+    con, texts = odd_documents(["a ", "b ", "a b ", "c c c ", " ", "a b c a b ", "d\n"], 400, 25)
+    got = con.sql(catalogue.ORACLE_SQL["repeat_collapse"]).fetchall()
+    assert sorted(got) == [(k, t if t is None else X.collapse(t)) for k, t in texts.items()]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 751  # chunks at this size, as an independent count gave
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -66,6 +66,52 @@ placed AS (
 chunks AS (
   SELECT doc_id, CAST(gid AS INTEGER) AS chunk_id, string_agg(s, ' ' ORDER BY pos) AS text FROM placed WHERE gid > 0 GROUP BY doc_id, gid
 )"""
+STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def split_ctes(source: str, limit: int) -> str:
+    """Recursive CTEs of a budget split of ``source`` (doc_id, t): ``parts`` (doc_id, pos, part).
+
+    A step takes the next part off the rest of a text; ``inside`` marks the rest of a line that is over the limit.
+    """
+    return f"""RECURSIVE src AS ({source}),
+    taken AS (
+      SELECT doc_id, 0 AS step, t AS rest, false AS inside, CAST(NULL AS VARCHAR) AS part FROM src WHERE length(t) > {limit}
+      UNION ALL
+      SELECT doc_id, step + 1, substr(rest, 1 + used + CASE WHEN stays THEN 0 ELSE 1 END), stays, CASE WHEN line > {limit} OR inside THEN {STRIPPED.format("substr(rest, 1, used)")} ELSE substr(rest, 1, used) END
+      FROM (SELECT *, (line > {limit}) AS stays, CASE
+          WHEN line = 0 THEN 0
+          WHEN line > {limit} THEN CASE WHEN stop BETWEEN 2 AND {limit} - 1 THEN stop ELSE {limit} END
+          WHEN inside THEN line
+          WHEN length(rest) <= {limit} THEN length(rest)
+          ELSE {limit} + 1 - instr(reverse(substr(rest, 1, {limit} + 1)), chr(10)) END AS used
+        FROM (SELECT *, CASE WHEN contains(rest, chr(10)) THEN instr(rest, chr(10)) - 1 ELSE length(rest) END AS line, {limit} - instr(reverse(substr(rest, 1, {limit})), ' .') AS stop FROM taken WHERE rest <> ''))
+    ),
+    parts AS (
+      SELECT doc_id, 0 AS pos, t AS part FROM src WHERE length(t) <= {limit}
+      UNION ALL
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1, part FROM taken WHERE {STRIPPED.format("coalesce(part, '')")} <> ''
+    )"""
+
+
+def collapse_ctes(longest: int) -> str:
+    """Recursive CTEs that absorb repeats of blocks of ``longest`` words, then fewer: ``w0`` (doc_id, k, w)."""
+    ctes = [f"RECURSIVE w{longest} AS (SELECT doc_id, unnest(range(len(ws))) AS k, unnest(ws) AS w FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents))"]
+    for n in range(longest, 0, -1):
+        ctes += [
+            f"other{n} AS (SELECT doc_id, k, w IS NOT DISTINCT FROM lead(w, {n}) OVER (PARTITION BY doc_id ORDER BY k) AS same FROM w{n})",
+            f"run{n} AS (SELECT doc_id, k, min(CASE WHEN NOT same THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - k AS r FROM other{n})",
+            f"block{n} AS MATERIALIZED (SELECT doc_id, k, k + {n} AS a, k + {n} + r // {n} * {n} AS z FROM run{n} WHERE r >= {n})",
+            f"""kept{n} AS (
+              SELECT doc_id, min(k) AS k, arg_min(a, k) AS a, arg_min(z, k) AS z FROM block{n} GROUP BY doc_id
+              UNION ALL
+              SELECT doc_id, min(b.k), arg_min(b.a, b.k), arg_min(b.z, b.k) FROM kept{n} x JOIN block{n} b USING (doc_id) WHERE b.k >= x.z GROUP BY doc_id
+            )""",
+            f"w{n - 1} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS k, w FROM w{n} o WHERE NOT EXISTS (SELECT 1 FROM kept{n} x WHERE x.doc_id = o.doc_id AND o.k >= x.a AND o.k < x.z))",
+        ]
+    return ",\n    ".join(ctes)
+
+
 LEXICON = {"function": ["the", "and", "der", "und", "les", "des", "los", "que"], "ending": ["tion", "ción", "ung", "ment"], "short": ["er", "en", "es"]}
 
 
@@ -450,7 +496,14 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pending_rows(rows, None, "doc_id", "quality").select("doc_id")
 
 
-@query()
+MODEL_TEXT = f"""SELECT doc_id, {STRIPPED.format("regexp_replace(array_to_string(list_filter(string_split(replace(coalesce(text, ''), chr(8206), ''), chr(10)), lambda x: NOT list_contains(" + str(X.MODEL_UI_LINES) + ", lower(" + STRIPPED.format("x") + "))), chr(10)), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} AS t FROM documents"""
+
+
+@query(
+    f"""WITH {split_ctes(MODEL_TEXT, 16_803)},
+    said AS (SELECT doc_id, pos, array_to_string(ws[1:greatest(1, len(ws) * 2 // 5)], ' ') AS answer FROM (SELECT doc_id, pos, regexp_extract_all(part, '\\S+') AS ws FROM parts))
+    SELECT doc_id, string_agg(answer, chr(10) || chr(10) ORDER BY pos) AS simplified_text FROM said GROUP BY doc_id"""
+)
 def simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.simplify(_documents(spark, sf_dir), "doc_id", "text")
 
@@ -460,7 +513,18 @@ def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rouge_means(_pairs(spark, sf_dir), "simplified_text", "text")
 
 
-@query()
+def _gram_sql(column: str) -> str:
+    """Counts of the character n-grams up to order 6 of a column of ``bare``: r, n, gram, c."""
+    return f"SELECT r, n, gram, count(*) AS c FROM (SELECT r, n, substr(t, k, n) AS gram FROM (SELECT r, n, {column} AS t, unnest(range(1, length({column}) - n + 2)) AS k FROM bare CROSS JOIN (SELECT unnest(range(1, {S.ORDER + 1})) AS n))) GROUP BY r, n, gram"
+
+
+@query(
+    f"""WITH bare AS (SELECT row_number() OVER () AS r, regexp_replace(coalesce(simplified_text, ''), '\\s+', '', 'g') AS a, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS b FROM ({PAIR_SQL})),
+    g AS MATERIALIZED ({_gram_sql("a")}), t AS MATERIALIZED ({_gram_sql("b")}),
+    per AS (SELECT coalesce(m, 0) / g.c AS p, coalesce(m, 0) / t.c AS r FROM (SELECT n, sum(c) AS c FROM g GROUP BY n) g JOIN (SELECT n, sum(c) AS c FROM t GROUP BY n) t USING (n)
+      LEFT JOIN (SELECT n, sum(least(g.c, t.c)) AS m FROM g JOIN t USING (r, n, gram) GROUP BY n) USING (n))
+    SELECT coalesce(CASE WHEN 4 * p + r > 0 THEN 100 * 5 * p * r / (4 * p + r) END, 0.0) AS chrf FROM (SELECT avg(p) AS p, avg(r) AS r FROM per)"""
+)
 def chrf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.chrf(_pairs(spark, sf_dir), "simplified_text", "text")
 
@@ -553,11 +617,11 @@ def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(M.line_kind(F.col("line")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {split_ctes("SELECT doc_id, coalesce(text, '') AS t FROM documents", 2000)} SELECT doc_id, CAST(pos AS INTEGER) AS pos, part FROM parts")
 def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(X.budget_split(F.col("text"), 2000)).alias("pos", "part"))
 
 
-@query()
+@query(f"WITH {collapse_ctes(4)} SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS text FROM documents LEFT JOIN w0 USING (doc_id) GROUP BY doc_id")
 def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", X.collapse_repeats("text").alias("text"))
