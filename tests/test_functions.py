@@ -3,12 +3,14 @@
 import json
 import random
 import re
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import markdown as M
+from textquarry.functions import pages as G
 from textquarry.functions import scores as S
 from textquarry.functions import text as X
 from textquarry.operators import pairs as P
@@ -247,3 +249,89 @@ def test_markdown_edges(spark):
     for line, kind in lines.items():
         assert one(spark, M.line_kind(F.col("t")), line) == kind
     assert one(spark, M.inline_spans(F.col("t")), "a **b** `c`") == ["**b**", "`c`"]
+
+
+# --- pages of any kind, and texts made to stall ----------------------------------------------------
+
+PROSE = ["Bu birinchi xatboshi boʻlib, unda yetarlicha koʻp soʻz bor va u maqolaga tegishli.", "Ikkinchi xatboshi ham uzun, unda <a href='/x'>bitta havola</a> bor, qolgani oddiy matn.", "Qisqa gap.", "Oxirgi uzun xatboshi maqolani tugatadi va undan keyin hech narsa kelmaydi, faqat pastki qism."]
+TEXT = [re.sub("<[^>]*>", "", p) for p in PROSE]
+PARAGRAPHS = "".join(f"<p>{p}</p>" for p in PROSE)
+MENU = "<ul><li><a href='/'>Bosh sahifa</a></li><li><a href='/b'>Yangiliklar</a></li><li><a href='/c'>Aloqa</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div id=top>{MENU}</div><div class=x7><h1>Sarlavha</h1>{PARAGRAPHS}</div><div class='footer'>Barcha huquqlar himoyalangan va bu yerda uzun matn turadi, lekin u maqola emas.</div></body>",
+        f"<body>{MENU}<h1>Sarlavha</h1>{PARAGRAPHS}<p>© 2020 Sayt</p><p><a href='/p'>Oldingi</a> | <a href='/n'>Keyingi</a></p></body>",
+        f"<body><table><tr><td>{MENU}</td><td><h1>Sarlavha</h1>{PARAGRAPHS}</td></tr></table></body>",
+        f"<body><header>{MENU}</header><main><article><header><h1>Sarlavha</h1></header>{PARAGRAPHS}<aside>Reklama matni shu yerda turadi va u ham uzun boʻlishi mumkin, albatta.</aside></article></main></body>",
+        f"{MENU}<div><div><section><h2>Sarlavha</h2>{PARAGRAPHS.replace('</p>', '')}</section></div></div><form><p>Izoh qoldiring va ismingizni yozing, keyin yuborish tugmasini bosing.</p></form>",
+        f"<article><h1>Sarlavha</h1>{PARAGRAPHS}</article><article class='related'><p><a href='/1'>Boshqa maqola sarlavhasi</a></p></article>",
+        f"<body><script>var a='<p>no</p>'</script><!-- <p>no</p> --><div data-x='a > b'><h1>Sarlavha</h1>{PARAGRAPHS}</div></body>",
+    ],
+)
+def test_main_text_of_pages_without_a_mark(page):
+    assert G.page_text(page).split("\n") == ["Sarlavha", *TEXT]
+
+
+def test_main_text_of_odd_pages(spark):
+    assert [one(spark, X.main_text(F.col("t")), p) for p in (None, "", "<p>", "plain &lt;text", "<script>x", "a<b")] == ["", "", "", "plain <text", "", "a"]
+    assert G.page_text("<p>x < y and z</p>") == "x < y and z"
+    assert G.page_text("<div title=\"it's\"><p>a</p></div><p q='>b</p>") == "a\nb"
+
+
+def seconds(f):
+    began = time.process_time()
+    f()
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<!-- ", "<script>", "<p class='", '<a b="', "<", "<p ", "<div>", "</div>", "<p>x", "<b>", "<li>", "<svg>", "<textarea>", "<div class ", "<a href=x>l</a> "])
+def test_pages_are_read_in_linear_time(piece):
+    few, many = (min(seconds(lambda: G.page_text(piece * n)) for _ in range(2)) for n in (20_000, 80_000))
+    assert many < 10 * few + 0.2
+
+
+STALLS = {
+    "braces": (X.clean_corpus, "{\\displaystyle ", "{a}b"),
+    "formulas": (X.clean_corpus, "", "{\\displaystyle {a}"),
+    "tags": (X.clean_corpus, "", "<a"),
+    "headings": (X.strip_wiki, "", "=="),
+    "open heading": (X.strip_wiki, "==", " "),
+    "templates": (X.strip_wiki, "", "{{a"),
+    "spaces": (X.strip, "a", " "),
+    "thoughts": (X.strip_thinking, "", "<think>"),
+    "sentences": (lambda c: F.array_join(X.sentences_after_mark(c), "|"), "a.", " "),
+    "stops": (lambda c: F.array_join(X.chunk_sentences(c), "|"), "", ". "),
+}
+
+
+@pytest.mark.parametrize("name", sorted(STALLS))
+def test_no_text_stalls_a_task(spark, name):
+    """A megabyte takes no longer than a few times what a sixteenth does, and no stack overflows."""
+    f, head, piece = STALLS[name]
+    took = []
+    for n in (62_500, 1_000_000):
+        df = spark.createDataFrame([(head + piece * (n // len(piece)) + "b",)], "t string").select(F.length(f(F.col("t"))).alias("n"))
+        times = []
+        for _ in range(2):
+            began = time.time()
+            assert df.first()["n"] is not None
+            times.append(time.time() - began)
+        took.append(min(times))
+    assert took[1] < 25 * took[0] + 3
+
+
+def test_patterns_find_what_backtracking_finds(spark):
+    rng = random.Random(7)
+    old = [(X.WIKI_ARTEFACTS[-1], r"==+\s*[^=]{1,120}?\s*==+"), (X.MARKUP_REMAINS[0], r"(?s)\{\\(?:displaystyle|textstyle)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}")]
+    texts = ["".join(rng.choice(["=", "==", " ", "a", "\n"]) for _ in range(rng.randrange(30))) for _ in range(400)]
+    texts += ["== " + "x" * k + " " * j + "y" * m + " == z" for k in (0, 1, 118, 119, 120, 121) for j in (0, 3) for m in (0, 1, 2)]
+    texts += ["".join(rng.choice(["{", "}", "a", "{\\displaystyle ", "{b}"]) for _ in range(rng.randrange(12))) for _ in range(400)]
+    for new, plain in old:
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_replace("t", new, "#").alias("x")).collect()
+        assert all(r.x == re.sub(plain, "#", r.t) for r in got)
+    thoughts = ["".join(rng.choice(["<think>", "</think>", "a", "\n"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in thoughts], "t string").select("t", X.strip_thinking(F.col("t")).alias("x")).collect()
+    assert all(r.x == re.sub("(?s)<think>.*?</think>", "", r.t).strip() for r in got)

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 from datetime import datetime
 
 import duckdb
@@ -55,6 +56,41 @@ def test_chunker(spark):
         assert got.get(i, []) == plain_chunks(" ".join(t.split())), i
 
 
+def plain_cuts(counts, close_at=100, least=15):
+    out, held, begin = [], 0, 0
+    for i, n in enumerate(counts, 1):
+        held += n
+        if held >= close_at:
+            out.append((begin, i))
+            held, begin = 0, i
+    if held >= least:
+        out.append((begin, len(counts)))
+    elif held and out:
+        out[-1] = (out[-1][0], len(counts))
+    return out
+
+
+def test_chunk_cuts_against_a_plain_walk(spark):
+    rng = random.Random(1)
+    cases = [[rng.choice([1, 3, 20, 60, 120]) for _ in range(n)] for n in (0, 1, 1, 2, 3, 5, 127, 128, 129, 255, 256, 300, 1000)]
+    rows = [(i, [" ".join("w" * n) for n in c]) for i, c in enumerate(cases)]
+    got = spark.createDataFrame(rows, "i int, s array<string>").select("i", C.chunk_cuts(F.col("s")).alias("c")).collect()
+    assert all([(c.a, c.b) for c in r.c] == plain_cuts(cases[r.i]) for r in got)
+
+
+def test_chunk_cuts_take_linear_time(spark):
+    took = []
+    for n in (5000, 40_000):
+        df = spark.createDataFrame([([" ".join("w" * 100)] * n,)], "s array<string>").select(F.size(C.chunk_cuts(F.col("s"))).alias("n"))
+        times = []
+        for _ in range(2):
+            began = time.time()
+            assert df.first()["n"] == n
+            times.append(time.time() - began)
+        took.append(min(times))
+    assert took[1] < 12 * took[0] + 2
+
+
 def test_rare_words(spark):
     chunks = spark.createDataFrame([(k, "Tez tez tez tez. Bir!" if k == 0 else "bir bir") for k in range(2)] + [(2, "12 !")], "id long, text string")
     got = {r.id: r for r in C.complexity(chunks, ["id"]).collect()}

@@ -14,31 +14,42 @@ CLOSE_AT, LEAST_TAIL = 100, 15
 VARIANT_A, VARIANT_B = (25.0, 10.0), (30.0, 12.0)
 
 
+#: Sentences that are folded in one go; the cuts of a run of so many are kept apart, so that no step copies all cuts before it.
+RUN = 128
+
+
 def chunk_cuts(found: Column, close_at: int = CLOSE_AT, least_tail: int = LEAST_TAIL) -> Column:
-    """Where the chunks of an array of sentences begin and end.
+    """Where the chunks of an array of sentences begin and end, as an array of (a, b).
 
-    A fold over the sentences' word counts; it carries integers only.  A short
-    tail joins the chunk before it, or is dropped when there is none.
+    A fold over runs of sentences: within a run each sentence adds its words
+    and notes where a chunk ends; the ends of all runs are joined once, so the
+    work is linear in the sentences.  A short tail joins the chunk before it,
+    or is dropped when there is none.
     """
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("from"), F.lit(0).alias("held"), none.alias("cuts"))
+    none = F.array().cast("array<int>")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(found) / RUN).cast("int") - 1, F.lit(0))), lambda r: F.slice(found, r * RUN + 1, F.lit(RUN)))
+
+    def within(held: Column, run: Column, at: Column) -> Column:
+        def step(acc: Column, sentence: Column) -> Column:
+            held, k = acc["held"] + F.size(F.split(sentence, " ")), acc["at"] + 1
+            full = held >= close_at
+            return F.struct(k.alias("at"), F.when(full, 0).otherwise(held).alias("held"), F.when(full, F.concat(acc["ends"], F.array(k))).otherwise(acc["ends"]).alias("ends"))
+
+        return F.aggregate(run, F.struct(at.alias("at"), held.alias("held"), none.alias("ends")), step)
 
-    def cut(acc: Column, end: Column) -> Column:
-        return F.concat(acc["cuts"], F.array(F.struct(acc["from"].alias("a"), end.alias("b"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.array().cast("array<array<int>>").alias("ends"))
 
-    def step(acc: Column, n: Column) -> Column:
-        held, at = acc["held"] + n, acc["at"] + 1
-        full = held >= close_at
-        return F.struct(at.alias("at"), F.when(full, at).otherwise(acc["from"]).alias("from"), F.when(full, 0).otherwise(held).alias("held"), F.when(full, cut(acc, at)).otherwise(acc["cuts"]).alias("cuts"))
+    def over(acc: Column, run: Column) -> Column:
+        got = F.array(within(acc["held"], run, acc["at"]))  # a name for what is used three times
+        return F.transform(got, lambda g: F.struct(g["at"].alias("at"), g["held"].alias("held"), F.concat(acc["ends"], F.array(g["ends"])).alias("ends")))[0]
 
     def finish(acc: Column) -> Column:
-        cuts, n = acc["cuts"], F.size(acc["cuts"])
-        last = F.element_at(cuts, -1)
-        glued = F.when(n > 0, F.concat(F.slice(cuts, F.lit(1), n - 1), F.array(F.struct(last["a"].alias("a"), acc["at"].alias("b"))))).otherwise(cuts)
-        return F.when(acc["held"] == 0, cuts).when(acc["held"] < least_tail, glued).otherwise(cut(acc, acc["at"]))
+        ends, m = F.flatten(acc["ends"]), F.size(F.flatten(acc["ends"]))
+        ends = F.when(acc["held"] == 0, ends).when((acc["held"] < least_tail) & (m > 0), F.concat(F.slice(ends, F.lit(1), m - 1), F.array(acc["at"]))).when(acc["held"] < least_tail, ends).otherwise(F.concat(ends, F.array(acc["at"])))
+        return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0)))), ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-    counts = F.transform(found, lambda s: F.size(F.split(s, " ")))
-    return F.aggregate(counts, start, step, finish)
+    cuts = F.aggregate(runs, start, over, finish)
+    return F.filter(cuts, lambda c: c["b"].isNotNull())
 
 
 def chunk_documents(docs: DataFrame, keys: list[str], text: str = "text", least_length: int = 200) -> DataFrame:

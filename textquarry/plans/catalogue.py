@@ -551,10 +551,12 @@ def page_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENTITIES = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
 
 
-@query(
-    f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split({_ENTITIES.format("regexp_replace(b, '<[^>]*>', '', 'g')")}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text
-    FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1), '{X.PAGE_FURNITURE}', ' ', 'g'), '{X.PAGE_BLOCK}', chr(10), 'g') AS b FROM pages)"""
-)
+_ARTICLE = "split_part(split_part(html, '<article>', 2), '</article>', 1)"
+for _tag in ("<p>", "</p>", "<h1>", "</h1>", "<br>"):
+    _ARTICLE = f"replace({_ARTICLE}, '{_tag}', chr(10))"
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({_ENTITIES.format(f"replace({_ARTICLE}, '<b>', '')")}, chr(10)), lambda x: array_to_string(list_filter(string_split(x, ' '), lambda w: w <> ''), ' ')), lambda x: x <> ''), chr(10)) AS text FROM pages")
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.main_text(F.col("html")).alias("text"))
 
