@@ -113,13 +113,14 @@ class PuModel:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-x))
 
 
 def constant(prior: float) -> PuModel:
     """The model that knows no feature."""
     p = min(max(prior, 0.0), 1.0)
-    return PuModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))) if 0 < p < 1 else 40.0 if p else -np.inf)
+    return PuModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log(p / (1 - p))) if 0 < p < 1 else np.inf if p else -np.inf)
 
 
 def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 200, rate: float = 0.1, l1: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -159,11 +160,12 @@ def _features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def smallest(df: DataFrame, n: int) -> DataFrame:
-    """The ``n`` distinct texts of ``df`` with the smallest hashes; only texts under a bound that lets about twice as many pass are brought together."""
+    """The ``n`` distinct texts of ``df`` with the smallest hashes; hashes under a bound that lets about twice as many pass are ranked, texts are not brought together."""
     rows = df.where("text is not null").select("text", F.xxhash64("text").bitwiseAND((1 << 62) - 1).alias("h"))
     about = rows.agg(F.approx_count_distinct("h")).first()[0]
     bound = int(min(1.0, (2 * n + 50) / max(about, 1)) * (1 << 62))
-    return rows.where(F.col("h") <= bound).groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(n)
+    last = rows.where(F.col("h") <= bound).select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive: int = POSITIVE, unlabelled: int = UNLABELLED, n_features: int = FEATURES) -> PuModel:
