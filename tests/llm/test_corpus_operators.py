@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from html.parser import HTMLParser
 
 import duckdb
@@ -130,6 +131,34 @@ def test_equal_rows_remove_each_other(make):
     assert [r.n_removed for r in substrings.repeat_report(make(None, rows=rows)).collect()] == [200, 200]
 
 
+def test_texts_of_one_checksum_are_apart(make):
+    """Two texts without an id and with one CRC-32: only the one that shares its passage loses it."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage, own = text(260), text(260)
+    known = {zlib.crc32(f"{passage}{k:07d}".encode()): k for k in range(200_000)}
+    a, b = next((known[c], k) for k in range(2_000_000) if (c := zlib.crc32(f"{own}{k:07d}".encode())) in known)
+    texts = [f"{passage}{a:07d}", f"{own}{b:07d}", text(50) + passage + text(30)]
+    assert zlib.crc32(texts[0].encode()) == zlib.crc32(texts[1].encode())
+    rows = [(None, t, "", "", 1, 1, "", "") for t in texts]
+    got = sorted((r.n_bytes, r.n_removed) for r in substrings.repeat_report(make(None, rows=rows)).collect())
+    assert got == [(267, 0), (267, 260), (340, 260)]
+
+
+def test_crowded_anchors_and_hot_texts(make, monkeypatch):
+    """Many texts around one short passage, in blocks that hold few of them; one text in more rows than a task may get of it."""
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(substrings, "HOT_SHARE", 10**9)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    short, long, wide = text(60), text(150), text(199)
+    texts = [text(rng.randint(100, 200)) + p + text(rng.randint(100, 200)) for p in (short, long, wide) for _ in range(25)]
+    texts += [texts[30][20:320] + text(40), texts[60][:260], "z" + texts[61][40:] + text(9)] + [wide + x for x in "abcdefgh" * 2]
+    texts += ["hot " + text(300)] * 1200 + [text(40)]
+    got = sorted(tuple(r)[1:] for r in substrings.repeat_report(make(texts)).collect())
+    assert got == sorted(brute_removed(texts))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_interval_expansion(seed):
     rng = random.Random(seed)

@@ -3,14 +3,13 @@
 Every byte covered by a string of ``WIDTH`` bytes that also starts elsewhere,
 in the same document or another one, is removed.
 
-1. *Anchors.*  Each window of ``WIDTH`` bytes has an anchor: the ``GRAM``-byte
-   gram of least hash in it.  Equal windows have equal anchors, so windows can
-   repeat only among the places that share an anchor hash.  A run of windows
-   with one anchor is a row: hash, place, and a hash of all bytes of the run.
-2. Runs whose hash is unique are dropped.  Runs of one anchor that are equal
-   (in a 64-bit hash of all their bytes, next to that of the anchor, and in
-   length) repeat as a whole; exact copies and the inside of shared passages
-   end here, in counts that combine before the shuffle.
+1. *Anchors.*  Each window of ``WIDTH`` bytes has an anchor: the gram of least
+   hash in it.  Equal windows have equal anchors, so windows can repeat only
+   among the places that share an anchor hash.  A run of windows with one
+   anchor is a row: hash, place, and a 128-bit digest (BLAKE2) of its bytes.
+2. Runs whose hash is unique are dropped.  Runs of one anchor and one digest
+   are equal and repeat as a whole; exact copies and the inside of shared
+   passages end here, in counts that combine before the shuffle.
 3. The bytes of one run of each remaining kind are fetched.  A task takes the
    runs of many anchors in blocks of ``BLOCK_BYTES``, builds the transform of
    a block and expands its intervals breadth first: intervals of strings of
@@ -18,14 +17,20 @@ in the same document or another one, is removed.
    ``WIDTH``, and there the expansion stops.  Neighbours whose common prefix
    is not set by then share a window.
 4. An anchor has to be in one block with all its runs.  Where they are more
-   bytes than a block holds, its windows are counted by 128-bit digests of
-   their bytes instead, which needs no group; both ways give the same ranges.
+   bytes than a block holds, the windows of its runs get anchors of longer
+   grams, and steps 1 to 3 deal with these finer runs.  ``GRAMS`` ends with the
+   window itself, whose runs are equal, so every group comes to fit a block.
+
+A document is known by two 64-bit hashes of the SHA-256 of its text.  Rows of
+one text have one set of spans: all of it, if it is as long as a window.  Texts
+that more than a thousandth of all rows have are handled by broadcast, so no
+task gets all rows of one text.
 
 Defined results: a null text is an empty one; texts shorter than a window keep
-all bytes; equal rows repeat each other and lose all bytes if they are as long
-as a window; rows without a doc_id, or of one doc_id with different texts, are
-documents of their own; an empty table gives an empty result; other columns
-are ignored.
+all bytes; equal texts repeat each other and lose all bytes if they are as long
+as a window, whatever their doc_ids; rows without a doc_id, or of one doc_id
+with different texts, are documents of their own; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,9 +43,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, lean, release, scratch, tidied
+from .common import HOT_SHARE, hot_join, lean, release, scratch, tidied
 
-WIDTH, GRAM = 200, 48
+WIDTH = 200
+#: Lengths of anchors; the next one is for groups that the one before leaves larger than a block.
+GRAMS = (48, 120, 160, 190, WIDTH)
 BLOCK_BYTES = 1_000_000
 #: Text bytes that are hashed at a time, and runs in a file where there are as many.
 CHUNK_BYTES, ROWS_PER_FILE = 2_000_000, 1_000_000
@@ -83,14 +90,14 @@ class Hasher:
         return _mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: (text number, first window, windows, anchor hash, run hash)."""
+def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: (text number, first window, windows, anchor hash, two halves of the run's digest)."""
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < width:
-        return none, none, none, none, none
+        return (none,) * 6
     h = Hasher(data)
     grams = _mix((h.sums[gram:] - h.sums[:-gram]) * h.down[: len(data) - gram + 1])
     best = np.arange(len(grams), dtype=np.int32)
@@ -111,7 +118,9 @@ def anchors(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[n
     first = np.flatnonzero(new)
     length = np.diff(np.concatenate([first, [len(window)]]))
     begin = window[first]
-    return text[first], begin - starts[text[first]], length, grams[at[first]].view(np.int64), h.of(begin, begin + length - 1 + width).view(np.int64)
+    whole, digest = data.tobytes(), hashlib.blake2b
+    c = np.frombuffer(b"".join(digest(whole[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), (begin + length - 1 + width).tolist(), strict=True)), np.int64).reshape(-1, 2)
+    return text[first], begin - starts[text[first]], length, grams[at[first]].view(np.int64), c[:, 0], c[:, 1]
 
 
 def transform(seq: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,17 +205,25 @@ def _ranges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _id(doc_id: Column, text: Column) -> list[Column]:
-    """Rows are known by id and checksum, so that one id with two texts is two documents."""
-    return [F.coalesce(doc_id.cast("long"), F.lit(-1)).alias("k1"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("k2")]
+def _id(text: Column) -> list[Column]:
+    """The key of a text: two hashes of its SHA-256."""
+    digest = F.sha2(text, 256)
+    return [F.xxhash64(digest).alias("k1"), F.xxhash64(digest, F.lit(1)).alias("k2")]
+
+
+_KEY = ["k1", "k2"]
+_RUN = "k1 long, k2 long, first long, windows long, h long, c1 long, c2 long"
+_RUN_NAMES = [x.split(" ")[0] for x in _RUN.split(", ")]
+_FETCHED = "k1 long, k2 long, first long, h long, single boolean, bytes binary"
+_SPANS = "k1 long, k2 long, start long, end long"
 
 
 @tidied
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
-        text, first, windows, h, c = anchors([(t or "").encode() for t in part.column(2).to_pylist()])
+        text, *columns = anchors([(t or "").encode() for t in part.column(2).to_pylist()])
         take = pa.array(text)
-        return pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(first), pa.array(windows), pa.array(h), pa.array(c)], ["k1", "k2", "first", "windows", "h", "c"])
+        return pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *map(pa.array, columns)], _RUN_NAMES)
 
     for batch in batches:
         lo = 0
@@ -218,20 +235,43 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo += n
 
 
+def _finer(gram: int):
+    """Runs by anchors of ``gram`` bytes, each with its bytes, of runs that have theirs."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                data = part.column("bytes").to_pylist()
+                of, first, windows, *hashes = anchors(data, gram=gram)
+                take = pa.array(of)
+                pieces = [data[k][a : a + n - 1 + WIDTH] for k, a, n in zip(of.tolist(), first.tolist(), windows.tolist(), strict=True)]
+                at = part.column("first").to_numpy(zero_copy_only=False)[of] + first
+                columns = [part.column("k1").take(take), part.column("k2").take(take), pa.array(at, pa.int64()), pa.array(windows), *map(pa.array, hashes), part.column("single").take(take), pa.array(pieces, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*_RUN_NAMES, "single", "bytes"])
+
+    return run
+
+
 @tidied
 def _fetch_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted runs of each document."""
+    """The bytes of the wanted runs of each text; of rows with one text, which are in one task, the first is read."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in types]
             for k1, k2, text, wanted in zip(*(part.column(n).to_pylist() for n in ("k1", "k2", "text", "wanted")), strict=True):
+                if (k1, k2) in seen:
+                    continue
+                seen.add((k1, k2))
                 data = text.encode()
                 for w in wanted:
                     values = (k1, k2, w["first"], w["h"], w["single"], w["fits"], data[w["first"] : w["first"] + w["windows"] - 1 + WIDTH])
                     for c, v in zip(columns, values, strict=True):
                         c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k1", "k2", "first", "h", "single", "fits", "bytes"])
 
 
@@ -264,21 +304,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-@tidied
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of runs, as a 128-bit digest of its bytes."""
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 200):
-            part = batch.slice(lo, 200)
-            columns: list[list] = [[] for _ in range(5)]
-            for k1, k2, first, single, run in zip(*(part.column(n).to_pylist() for n in ("k1", "k2", "first", "single", "bytes")), strict=True):
-                n = len(run) - WIDTH + 1
-                for c, v in zip(columns, ([k1] * n, [k2] * n, range(first, first + n), [single] * n, [hashlib.blake2b(run[i : i + WIDTH], digest_size=16).digest() for i in range(n)]), strict=True):
-                    c += v
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k1", "k2", "start", "single", "w"])
-
-
 @tidied
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -296,44 +321,87 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array([hashlib.sha256(k).hexdigest() for k in out[3]]), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def removal_spans(docs: DataFrame) -> DataFrame:
-    """Byte ranges to remove, overlapping ones not yet merged: k1, k2, start, end."""
-    lean(docs.sparkSession)
-    texts = docs.select(*_id(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= WIDTH)
-    runs = scratch(texts.mapInArrow(_anchor_rows, "k1 long, k2 long, first long, windows long, h long, c long"), "anchors")
-    total = runs.count()
+def _hot_texts(texts: DataFrame) -> DataFrame:
+    """Keys of texts with more than a small share of all rows; under HOT_SHARE of them."""
+    counts = scratch(texts.select(*_KEY).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    limit = max(1000, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    return counts.where(F.col("n") > limit).select(*_KEY, F.lit(True).alias("hot"))
+
+
+def _level(runs: DataFrame, total: int, carried: list[str], single) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans of runs that repeat as a whole, and one run of each kind whose anchor needs a comparison.
+
+    ``carried`` are columns besides place that a run brings along, and
+    ``single`` says whether a kind of one run may be a run found nowhere else yet.
+    """
     common = scratch(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "common", total, ROWS_PER_FILE)
     again = scratch(hot_join(runs, common, ["h"], "n", total).drop("n"), "again", total, ROWS_PER_FILE)
-    release(runs, common)
-    key, place = ["h", "c", "windows"], F.struct("k1", "k2", "first")
-    kinds = scratch(again.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("one")), "kinds", total, ROWS_PER_FILE)
-    span = [F.col("k1"), F.col("k2"), F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + WIDTH).alias("end")]
-    whole = scratch(hot_join(again, kinds.where("m > 1").select(*key, "m"), key, "m", total).select(*span), "whole", total, ROWS_PER_FILE)
+    release(common)
+    key = ["h", "c1", "c2", "windows"]
+    kinds = scratch(again.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*_KEY, "first", *carried)).alias("one")), "kinds", total, ROWS_PER_FILE)
+    spans = [*map(F.col, _KEY), F.col("first").alias("start"), (F.col("first") + F.col("windows") - 1 + WIDTH).alias("end")]
+    whole = scratch(hot_join(again, kinds.where("m > 1").select(*key, "m"), key, "m", total).select(*spans).distinct(), "whole", total, ROWS_PER_FILE)
     release(again)
+    open_ = (F.col("m") == 1) & single
     size = F.col("windows") + WIDTH - 1
-    groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("m").alias("least"), (F.sum(size) <= BLOCK_BYTES).alias("fits")).where("kinds > 1 and least = 1").drop("least")
-    wanted = hot_join(kinds, groups, ["h"], "kinds", total)
-    wanted = wanted.groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2")).agg(F.collect_list(F.struct("h", F.col("one.first").alias("first"), "windows", (F.col("m") == 1).alias("single"), "fits")).alias("wanted"))
-    fetched = texts.join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "wanted")
-    fetched = fetched.mapInArrow(_fetch_runs, "k1 long, k2 long, first long, h long, single boolean, fits boolean, bytes binary")
-    fetched = scratch(fetched, "runs")  # a repeated row gives a run twice, but never a single one
+    groups = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.max(open_.cast("int")).alias("open"), (F.sum(size) <= BLOCK_BYTES).alias("fits")).where("kinds > 1 and open = 1").drop("open")
+    wanted = hot_join(kinds, groups, ["h"], "kinds", total).select("one.*", "windows", "h", "fits", open_.alias("__single"))
+    return whole, wanted.drop("single").withColumnRenamed("__single", "single"), kinds
+
+
+def removal_spans(docs: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Byte ranges to remove, overlapping ones not yet merged: k1, k2 (the text's key), start, end."""
+    lean(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(text.alias("text")).where(F.octet_length("text") >= WIDTH).select(*_id(F.col("text")), "text")
+    hot = _hot_texts(texts) if hot is None else hot
+    runs = scratch(texts.mapInArrow(_anchor_rows, _RUN), "anchors")
+    whole, wanted, kinds = _level(runs, runs.count(), [], F.lit(True))
+    release(runs)
+    wanted = wanted.groupBy(*_KEY).agg(F.collect_list(F.struct("h", "first", "windows", "single", "fits")).alias("wanted"))
+    marked = texts.join(F.broadcast(hot), _KEY, "left")
+    few = marked.where("hot").groupBy(*_KEY).agg(F.first("text").alias("text"))  # of a text with very many rows one is enough
+    cold = marked.where("hot is null").drop("hot").join(wanted.hint("shuffle_hash"), _KEY).select(*_KEY, "text", "wanted")
+    fetched = cold.unionByName(few.join(wanted, _KEY).select(*_KEY, "text", "wanted"))
+    fetched = scratch(fetched.mapInArrow(_fetch_runs, _FETCHED.replace("single boolean", "single boolean, fits boolean")), "runs")
     release(kinds)
-    spans = "k1 long, k2 long, start long, end long"
-    compared = fetched.where("fits").drop("fits").repartition("h").sortWithinPartitions("h").mapInArrow(_compare, spans)
-    windows = scratch(fetched.where("not fits").drop("fits", "h").mapInArrow(_windows, "k1 long, k2 long, start long, single boolean, w binary"), "windows")
-    seen = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = hot_join(windows, seen, ["w"], "n", total).where("single").select("k1", "k2", "start", (F.col("start") + WIDTH).alias("end"))
-    out = scratch(whole.unionByName(compared).unionByName(counted), "spans")
-    release(whole, fetched, windows)
+    tables, found = [whole, fetched], [whole]
+    for gram in GRAMS[1:]:
+        found.append(scratch(_compared(fetched.where("fits").drop("fits")), "compared"))
+        large = fetched.where("not fits")
+        if large.isEmpty():
+            break
+        finer = scratch(large.drop("h", "fits").mapInArrow(_finer(gram), f"{_RUN}, single boolean, bytes binary"), "finer")
+        whole, wanted, kinds = _level(finer, finer.count(), ["single", "bytes"], F.col("one.single"))
+        fetched = scratch(wanted.select(*_KEY, "first", "h", "single", (F.col("fits") | F.lit(gram == WIDTH)).alias("fits"), "bytes"), "runs")
+        release(finer, kinds)
+        tables += [whole, fetched]
+        found.append(whole)
+    else:
+        found.append(scratch(_compared(fetched.drop("fits")), "compared"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = scratch(out, "spans")
+    release(*{id(t): t for t in [*tables, *found]}.values())
     return out
 
 
+def _compared(runs: DataFrame) -> DataFrame:
+    return runs.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, _SPANS)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    spans = removal_spans(docs).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    rows = docs.select("doc_id", "text", *_id(F.col("doc_id"), F.col("text")))
-    joined = rows.join(spans.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", *_id(F.col("text")))
+    hot = _hot_texts(rows.where(F.octet_length("text") >= WIDTH))
+    spans = removal_spans(docs, hot).distinct().groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    marked = rows.join(F.broadcast(hot), _KEY, "left")
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
+    copies = marked.where("hot").select("doc_id", "text", all_of_it.alias("spans"))
+    cold = marked.where("hot is null").drop("hot").join(spans.hint("shuffle_hash"), _KEY, "left").select("doc_id", "text", "spans")
+    return cold.unionByName(copies).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
