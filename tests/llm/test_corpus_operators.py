@@ -337,16 +337,72 @@ def test_article_of_every_page_of_the_tables(spark):
 
 @pytest.mark.parametrize("piece", ["<script x", "<p class='", "<!-- ", "<![CDATA[", "<noscript>", '<a b="', "<", "<p ", "<head>", "<div>", "</div>", "<svg>", "&#", "<p>x"])
 def test_hostile_markup_takes_linear_time(piece):
-    began = time.time()
-    htmltext.extract([piece * (1_000_000 // len(piece) if piece[-1] != ">" else 30_000)], htmltext.default_labeller())
-    assert time.time() - began < 20
+    """Four times the markup takes some four times the processor's time, however busy the machine is."""
+    model, took = htmltext.default_labeller(), []
+    for n in (250_000 // len(piece) if piece[-1] != ">" else 7500, 1_000_000 // len(piece) if piece[-1] != ">" else 30_000):
+        times = []
+        for _ in range(2):
+            began = time.process_time()
+            htmltext.extract([piece * n], model)
+            times.append(time.process_time() - began)
+        took.append(min(times))
+    assert took[1] < 10 * took[0] + 0.3
+
+
+LOREM = ["Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.", "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit."]
+LAYOUTS = {
+    "comments in a table of an unknown class": (
+        f"<html><body><div id=top><a href=/>Home</a> <a href=/b>Blog</a></div><div class=txt><h1>A headline here</h1><p>{LOREM[0]}</p><p>{LOREM[1]}</p><p>{LOREM[0]}</p></div><table class=disc><tr><td>Anna</td><td>I like this very much, thanks for writing it.</td></tr><tr><td>Bob</td><td>Not my view at all.</td></tr></table><div class=c>&copy; 2020 Example Ltd</div></body></html>",
+        ["A headline here", *LOREM, LOREM[0]],
+    ),
+    "names in another language": (
+        f"<html><body><ul class=navi><li><a href=/>Startseite</a></li><li><a href=/k>Kontakt</a></li></ul><div class=werbung>Jetzt kaufen und sparen, nur heute im Angebot.</div><div class=inhalt><h1>Eine Meldung</h1><p>{LOREM[0]}</p><p>{LOREM[1]}</p></div><div class=fuss>Impressum und Datenschutz, alle Rechte vorbehalten.</div></body></html>",
+        ["Eine Meldung", *LOREM],
+    ),
+    "a sidebar without a name": (
+        f"<html><body><div class=xx><div class=yy><h1>Title words</h1><p>{LOREM[1]}</p><p>{LOREM[0]}</p><p>{LOREM[1]}</p></div><div class=zz><h3>Popular</h3><p><a href=/1>Story number one</a></p><p><a href=/2>Story two</a></p></div></div></body></html>",
+        ["Title words", LOREM[1], LOREM[0], LOREM[1]],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_layouts_that_training_has_not(name):
+    page, want = LAYOUTS[name]
+    assert htmltext.extract([page], htmltext.default_labeller())[0].split("\n") == want
+
+
+def test_gradients_are_slopes():
+    """Slopes of the loss by differences, in both directions and with pages of unlike length."""
+    pages = htmltext.labelled_pages(3, 77)
+    hashed = htmltext.slots()
+    ready = [(htmltext.Gathered(page, hashed), htmltext.numbers(page), y) for page, y in pages]
+    model, rng = htmltext.Labeller(), np.random.default_rng(2)
+    model.p = {k: v.astype(np.float64) + rng.normal(0, 0.01, v.shape) for k, v in model.p.items()}
+
+    def loss():
+        rows = [np.maximum(g.project(model.p["W"]) + x @ model.p["W"][htmltext.PATH_DIM + htmltext.WORD_DIM :] + model.p["b"], 0) for g, x, _ in ready]
+        out = model.read(*htmltext.pad(rows))[0]
+        return sum(np.logaddexp(0, -out[: len(y), k] * (2 * y - 1)).sum() for k, (_, _, y) in enumerate(ready)) / sum(len(y) for _, _, y in ready)
+
+    found = model.gradients(ready)
+    for name in model.p:
+        at = np.unravel_index(np.abs(found[name]).argmax(), found[name].shape)
+        slopes = []
+        for step in (0.01, -0.01):
+            model.p[name][at] += step
+            slopes.append(loss())
+            model.p[name][at] -= step
+        slope = (slopes[0] - slopes[1]) / 0.02
+        assert abs(slope - found[name][at]) < 0.1 * abs(slope) + 2e-4, name
 
 
 def test_labeller_on_held_out_pages():
+    """Of pages with unnamed and bare furniture, some of it in words of the article, two blocks of a hundred may be wrong."""
     pages = htmltext.labelled_pages(150, 20_000)
     found = htmltext.default_labeller().label([p for p, _ in pages])
     wrong = sum(int((f != (y > 0)).sum()) for f, (_, y) in zip(found, pages, strict=True))
-    assert wrong <= 0.01 * sum(len(y) for _, y in pages)
+    assert wrong <= 0.02 * sum(len(y) for _, y in pages)
 
 
 # --- pipeline ------------------------------------------------------------------------------------
