@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,38 +20,86 @@ def _f1(hits: int, guess: int, truth: int) -> float:
     return 2 * hits / (guess + truth) if hits else 0.0
 
 
-def _rows(a: list[str], b: list[str]) -> Iterator[np.ndarray]:
-    """After each word of ``a`` the lengths of the longest common subsequences with the beginnings of ``b``."""
-    codes = {w: k for k, w in enumerate(dict.fromkeys(b))}
-    other = np.array([codes[w] for w in b], np.int64)
-    row = np.zeros(len(b) + 1, np.int32)
+def _places(words: list[str]) -> dict[str, int]:
+    """For each word the bits of its places."""
+    out: dict[str, list[int]] = {}
+    for k, w in enumerate(words):
+        out.setdefault(w, []).append(k)
+    size = len(words) // 8 + 1
+    bits: dict[str, int] = {}
+    for w, at in out.items():
+        mask = bytearray(size)
+        for k in at:
+            mask[k >> 3] |= 1 << (k & 7)
+        bits[w] = int.from_bytes(mask, "little")
+    return bits
+
+
+def _rows(a: list[str], places: dict[str, int], size: int, row: int = 0) -> Iterator[int]:
+    """Bit-parallel rows: after each word of ``a`` the places of ``b`` at which its beginnings' common subsequence grows.
+
+    ``places`` are those of the ``size`` words of ``b``; ``row`` is the row to go on from.
+    """
+    full = (1 << size) - 1
+    free = full ^ row
     for w in a:
-        step = row.copy()
-        step[1:] = np.maximum(row[1:], (row[:-1] + 1) * (other == codes.get(w, -1)))
-        row = np.maximum.accumulate(step)
-        yield row
+        hit = free & places.get(w, 0)
+        free = ((free + hit) | (free - hit)) & full
+        yield full ^ free
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    """Length of a longest common subsequence; only two rows are in memory."""
-    row = np.zeros(1, np.int32)
-    for row in _rows(a, b):  # noqa: B007
+    """Length of a longest common subsequence; only one row of bits is in memory."""
+    row = 0
+    for row in _rows(a, _places(b), len(b)):  # noqa: B007
         pass
-    return int(row[-1])
+    return row.bit_count()
 
 
 def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of one longest common subsequence."""
-    grid = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i, row in enumerate(_rows(a[::-1], b[::-1])):
-        grid[len(a) - 1 - i] = row[::-1]
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
+    """Index pairs of one longest common subsequence.
+
+    A walk from the front moves on in ``a`` unless that loses a match.  It
+    needs the rows of the ends of ``a``, which are bits; every ``step``-th is
+    kept and those between are found again when the walk gets there.
+    """
+    n, m = len(a), len(b)
+    back, places, step = a[::-1], _places(b[::-1]), max(1, math.isqrt(len(a)))
+    kept = {0: 0}
+    for i, row in enumerate(_rows(back, places, m), 1):  # of the last i words of a
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def row_of(i: int) -> int:
+        """The row of a[i:], bit k for the k-th place from the end of b."""
+        left = n - i
+        if left not in rows:
+            base = max(left - 1, 0) // step * step
+            rows.clear()
+            rows[base] = kept[base]
+            for k, row in enumerate(_rows(back[base : min(base + step, n)], places, m, kept[base]), base + 1):
+                rows[k] = row
+        return rows[left]
+
+    def reach(row: int, j: int) -> int:
+        """Length of the common subsequence with b[j:]."""
+        return (row & ((1 << (m - j)) - 1)).bit_count()
+
+    out: list[tuple[int, int]] = []
+    i = j = 0
+    if not n or not m:
+        return out
+    here = row_of(0)
+    length = here.bit_count()
+    while i < n and j < m and length:
         if a[i] == b[j]:
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif grid[i + 1][j] >= grid[i][j + 1]:
-            i += 1
+            i, j, length = i + 1, j + 1, length - 1
+            here = row_of(i) if i < n else 0
+        elif (here >> (m - 1 - j)) & 1 or reach(below := row_of(i + 1) if i + 1 < n else 0, j) == length:
+            i += 1  # without a[i] no match is lost
+            here = row_of(i) if i < n else 0
         else:
             j += 1
     return out

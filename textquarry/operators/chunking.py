@@ -75,24 +75,38 @@ def rounded(value: Column, digits: int) -> Column:
     return F.floor(value * k + 0.5) / F.lit(float(k))
 
 
+def rare_places(words: DataFrame, rare: int) -> DataFrame:
+    """(__k, word) of each occurrence of the words of ``words`` (__k, a number of the place, and word) seen at most ``rare`` times.
+
+    A word's aggregate has a fixed size: its count, least and greatest place,
+    and the exclusive or of all places.  Up to three places follow from these,
+    so nothing has to go back to the words, and a frequent word is one small
+    row per task, however many places it has.
+    """
+    if not 0 <= rare <= 3:
+        raise ValueError("places are kept of up to three occurrences")
+    k = F.col("__k")
+    per = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(k).alias("a"), F.max(k).alias("b"), F.bit_xor(k).alias("x")).where(F.col("n") <= rare)
+    third = F.col("x").bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b"))
+    places = F.when(F.col("n") == 1, F.array("a")).when(F.col("n") == 2, F.array("a", "b")).otherwise(F.array("a", "b", third))
+    return per.select(F.explode(places).alias("__k"), "word")
+
+
 def complexity(chunks: DataFrame, keys: list[str], ceilings: tuple[float, float] = VARIANT_A, rare: int = 3) -> DataFrame:
     """Chunks with avg_sentence_len, avg_word_len, rare_word_ratio and complexity_score.
 
-    Words and marks of each chunk are found once and kept (``durable``).  The words seen at
-    most ``rare`` times in the corpus are few rows per word, so the join with
-    them moves little; all other words need no partner.
+    Words and marks of each chunk are found once and kept (``durable``).  Rare
+    are the words seen at most ``rare`` times, 3 or fewer, in the corpus.
     """
     words = chunks.withColumn("__w", X.words(F.col("text")))
-    base = durable(words.withColumns({"__words": F.size("__w"), "__marks": F.size(X.sentences(F.col("text"))), "__letters": F.length(F.array_join("__w", ""))}))
-    tokens = base.select(*keys, F.explode("__w").alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
-    seldom = base.select(F.explode("__w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") <= rare)
-    hits = tokens.join(seldom, "word", "left_semi").groupBy(*keys).agg(F.sum("n").alias("__rare"))
+    base = durable(words.withColumns({"__k": F.monotonically_increasing_id(), "__words": F.size("__w"), "__marks": F.size(X.sentences(F.col("text"))), "__letters": F.length(F.array_join("__w", ""))}), "chunks")
+    hits = rare_places(base.select("__k", F.explode("__w").alias("word")), rare).groupBy("__k").agg(F.count(F.lit(1)).alias("__rare"))
     scored = (F.col("__words") > 0) & (F.col("__marks") > 0)
     value = lambda c: F.when(scored, c).otherwise(0.0)
     asl, awl = F.col("__words") / F.col("__marks"), F.col("__letters") / F.col("__words")
     ratio = F.coalesce(F.col("__rare"), F.lit(0)) / F.col("__words")
     score = 0.4 * F.least(asl / ceilings[0], F.lit(1.0)) + 0.3 * F.least(ratio, F.lit(1.0)) + 0.3 * F.least(awl / ceilings[1], F.lit(1.0))
-    out = base.join(hits, keys, "left")
+    out = base.join(hits, "__k", "left")
     return out.select(
         *chunks.columns,
         value(rounded(asl, 2)).alias("avg_sentence_len"),
@@ -135,7 +149,7 @@ def batches(df: DataFrame, order: list[str], size: int, group: list[str]) -> Dat
     plus the group's rows in the ranges before.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(df.repartitionByRange(parts, *group, *order).withColumn("__range", F.spark_partition_id()))
+    ranged = durable(df.repartitionByRange(parts, *group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     per = ranged.groupBy(*group, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))

@@ -7,17 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from .storage import durable
 
 
 def keep_first(df: DataFrame, key: list[Column], order: list[Column]) -> DataFrame:
-    """The first row of each key in the given order.
+    """The first row of each key in the given order; of rows that are equal in key and order any one.
 
-    The winner is an aggregate of the whole row (``min_by``), which combines
-    before the shuffle, so a key with very many copies is no hot task.
+    Keys and orders decide, rows do not move: counts by key and order combine
+    before the shuffle, and what is kept of them are the keys of several rows
+    (``durable``).  A row of no such key passes, one of such a key if its order
+    is the least.  A row is the winner of its key at most once unless rows tie;
+    only then, and only winners, are brought together.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    got = df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(key)]).agg(F.min_by(row, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("__row"))
-    return got.select("__row.*")
+    ks, names = [f"__k{i}" for i in range(len(key))], [f"__o{i}" for i in range(len(order))]
+    slim = df.select(*[k.alias(n) for k, n in zip(key, ks, strict=True)], F.struct(*[o.alias(n) for o, n in zip(order, names, strict=True)]).alias("__order"))
+    ties = slim.groupBy(*ks, "__order").agg(F.count(F.lit(1)).alias("n"))
+    first = ties.groupBy(*ks).agg(F.sum("n").alias("__n"), F.min(F.struct("__order", "n")).alias("__f")).where("__n > 1")
+    first = durable(first.select(*[F.col(k).alias(f"{k}f") for k in ks], F.col("__f.__order").alias("__least"), F.col("__f.n").alias("__ties")), "first")
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[k.alias(n) for k, n in zip(key, ks, strict=True)], F.struct(*[o.alias(n) for o, n in zip(order, names, strict=True)]).alias("__order"))
+    same = [F.col(k).eqNullSafe(F.col(f"{k}f")) for k in ks]
+    joined = keyed.join(first, same, "left")
+    won = F.col("__order").eqNullSafe(F.col("__least"))
+    out = joined.where(F.col("__ties").isNull() | (won & (F.col("__ties") == 1))).select("__row.*")
+    if first.where("__ties > 1").isEmpty():
+        return out
+    again = joined.where(won & (F.col("__ties") > 1)).groupBy(*ks).agg(F.first("__row").alias("__row"))
+    return out.unionByName(again.select("__row.*"))
 
 
 def _keys(df: DataFrame, columns: list[str]) -> list[Column]:

@@ -13,18 +13,18 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, nodes: DataFrame | None =
 
     Nodes that are not in ``nodes`` cannot be parsed: they are left out and
     lead nowhere.  Each hop is one join with the frontier and one anti join
-    with what was seen; checkpoints keep the plan short and survive lost
-    executors.  With ``max_docs`` the first ones by hop, then node, are kept.
+    with what was seen; written tables keep the plan short and survive
+    lost executors.  With ``max_docs`` the first ones by hop, then node, are kept.
     """
     keep = (lambda df: df.join(nodes.select("node").distinct(), "node", "left_semi")) if nodes is not None else lambda df: df
-    frontier = durable(keep(seeds.select("node").distinct()).withColumn("hop", F.lit(0)))
+    frontier = durable(keep(seeds.select("node").distinct()).withColumn("hop", F.lit(0)), "hop")
     seen = frontier
     n = seen.count()
     for hop in range(1, max_hops + 1):
         if max_docs is not None and n >= max_docs:
             break
         step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        frontier = durable(keep(step).join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
+        frontier = durable(keep(step).join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "hop")
         found = frontier.count()
         if not found:
             break

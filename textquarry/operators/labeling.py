@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Lexicon = dict[str, list[str]]
 
@@ -30,10 +35,41 @@ OTHER = "other"
 # ---------------------------------------------------------------------------------------------
 
 
-def _count(text: Column, word: str) -> Column:
-    """Occurrences that do not overlap."""
-    w = F.lit(word.lower())
-    return (F.length(text) - F.length(F.replace(text, w, F.lit("")))) / F.lit(float(len(word)))
+@lru_cache(maxsize=8)
+def automaton(lexicon: tuple[tuple[str, tuple[str, ...]], ...]) -> ahocorasick.Automaton:
+    """An Aho-Corasick automaton of all keywords; a keyword leads to its number, its domains and its length."""
+    found: dict[str, list[int]] = {}
+    for d, (_, words) in enumerate(lexicon):
+        for w in words:
+            found.setdefault(w.lower(), []).append(d)
+    out = ahocorasick.Automaton()
+    for k, (w, domains) in enumerate(found.items()):
+        out.add_word(w, (k, tuple(domains), len(w)))
+    out.make_automaton()
+    return out
+
+
+def hits(text: str, machine: ahocorasick.Automaton, n_domains: int) -> list[int]:
+    """Occurrences of the keywords of each domain in one pass; those of one keyword do not overlap."""
+    out, free = [0] * n_domains, {}
+    for end, (k, domains, size) in machine.iter(text):
+        if end - size + 1 >= free.get(k, 0):
+            free[k] = end + 1
+            for d in domains:
+                out[d] += 1
+    return out
+
+
+def keyword_counts(text: Column, lexicon: Lexicon) -> Column:
+    """Array of the keyword occurrences of each domain of the lexicon, in its order; case does not matter."""
+    plain = tuple((d, tuple(ws)) for d, ws in lexicon.items())
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def count(texts: pd.Series) -> pd.Series:
+        machine = automaton(plain)
+        return texts.map(lambda t: hits(t, machine, len(plain)))
+
+    return count(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def _best(scores: dict[str, Column], fallback: str = OTHER) -> Column:
@@ -47,8 +83,15 @@ def _best(scores: dict[str, Column], fallback: str = OTHER) -> Column:
 
 def by_keywords(title: Column, text: Column, lexicon: Lexicon | None = None) -> Column:
     """Domain with the most keyword occurrences in title and text; ties in lexicon order."""
-    low = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))))
-    return _best({d: sum((_count(low, w) for w in ws), F.lit(0.0)) for d, ws in (lexicon or KEYWORDS).items()})
+    lexicon = lexicon or KEYWORDS
+    both = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(text, F.lit("")))
+    return best_domain(keyword_counts(both, lexicon), list(lexicon))
+
+
+def best_domain(counts: Column, domains: list[str], fallback: str = OTHER) -> Column:
+    """The first domain with the greatest count, if that is over 0."""
+    most = F.array_max(counts)
+    return F.when(most > 0, F.element_at(F.array(*map(F.lit, domains)), F.array_position(counts, most).cast("int"))).otherwise(F.lit(fallback))
 
 
 def domain_of(value: Column, default: Column, table: dict[str, str] | None = None) -> Column:
@@ -61,15 +104,10 @@ def article_domains(chunks: DataFrame, article: str, title: str, text: str, lexi
     """One domain per article: over its chunks 3 for a title with a keyword, 1 for a text with one."""
     lexicon = lexicon or KEYWORDS
     order = [d for d in (priority or ARTICLE_PRIORITY) if d in lexicon] + [d for d in lexicon if d not in (priority or ARTICLE_PRIORITY)]
-
-    def has(c: str, words: list[str]) -> Column:
-        low = F.lower(F.coalesce(F.col(c), F.lit("")))
-        out = F.lit(False)
-        for w in words:
-            out = out | F.contains(low, F.lit(w.lower()))
-        return out.cast("int")
-
-    sums = chunks.groupBy(article).agg(*[F.sum(3 * has(title, lexicon[d]) + has(text, lexicon[d])).cast("double").alias(f"__{d}") for d in order])
+    ordered = {d: lexicon[d] for d in order}
+    found = chunks.select(article, keyword_counts(F.col(title), ordered).alias("__t"), keyword_counts(F.col(text), ordered).alias("__x"))
+    score = lambda k: 3 * (F.col("__t")[k] > 0).cast("int") + (F.col("__x")[k] > 0).cast("int")
+    sums = found.groupBy(article).agg(*[F.sum(score(k)).cast("double").alias(f"__{d}") for k, d in enumerate(order)])
     return sums.select(article, _best({d: F.col(f"__{d}") for d in order}).alias("domain"))
 
 
