@@ -20,6 +20,8 @@ from ..operators import graph as G
 from ..operators import labeling as L
 from ..operators import merge as R
 from ..operators import pairs as P
+from ..operators import robots as B
+from ..operators import sketches as K
 from ..sources import readers as IO
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,14 +306,17 @@ def listing_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- labels --------------------------------------------------------------------------------------
 
 
-def _score_sql(text: str) -> str:
-    part = lambda w: f"(length({text}) - length(replace({text}, '{w}', ''))) / {len(w)}"
-    return ", ".join(f"{' + '.join(part(w) for w in ws)} AS s_{d}" for d, ws in LEXICON.items())
+def _score_sql(text: str, lexicon: L.Lexicon = LEXICON) -> str:
+    def part(word: str) -> str:
+        w = word.lower().replace("'", "''")
+        return f"(length({text}) - length(replace({text}, '{w}', ''))) / {len(word)}"
 
+    return ", ".join(f"{' + '.join(part(w) for w in ws)} AS s_{d}" for d, ws in lexicon.items())
 
-def _best_sql() -> str:
-    most = f"greatest({', '.join(f's_{d}' for d in LEXICON)})"
-    return f"CASE WHEN {most} <= 0 THEN 'other' {' '.join(f'WHEN s_{d} = {most} THEN {chr(39)}{d}{chr(39)}' for d in LEXICON)} END"
+
+def _best_sql(lexicon: L.Lexicon = LEXICON) -> str:
+    most = f"greatest({', '.join(f's_{d}' for d in lexicon)})"
+    return f"CASE WHEN {most} <= 0 THEN 'other' {' '.join(f'WHEN s_{d} = {most} THEN {chr(39)}{d}{chr(39)}' for d in lexicon)} END"
 
 
 @query(f"SELECT doc_id, {_best_sql()} AS domain FROM (SELECT doc_id, {_score_sql('x')} FROM (SELECT doc_id, lower(source || ' ' || text) AS x FROM documents))")
@@ -319,6 +324,19 @@ def keyword_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", L.by_keywords(F.col("source"), F.col("text"), LEXICON).alias("domain"))
 
 
+#: Each text with one of the shipped keywords, which its number and length pick, since the table's texts have few.
+_ALL_KEYWORDS = [w for ws in L.KEYWORDS.values() for w in ws]
+_SPIKED = f"text || ' ' || list_element([{', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in _ALL_KEYWORDS)}], CAST((doc_id * 7 + length(text)) % {len(_ALL_KEYWORDS)} AS INTEGER) + 1)"
+
+
+@query(f"SELECT doc_id, {_best_sql(L.KEYWORDS)} AS domain FROM (SELECT doc_id, {_score_sql('x', L.KEYWORDS)} FROM (SELECT doc_id, lower(source || ' ' || {_SPIKED}) AS x FROM documents))")
+def keyword_domain_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains by all shipped keywords."""
+    words = F.array(*map(F.lit, _ALL_KEYWORDS))
+    one = F.element_at(words, ((F.col("doc_id") * 7 + F.length("text")) % F.size(words)).cast("int") + 1)
+    return _documents(spark, sf_dir).select("doc_id", L.by_keywords(F.col("source"), F.concat("text", F.lit(" "), one)).alias("domain"))
+
+
 def _presence_sql() -> str:
     has = lambda c, ws: f"CASE WHEN {' OR '.join(f'contains(lower({c}), {chr(39)}{w}{chr(39)})' for w in ws)} THEN 1 ELSE 0 END"
     return ", ".join(f"sum(3 * {has('source', ws)} + {has('text', ws)}) AS s_{d}" for d, ws in LEXICON.items())
@@ -513,6 +531,33 @@ def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rouge_means(_pairs(spark, sf_dir), "simplified_text", "text")
 
 
+_TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+
+
+def _overlap_sql(n: int) -> str:
+    """Common n-grams of each pair, as often as both have them."""
+    grams = lambda c: f"SELECT r, g, count(*) AS k FROM (SELECT r, unnest(list_transform(range(1, len({c}) - {n - 2}), lambda x: array_to_string({c}[x:x + {n - 1}], ' '))) AS g FROM p) GROUP BY r, g"
+    return f"SELECT r, sum(least(a.k, b.k)) AS hits FROM ({grams('a')}) a JOIN ({grams('b')}) b USING (r, g) GROUP BY r"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT row_number() OVER () AS r, conv_id, turn, {_TOKENS.format("simplified_text")} AS a, {_TOKENS.format("text")} AS b FROM ({PAIR_SQL})),
+    w AS (SELECT r, unnest(range(1, len(b) + 1)) AS j, unnest(b) AS word FROM p),
+    dp AS (
+      SELECT r, 0 AS i, j, 0 AS v FROM w
+      UNION ALL
+      SELECT r, i, j, max(c) OVER (PARTITION BY r ORDER BY j) AS v FROM (
+        SELECT d.r, d.i + 1 AS i, d.j, CASE WHEN w.word = p.a[d.i + 1] THEN coalesce(lag(d.v) OVER (PARTITION BY d.r ORDER BY d.j), 0) + 1 ELSE d.v END AS c
+        FROM dp d JOIN w USING (r, j) JOIN p USING (r) WHERE d.i < len(p.a))
+    ),
+    lcs AS (SELECT r, max(v) AS hits FROM dp JOIN p USING (r) WHERE i = len(a) GROUP BY r)
+    SELECT conv_id, turn, coalesce(2 * x.hits / (len(a) + len(b)), 0.0) AS rouge1, coalesce(2 * y.hits / greatest(len(a) + len(b) - 2, 1), 0.0) AS rouge2, coalesce(2 * z.hits / (len(a) + len(b)), 0.0) AS rougeL
+    FROM p LEFT JOIN ({_overlap_sql(1)}) x USING (r) LEFT JOIN ({_overlap_sql(2)}) y USING (r) LEFT JOIN lcs z USING (r)"""
+)
+def rouge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("conv_id", "turn", S.rouge("simplified_text", "text").alias("r")).select("conv_id", "turn", "r.rouge1", "r.rouge2", "r.rougeL")
+
+
 def _gram_sql(column: str) -> str:
     """Counts of the character n-grams up to order 6 of a column of ``bare``: r, n, gram, c."""
     return f"SELECT r, n, gram, count(*) AS c FROM (SELECT r, n, substr(t, k, n) AS gram FROM (SELECT r, n, {column} AS t, unnest(range(1, length({column}) - n + 2)) AS k FROM bare CROSS JOIN (SELECT unnest(range(1, {S.ORDER + 1})) AS n))) GROUP BY r, n, gram"
@@ -627,3 +672,34 @@ def budget_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {collapse_ctes(4)} SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS text FROM documents LEFT JOIN w0 USING (doc_id) GROUP BY doc_id")
 def repeat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", X.collapse_repeats("text").alias("text"))
+
+
+# --- robots and sketches -------------------------------------------------------------------------
+
+_HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
+_PATH = "CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) ELSE '/' || regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) END"
+
+
+@query(
+    f"""WITH u AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages),
+    rule AS (SELECT DISTINCT host, length(url) % 2 = 1 AS allow, substr(path, 1, CASE WHEN length(url) % 2 = 1 THEN 6 ELSE 5 END) AS pattern FROM u),
+    best AS (SELECT page_id, arg_max(allow, 2 * length(pattern) + CAST(allow AS INTEGER)) AS allow, arg_max(pattern, 2 * length(pattern) + CAST(allow AS INTEGER)) AS pattern FROM u JOIN rule USING (host) WHERE starts_with(path, pattern) GROUP BY page_id)
+    SELECT page_id, url, coalesce(allow, true) AS allowed, pattern AS rule FROM u LEFT JOIN best USING (page_id)"""
+)
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages robots files let us read; each host has a file that its own addresses make up."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    path, odd = B.path_of(F.col("url")), F.length("url") % 2 == 1
+    line = F.when(odd, F.concat(F.lit("Allow: "), F.substring(path, 1, 6))).otherwise(F.concat(F.lit("Disallow: "), F.substring(path, 1, 5)))
+    lines = pages.groupBy(B.host_of(F.col("url")).alias("host")).agg(F.sort_array(F.collect_set(line)).alias("lines"))
+    files = lines.select("host", F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\n"), F.array_join("lines", "\n")).alias("body"))
+    return B.gate(pages, files, "textquarry")
+
+
+@query("SELECT lang, source AS value, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang)::BIGINT AS n_rows FROM documents WHERE source IS NOT NULL GROUP BY lang, source")
+def heavy_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of two halves of the table, merged; there are fewer sources than a sketch keeps, so counts are exact."""
+    docs = _documents(spark, sf_dir)
+    halves = [K.sketch(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == k), "lang", "source") for k in (0, 1)]
+    got = K.report(K.merge(halves, "lang"), "lang", K.SIZE)
+    return got.select("lang", F.explode("heavy").alias("h"), "n_rows").select("lang", "h.value", "h.n", "n_rows")
