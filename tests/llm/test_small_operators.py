@@ -197,14 +197,29 @@ def test_divergence_rejects_foreign_distributions(make):
 UZBEK = "Oʻzbekiston Respublikasi hududida qabul qilingan qonunlar va boshqa hujjatlar barcha fuqarolar uchun majburiydir. Har bir shaxs oʻz huquqlarini bilishi va ulardan foydalanishi lozim. Davlat organlari murojaatlarni belgilangan muddatda koʻrib chiqadi hamda yozma javob beradi. Javobdan norozi boʻlgan shaxs yuqori turuvchi organga yoki sudga murojaat qilishi mumkin. Ushbu tartib barcha viloyatlarda bir xil amal qiladi va matbuotda eʼlon qilinadi."
 
 
-def test_other_languages_have_no_verdict(make):
+def test_every_language_has_a_verdict(make):
+    """A fifth language is judged by its own reference, texts without a language or of a rare one by the nearest."""
     rng = random.Random(2)
-    english = [" ".join(rng.choice(["the", "of", "and", "house", "river", "stone", "is", "was"]) for _ in range(80)) for _ in range(30)]
-    df = make([*english, UZBEK, UZBEK, UZBEK.upper()], {30: "uz", 31: None, 32: "en"})
-    got = {r.doc_id: r for r in quality.quality_report(df).collect()}
-    assert got[30].kept and got[31].kept and got[30].chars_js is None and not got[32].kept and got[0].kept
+    english = [" ".join(rng.choice(["the", "of", "and", "house", "river", "stone", "is", "was"]) for _ in range(80)) for _ in range(300)]
+    sentences = UZBEK.split(". ")
+    uzbek = [". ".join(rng.sample(sentences, len(sentences))) for _ in range(60)]
+    assert len(english) + len(uzbek) > quality.LANGUAGES
+    texts = [*english, *uzbek, UZBEK, UZBEK, UZBEK.upper(), UZBEK.upper(), UZBEK.upper(), "x"]
+    langs = {**{k: "uz" for k in range(300, 360)}, 360: "uz", 361: None, 362: "uz", 363: None, 364: "rare", 365: "en"}
+    got = {r.doc_id: r for r in quality.quality_report(make(texts, langs)).collect()}
+    assert all(got[k].kept for k in range(362)) and not any(got[k].kept for k in range(362, 366))
+    assert got[361].chars_js is not None and got[364].chars_js > 0.1
     rows = [(None, english[0], "en", "", 1, 1, "", "")] * 2
     assert quality.quality_report(make(None, rows=rows)).count() == 2 and quality.quality_report(make([])).count() == 0
+    nowhere = quality.quality_report(make([english[0]], {0: None})).first()
+    assert nowhere.kept and nowhere.chars_js is None
+
+
+def test_words_that_many_documents_hold_are_common(make):
+    docs = make(["The the THE, cat! und"] * 3 + ["the dog"] + ["zzz " * 500] + ["der Hund"] * 2, {5: "de", 6: "de"})
+    assert quality.languages(docs) == ["de", "en"]
+    assert quality.common_words(docs, ["de", "en"], 2) == ["cat", "der", "hund", "the"]
+    assert quality.languages(make(["a"] * 401, {0: "odd"})) == ["en"]
 
 
 def test_quality_of_long_texts(make):
