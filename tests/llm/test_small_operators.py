@@ -80,6 +80,14 @@ def test_shards_of_nothing_and_repeats(make):
     assert sorted(r.slot for r in got) == [0, 1, 2, 3, 4] and len({r.shard for r in got}) == 1
 
 
+def test_rows_that_stand_very_often_have_slots(make):
+    rows = [(1, "again", "en", "s", 1, 1, "", "")] * 2500 + [(None, "again", "en", "s", 1, 1, "", "")] * 1500 + [(k, f"text {k}", "en", "s", 1, 1, "", "") for k in range(200)]
+    got = sharding.shard_rows(make(None, rows=rows).repartition(5)).collect()
+    assert len(got) == len(rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 # --- secrets -------------------------------------------------------------------------------------
 PATTERNS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
 SECRETS = [

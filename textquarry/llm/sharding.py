@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_range, hot_join, partitions, running_total, scratch, text_bytes
+from .common import HOT_SHARE, by_range, hot_join, partitions, running_total, scratch, text_bytes
 
 #: Capacities that one pass checks.
 PROBES = 64
@@ -145,12 +145,40 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_
     placed = groups.select("__group", "__n", shard.alias("shard"))
     out = hot_join(rows, placed, ["__group"], "__n", count).drop("__n", "__group")
     bins = max(partitions(docs.sparkSession), -(-count // 200_000))
-    out = scratch(out.withColumn("__bin", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(bins)).cast("int")), "shard-placed")
+    out = out.withColumn("__bin", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(bins)).cast("int"))
+    out = scratch(out.withColumn("__part", F.spark_partition_id()), "shard-placed")
     return _shape(_slots(out, count))
 
 
 def _slots(out: DataFrame, count: int) -> DataFrame:
-    """Number the rows of each shard: an offset per (shard, bin), then a rank in it."""
+    """Number the rows of each shard.
+
+    Rows that stand very often, under HOT_SHARE of them, come after all others
+    of their shard, each with a range of numbers that its parts share out.
+    """
+    key = ["shard", "doc_id", "text_crc32"]
+    often = out.groupBy(*key).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > max(1000, count // HOT_SHARE))
+    before = Window.partitionBy("shard").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    often = scratch(often.withColumn("__first", F.coalesce(F.sum("__m").over(before), F.lit(0))).select(*[F.col(k).alias(f"__{k}") for k in key], "__first"), "shard-often")
+    same = F.col("shard").eqNullSafe(F.col("__shard")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("text_crc32").eqNullSafe(F.col("__text_crc32"))
+    marked = out.join(F.broadcast(often), same, "left").drop("__shard", "__doc_id", "__text_crc32")
+    few = marked.where("__first is null").drop("__first")
+    if often.isEmpty():
+        return _ranked(few)
+    hot = marked.where("__first is not null")
+    per = hot.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__m"))
+    upto = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = per.withColumn("__offset", F.coalesce(F.sum("__m").over(upto), F.lit(0))).select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__part").alias("__p"), "__offset")
+    ranked = hot.withColumn("__rank", F.row_number().over(Window.partitionBy("__part", *key).orderBy("size")) - 1)
+    ranked = ranked.join(parts, same & (F.col("__part") == F.col("__p")))
+    cold = few.groupBy("shard").agg(F.count(F.lit(1)).alias("__cold")).withColumnRenamed("shard", "__s")
+    ranked = ranked.join(F.broadcast(cold), F.col("shard") == F.col("__s"), "left")  # a row a shard
+    ranked = ranked.withColumn("slot", F.coalesce("__cold", F.lit(0)) + F.col("__first") + F.col("__offset") + F.col("__rank"))
+    return _ranked(few).unionByName(ranked, allowMissingColumns=True)
+
+
+def _ranked(out: DataFrame) -> DataFrame:
+    """An offset per (shard, bin), then a rank in it."""
     per = out.groupBy("shard", "__bin").agg(F.count(F.lit(1)).alias("__m"))
     before = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("shard", "__bin", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__offset"))
