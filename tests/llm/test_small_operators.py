@@ -225,9 +225,9 @@ def test_every_language_has_a_verdict(make):
 
 def test_words_that_many_documents_hold_are_common(make):
     docs = make(["The the THE, cat! und"] * 3 + ["the dog"] + ["zzz " * 500] + ["der Hund"] * 2, {5: "de", 6: "de"})
-    assert quality.languages(docs) == ["de", "en"]
+    assert quality.languages(docs, 1) == ["de", "en"] and quality.languages(docs) == []
     assert quality.common_words(docs, ["de", "en"], 2) == ["cat", "der", "hund", "the"]
-    assert quality.languages(make(["a"] * 401, {0: "odd"})) == ["en"]
+    assert quality.languages(make(["a"] * 401, {0: "odd"}), 1) == ["en"]
 
 
 def test_quality_of_long_texts(make):

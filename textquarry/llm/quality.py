@@ -9,7 +9,8 @@ fewer characters or words than its guard says nothing, so short texts pass.
 
 References are sums over all documents that pass the fixed counts, by
 ``lang``, for each language that has at least one row in ``LANGUAGES``, so
-there are no more than that many.  The common words are those that most
+there are no more than that many, and ``LEAST`` rows, for fewer texts say
+nothing of a language.  The common words are those that most
 documents of a language hold, ``COMMON`` for each.  A document of another
 language, or of none, is compared like all others with the nearest reference;
 only the guards keep a document from having a verdict.
@@ -32,8 +33,8 @@ from pyspark.sql.window import Window
 
 from .common import DOCS_PER_TASK, compact, lean, tidied, tidy
 
-#: Common words of a language, their most bytes, and rows of which a language needs one to have a reference.
-COMMON, WORD_BYTES, LANGUAGES = 32, 64, 200
+#: Common words of a language and their most bytes; rows of which a language needs one, and rows it needs at least, to have a reference.
+COMMON, WORD_BYTES, LANGUAGES, LEAST = 32, 64, 200, 20
 #: Bytes of each character class; what is in none is "other ASCII", bytes from 0x80 up are letters of other alphabets.
 CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "line": b"\n", "stop": b".,;:!?", "quote": b"'\"()-"}
 #: Guards (characters, words), and the limit of each distance: a floor plus the noise of n counts, c / sqrt(n).
@@ -115,11 +116,11 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 10 or 100 * n_repeat_words > 20 * n_words
 
 
-def languages(docs: DataFrame) -> list[str]:
-    """Languages with a row in ``LANGUAGES`` or more."""
+def languages(docs: DataFrame, least: int = LEAST) -> list[str]:
+    """Languages with a row in ``LANGUAGES`` or more, and ``least`` rows."""
     counts = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # a row a language
-    some = counts.withColumn("total", total).where(f"lang is not null and n * {LANGUAGES} >= total")
+    some = counts.withColumn("total", total).where(f"lang is not null and n >= {least} and n * {LANGUAGES} >= total")
     return sorted(r["lang"] for r in some.select("lang").collect())  # at most LANGUAGES
 
 
