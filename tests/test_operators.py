@@ -157,6 +157,8 @@ def test_files(spark, tmp_path):
     assert sorted((r.text, r.n) for r in IO.csv(spark, marked, "text string, n int").collect()) == sorted([("a\n\"b\", c", 1), ("d", None)], key=lambda x: x[0])
     for rows in (df, df.limit(0)):
         W.json_array(rows.select("text", "n"), str(tmp_path / "array"))
+        with pytest.raises(ValueError, match="JSON lines"):
+            W.json_array(spark.range(3), str(tmp_path / "refused"), most=2)
         got = json.loads("".join(f.read_text() for f in (tmp_path / "array").glob("part-*")))
         assert sorted(x["text"] for x in got) == sorted(r.text for r in rows.collect())
     W.csv(df.limit(0), str(tmp_path / "none"), ["text"])

@@ -70,8 +70,18 @@ def json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def json_array(df: DataFrame, path: str) -> None:
-    """One JSON array with an indent of 2, other scripts as they are; meant for reports, so one task writes it row by row."""
+#: Rows of a JSON array; one file is written by one task.
+ARRAY_ROWS = 1_000_000
+
+
+def json_array(df: DataFrame, path: str, most: int = ARRAY_ROWS) -> None:
+    """One JSON array with an indent of 2, other scripts as they are.
+
+    One task writes it row by row, so it is for reports: a table of more than
+    ``most`` rows is refused before anything is written, JSON lines hold it.
+    """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"an array of more than {most} rows would be written by one task; write JSON lines")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = ""
