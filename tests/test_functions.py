@@ -6,6 +6,7 @@ import re
 import time
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from textquarry.functions import pages as G
 from textquarry.functions import scores as S
 from textquarry.functions import text as X
 from textquarry.operators import pairs as P
+from textquarry.plans import catalogue
 from textquarry.sources import readers as IO
 from textquarry.sources import writers as W
 
@@ -281,6 +283,27 @@ def test_main_text_of_odd_pages(spark):
     assert G.page_text("<div title=\"it's\"><p>a</p></div><p q='>b</p>") == "a\nb"
 
 
+def against_sql(spark, tmp_path, name, pages):
+    """The rows of a query over these pages, which have to be those of its SQL."""
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(catalogue.ORACLE_SQL[name]).fetchall())
+    return [text for _, text in got]
+
+
+#: Titles cut within a reference, as those of long pages are, and what is no reference.
+CUT = ["a &amp; b&amp", "a&quot", "a&lt", "&amp&amp;", "x&ampy; z", "&amp;lt; &amp;amp;", "R&D &am", "a&#39"]
+READ = ["a & b&amp", "a&quot", "a&lt", "&amp&", "x&ampy; z", "&lt; &amp;", "R&D &am", "a&#39"]
+
+
+def test_main_text_decodes_closed_references_as_its_sql(spark, tmp_path):
+    pages = [f"<html><body><nav>x</nav><article><h1>{c}</h1><p>The text of the page stands here and is long enough {c}</p></article></body></html>" for c in CUT]
+    assert [t.split("\n")[0] for t in against_sql(spark, tmp_path, "page_main_text", pages)] == READ
+    assert G.page_text(f"<p>{CUT[0]}</p>") == "a & b&" and G.decode_closed("&#x41;&#66;&eacute;&copy &nosuch;") == "ABé&copy &nosuch;"
+
+
 def seconds(f):
     began = time.process_time()
     f()
