@@ -304,6 +304,11 @@ def test_main_text_decodes_closed_references_as_its_sql(spark, tmp_path):
     assert G.page_text(f"<p>{CUT[0]}</p>") == "a & b&" and G.decode_closed("&#x41;&#66;&eacute;&copy &nosuch;") == "ABé&copy &nosuch;"
 
 
+def test_titles_decode_closed_references_as_their_sql(spark, tmp_path):
+    assert against_sql(spark, tmp_path, "page_titles", [f"<head><title>{c}</title></head>" for c in CUT[:-1]]) == READ[:-1]
+    assert one(spark, IO.page_title(F.col("t")), f"<title>{CUT[0]}</title>") == "a & b&"
+
+
 def seconds(f):
     began = time.process_time()
     f()

@@ -88,10 +88,10 @@ def linked_ids(page: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(page, F.lit(DOC_LINK), F.lit(1)))
 
 
-def page_title(page: Column) -> Column:
+def page_title(page: Column, decode: Callable[[Column], Column] = X.unescape) -> Column:
     """og:title, else the title tag, decoded and squeezed."""
     og, plain = F.regexp_extract(page, OG_TITLE, 1), F.regexp_extract(page, TITLE, 1)
-    return X.squeeze(X.unescape(F.when(page.rlike(OG_TITLE), og).otherwise(plain)))
+    return X.squeeze(decode(F.when(page.rlike(OG_TITLE), og).otherwise(plain)))
 
 
 class _Body(HTMLParser):
