@@ -107,6 +107,13 @@ def test_budget_parts():
         assert all(len(p) <= 10 for p in parts) and re.sub(r"\s", "", "".join(parts)) == re.sub(r"\s", "", text)
 
 
+def test_budget_parts_of_several_slices(spark):
+    texts = [None, "", "ab cd", *("x" * (n % 90) for n in range(2 * X.SLICE + 1))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1).select("id", X.budget_split(F.col("t"), 20).alias("p"))
+    assert {r.id: r.p for r in rows.collect()} == {i: X.fit_budget(t or "", 20) for i, t in enumerate(texts)}
+    assert rows.where("id < 0").count() == 0
+
+
 def test_common_subsequences():
     rng = random.Random(7)
     for _ in range(100):
@@ -146,6 +153,19 @@ def test_model_calls(spark):
     assert got == {1: "yes", 2: ""}
 
 
+def test_model_calls_in_slices_by_one_worker(spark):
+    """Splitting and calling in two chained workers held all rows of a batch twice as Python strings."""
+    texts = [None, "", " \n ", "bir ikki\nuch"] + [" ".join(f"w{k}" for k in range(n % 50)) for n in range(3 * X.SLICE)]
+    rows = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "id string, text string").coalesce(1)
+    got = P.simplify(rows, "id", "text", limit=40)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan
+    expected = {f"k{i}": "\n\n".join(P.echo_model(p) for p in X.fit_budget((t or "").strip(), 40) if p) for i, t in enumerate(texts)}
+    assert {r.id: r.simplified_text for r in got.collect()} == expected
+    half = P.simplify(rows.where("id = 'k3'"), "id", "text", lambda: lambda part: "" if "uch" in part else "yes", limit=9)  # waits 2 and 4 s
+    assert half.collect() == [("k3", None)]
+
+
 def test_model_server_and_batches(spark):
     assert P.ensure_ready(lambda: ["q:4b"], "q") and not P.ensure_ready(lambda: [], "q")
 

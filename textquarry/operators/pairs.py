@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,21 +165,25 @@ def simplify(pending: DataFrame, key: str, text: str, make_model: Callable[[], C
     """Clean, split to the budget, call the model per part, join; (key, simplified_text).
 
     The model is made once per task.  Rows without text give an empty answer,
-    a failed part gives null, so that the row stays pending.
+    a failed part gives null, so that the row stays pending.  One worker splits
+    and calls, and holds the parts of ``X.SLICE`` rows beside the Arrow batch.
     """
     clean = pending.select(key, X.clean_for_model(F.col(text)).alias("__t"))
-    parts = clean.select(key, F.posexplode_outer(X.budget_split(F.col("__t"), limit)).alias("__n", "__part"))
-    schema = T.StructType([*parts.schema.fields, T.StructField("simplified_text", T.StringType())])
+    schema = T.StructType([clean.schema[0], T.StructField("__n", T.IntegerType()), T.StructField("simplified_text", T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = with_retries(make_model())
-        for frame in frames:
-            frame["simplified_text"] = [("" if not isinstance(p, str) or not p.strip() else model(p)) for p in frame["__part"]]
-            yield frame
+        for batch in batches:
+            for at in range(0, batch.num_rows, X.SLICE):
+                keys, texts = batch.slice(at, X.SLICE).columns
+                parts = [(i, n, p) for i, t in enumerate(texts.to_pylist()) for n, p in enumerate(X.fit_budget(t, limit) or [""])]
+                rows, places, bodies = zip(*parts, strict=True)
+                answers = [model(p) if p.strip() else "" for p in bodies]
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(places, pa.int32()), pa.array(answers, pa.string())], names=schema.names)
 
     from .chunking import rejoin
 
-    return rejoin(parts.mapInPandas(run, schema), key, "__n", "simplified_text")
+    return rejoin(clean.mapInArrow(run, schema), key, "__n", "simplified_text")
 
 
 def ensure_ready(models: Callable[[], list[str]], name: str) -> bool:
